@@ -27,6 +27,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(_documents(spark, sf_dir, "text")))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.decontamination import find_leaks
+
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cosine=0.5)
+    return found.select("doc_id", F.inline("leaks"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.packing import pack
 
@@ -56,6 +64,6 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_counts, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring)
+    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_counts, op4_benchmark_decontamination, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring)
 }
 ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
