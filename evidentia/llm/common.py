@@ -82,17 +82,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and the offset of each text's first word (one more at the end)."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    if lower:
-        texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     flat = lists.flatten()
     ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])
     full = np.asarray(pc.greater(pc.binary_length(flat), 0), dtype=bool)
     if not full.all():
         ends = np.concatenate([[0], np.cumsum(full)])[ends]
         flat = flat.filter(pa.array(full))
-    return flat, ends
+    # Lower-casing comes last: on a slice of an array, ascii_lower reads the wrong bytes.
+    return (pc.ascii_lower(flat) if lower else flat), ends
 
 
 def hash64(strings: pa.Array, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:

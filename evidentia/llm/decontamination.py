@@ -24,9 +24,13 @@ from evidentia.llm.common import slices, words_of
 CHUNK = 16
 EDGES = ".,;:!?\"'()[]"
 #: Items worked on at once: bounds what is broadcast and what each task sums.
-BLOCK_ITEMS = 2_000
+BLOCK_ITEMS = 500
 RANK = 64
-COMMON = 0.05
+#: Words in over this share of chunks carry no weight, except the KEPT rarest words of each item.
+COMMON, KEPT = 0.005, 8
+#: Share of an item window's latent weight, then of its inverse frequencies, that a candidate passage must
+#: bring. A passage that holds an item covers 3/4 of one of its windows, and ``enough`` of the words in it.
+COVER, OVERLAP = 0.15, 0.33
 LEAKS = "array<struct<item_id:bigint,cosine:double,lcs:int,n_item_words:int,answer:boolean>>"
 
 
@@ -37,18 +41,20 @@ class Item(NamedTuple):
 
 
 class Benchmark(NamedTuple):
-    """Items as word ids. ``forms`` are the vocabulary's words with and without one mark at the end."""
+    """Items as word ids, and the vocabulary by id."""
 
     items: list[Item]
     words: list[str]
-    forms: list[str]
-    form_ids: np.ndarray
+
+
+def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words in lower case without marks at their ends (a word of marks alone is empty), and each text's first word."""
+    flat, at = words_of(texts, lower=False)
+    return pc.utf8_trim(pc.utf8_lower(flat), characters=EDGES), at
 
 
 def tokens(text: str | None) -> list[str]:
-    """Words lower-cased A-Z, without marks at their ends."""
-    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    return [w for w in (x.strip(EDGES) for x in lower.replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")) if w]
+    return [w for w in plain_words(pa.array([text], pa.string()))[0].to_pylist() if w]
 
 
 def read_items(rows: list[tuple[int, str, str | None]]) -> Benchmark:
@@ -59,16 +65,13 @@ def read_items(rows: list[tuple[int, str, str | None]]) -> Benchmark:
     for i, text, answer in rows:
         if ids := at(text):
             items.append(Item(i, ids, at(answer) or ids[-4:]))
-    words = list(number)
-    forms = [(w + mark, k) for w, k in number.items() for mark in ("", ".", ",", ";", ":", "!", "?")]
-    return Benchmark(items, words, [f for f, _ in forms], np.array([k for _, k in forms], np.int32))
+    return Benchmark(items, list(number))
 
 
-def _read(texts: pa.Array, forms: pa.Array, form_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids (-1: not the benchmark's), each text's first word, each word's chunk; chunks don't cross texts."""
-    flat, at = words_of(texts)
-    found = pc.index_in(flat, value_set=forms)
-    ids = np.append(form_ids, -1)[np.asarray(pc.fill_null(found, len(form_ids)))]
+    flat, at = plain_words(texts)
+    ids = np.asarray(pc.fill_null(pc.index_in(flat, value_set=known), -1))
     sizes = np.diff(at)
     first = np.concatenate([[0], np.cumsum(-(-sizes // CHUNK))])
     chunk = np.repeat(first[:-1], sizes) + (np.arange(len(flat)) - np.repeat(at[:-1], sizes)) // CHUNK
@@ -77,12 +80,12 @@ def _read(texts: pa.Array, forms: pa.Array, form_ids: np.ndarray) -> tuple[np.nd
 
 def _frequencies(docs: DataFrame, text: str, bench: Benchmark) -> tuple[np.ndarray, int]:
     """In how many chunks of the corpus each word stands, and the number of chunks."""
-    forms, form_ids, n = bench.forms, bench.form_ids, len(bench.words)
+    words, n = bench.words, len(bench.words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known, seen = 0, pa.array(forms, pa.large_string()), np.zeros(n, np.int64)
+        total, known, seen = 0, pa.array(words, pa.large_string()), np.zeros(n, np.int64)
         for batch in slices(batches, "text"):
-            ids, _, chunk = _read(batch.column("text"), known, form_ids)
+            ids, _, chunk = _read(batch.column("text"), known)
             total += int(len(np.unique(chunk)))
             hit = ids >= 0
             pair = np.unique(chunk[hit] * n + ids[hit])
@@ -102,15 +105,15 @@ def _frequencies(docs: DataFrame, text: str, bench: Benchmark) -> tuple[np.ndarr
 
 def _singular_vectors(docs: DataFrame, text: str, bench: Benchmark, weight: np.ndarray, rank: int) -> np.ndarray:
     """Right singular vectors (words x rank) of the TF-IDF passage matrix, from one pass (Nystroem form)."""
-    forms, form_ids, n = bench.forms, bench.form_ids, len(bench.words)
+    words, n = bench.words, len(bench.words)
     width = min(n, rank + 8)
     start = np.random.default_rng(7).standard_normal((n, width)).astype(np.float32)
     block = max(1, -(-n // 16))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, out, scaled = pa.array(forms, pa.large_string()), np.zeros((n, width), np.float32), start * weight[:, None]
+        known, out, scaled = pa.array(words, pa.large_string()), np.zeros((n, width), np.float32), start * weight[:, None]
         for batch in slices(batches, "text"):
-            ids, _, chunk = _read(batch.column("text"), known, form_ids)
+            ids, _, chunk = _read(batch.column("text"), known)
             use = (ids >= 0) & (weight[ids] > 0)
             ids, chunk = ids[use], chunk[use]
             if not len(ids):
@@ -137,7 +140,21 @@ def _singular_vectors(docs: DataFrame, text: str, bench: Benchmark, weight: np.n
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     values = np.maximum(values, values.max() * 1e-9 if values.max() > 0 else 1.0)
     u, _, _ = np.linalg.svd(y @ vectors / np.sqrt(values), full_matrices=False)
-    return u[:, :rank].astype(np.float32)
+    return _fold_in(u[:, :rank], bench, weight).astype(np.float32)
+
+
+def _fold_in(u: np.ndarray, bench: Benchmark, weight: np.ndarray, least: float = 0.3) -> np.ndarray:
+    """Directions are added for items of which the corpus' main directions hold less than ``least``, so none is out of reach."""
+    rows = np.zeros((len(bench.items), len(weight)))
+    for k, item in enumerate(bench.items):
+        np.add.at(rows[k], list(item.ids), weight[list(item.ids)])
+    norm = np.linalg.norm(rows, axis=1)
+    rows = rows[norm > 0] / norm[norm > 0, None]
+    poor = rows[np.linalg.norm(rows @ u, axis=1) < least]
+    if not len(poor):
+        return u
+    _, size, more = np.linalg.svd(poor - poor @ u @ u.T, full_matrices=False)
+    return np.concatenate([u, more[size > 1e-3].T], axis=1)
 
 
 def _lcs(masks: dict[int, int], size: int, ids: list[int]) -> int:
@@ -153,18 +170,24 @@ def _lcs(masks: dict[int, int], size: int, ids: list[int]) -> int:
 class Searcher:
     """What a task needs for the last pass."""
 
-    def __init__(self, bench: Benchmark, weight: np.ndarray, vectors: np.ndarray, cosine: float, enough: float, with_answer: float):
+    def __init__(self, bench: Benchmark, weight: np.ndarray, idf: np.ndarray, vectors: np.ndarray, cosine: float, enough: float, with_answer: float):
         self.bench, self.cosine, self.enough, self.with_answer = bench, cosine, enough, with_answer
         self.weight, self.project = weight, vectors * weight[:, None]
-        rows, owner = [], []
+        rows, owner, shares = [], [], []
         for k, item in enumerate(bench.items):
             ids = np.array(item.ids)
             for at in range(0, max(1, len(ids) - CHUNK), CHUNK):
-                rows.append(self.project[ids[at : at + 2 * CHUNK]].sum(0))
+                part = ids[at : at + 2 * CHUNK]
+                rows.append(self.project[part].sum(0))
                 owner.append(k)
+                share = np.zeros(len(idf) + 1, np.float32)
+                share[part] = idf[part]
+                shares.append(share / max(share.sum(), 1e-9))
         z = np.array(rows, np.float32).reshape(len(rows), vectors.shape[1])
         size = np.linalg.norm(z, axis=1, keepdims=True)
-        self.items, self.owner = z / np.where(size > 0, size, 1), np.array(owner)
+        self.items, self.sizes, self.owner = z / np.where(size > 0, size, 1), size.ravel(), np.array(owner)
+        #: Of each item window, what each word brings (the last column: words outside the vocabulary).
+        self.shares = np.array(shares, np.float32).reshape(len(rows), len(idf) + 1)
         self.masks: list[dict[int, int]] = []
         for item in bench.items:
             masks: dict[int, int] = {}
@@ -190,7 +213,7 @@ class Searcher:
 
     def leaks(self, texts: pa.Array, known: pa.Array) -> list[list[dict[str, Any]]]:
         """The leaked items of each text, each once, best first by item order."""
-        ids, at, chunk = _read(texts, known, self.bench.form_ids)
+        ids, at, chunk = _read(texts, known)
         out: list[dict[int, dict[str, Any]]] = [{} for _ in range(len(texts))]
         use = np.flatnonzero((ids >= 0) & (self.weight[ids] > 0)) if len(ids) else np.empty(0, np.int64)
         if len(use) and len(self.items):
@@ -198,6 +221,7 @@ class Searcher:
             new = np.concatenate([[True], mine[1:] != mine[:-1]])
             own, sums = mine[new], np.add.reduceat(self.project[ids[use]], np.flatnonzero(new), axis=0)
             # A passage is a chunk with the next one; a passage whose first chunk is blank starts one before.
+            padded = np.append(ids, -1)
             sizes = -(-np.diff(at) // CHUNK)
             first = np.concatenate([[0], np.cumsum(sizes)])
             doc = np.searchsorted(first, own, side="right") - 1
@@ -206,19 +230,21 @@ class Searcher:
             pair[follows] = sums[follows + 1]
             for block in range(0, len(own), 8192):
                 z = sums[block : block + 8192] + pair[block : block + 8192]
-                alone = sums[block : block + 8192]
-                hits = []
-                for v in (z, alone):
-                    size = np.linalg.norm(v, axis=1, keepdims=True)
-                    hits.append((v / np.where(size > 0, size, 1)) @ self.items.T)
-                score = np.maximum(*hits)
-                where = np.nonzero(score >= self.cosine)
-                for r, c, s in zip(where[0].tolist(), where[1].tolist(), score[where].tolist(), strict=True):
+                length = np.linalg.norm(z, axis=1, keepdims=True)
+                dot = z @ self.items.T
+                score = dot / np.where(length > 0, length, 1)
+                where = np.nonzero((score >= self.cosine) & (dot >= COVER * self.sizes) & (self.sizes > 0))
+                starts = at[doc[block : block + 8192]] + (own[block : block + 8192] - first[doc[block : block + 8192]]) * CHUNK
+                spots = starts[where[0]][:, None] + np.arange(2 * CHUNK)
+                spots = np.where(spots < at[doc[block + where[0]] + 1][:, None], spots, len(ids))
+                brought = self.shares[where[1][:, None], padded[spots]].sum(1)
+                sure = np.flatnonzero(brought >= OVERLAP)
+                for r, c, s in zip(where[0][sure].tolist(), where[1][sure].tolist(), score[where][sure].tolist(), strict=True):
                     d, k = int(doc[block + r]), int(self.owner[c])
                     if k in out[d]:
                         continue
                     size = len(self.bench.items[k].ids)
-                    begin = int(at[d] + (own[block + r] - first[d]) * CHUNK)
+                    begin = int(starts[r])
                     lo, hi = max(int(at[d]), begin - size), min(int(at[d + 1]), begin + 2 * CHUNK + size)
                     if settled := self.settle(k, ids, lo, hi):
                         out[d][k] = {"item_id": self.bench.items[k].item_id, "cosine": float(s), "lcs": settled[0], "n_item_words": size, "answer": settled[1]}
@@ -232,7 +258,7 @@ def _has(words: list[int], part: tuple[int, ...]) -> bool:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None,
-    cosine: float = 0.5, enough: float = 0.6, with_answer: float = 0.45, rank: int = RANK, column: str = "leaks",
+    cosine: float = 0.3, enough: float = 0.6, with_answer: float = 0.45, rank: int = RANK, column: str = "leaks",
 ) -> DataFrame:
     """``docs`` with ``leaks``, the benchmark items that each text repeats or paraphrases.
 
@@ -255,19 +281,28 @@ def find_leaks(
         if not bench.items:
             continue
         seen, total = _frequencies(docs, text, bench)
-        weight = np.where(seen > COMMON * total, 0.0, np.log((1 + total) / (1 + seen))).astype(np.float32)
-        searcher = Searcher(bench, weight, _singular_vectors(docs, text, bench, weight, rank), cosine, enough, with_answer)
+        weight, idf = word_weights(bench, seen, total)
+        searcher = Searcher(bench, weight, idf, _singular_vectors(docs, text, bench, weight, rank), cosine, enough, with_answer)
         out = _search(out, searcher, text, column)
     return out
 
 
+def word_weights(bench: Benchmark, seen: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights in the passage matrix, and plain inverse chunk frequencies. In the matrix common words weigh nothing unless they are among an item's rarest."""
+    idf = np.log((2 + total) / (1 + seen))
+    kept = {x for item in bench.items for x in sorted(set(item.ids), key=lambda x: (seen[x], x))[:KEPT]}
+    common = seen > COMMON * total
+    common[sorted(kept)] = False
+    return np.where(common, 0.0, idf).astype(np.float32), idf.astype(np.float32)
+
+
 def _search(docs: DataFrame, searcher: Searcher, text: str, column: str) -> DataFrame:
     spark = docs.sparkSession
     shared, names = spark.sparkContext.broadcast(searcher), docs.columns
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        known = pa.array(s.bench.forms, pa.large_string())
+        known = pa.array(s.bench.words, pa.large_string())
         for batch in slices(batches, "__text"):
             found = s.leaks(batch.column("__text"), known)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]

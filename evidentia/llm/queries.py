@@ -31,7 +31,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from evidentia.llm.decontamination import find_leaks
 
     docs = _documents(spark, sf_dir, "doc_id", "text")
-    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cosine=0.5)
+    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", F.inline("leaks"))
 
 
