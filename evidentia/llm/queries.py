@@ -63,7 +63,13 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_counts, op4_benchmark_decontamination, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring)
+    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_counts, op4_benchmark_decontamination, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring, op10_ngram_jaccard_join)
 }
 ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
