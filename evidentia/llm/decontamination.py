@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm.common import slices, words_of
+from evidentia.ship import ship
 
 CHUNK = 16
 EDGES = ".,;:!?\"'()[]"
@@ -269,6 +270,7 @@ def find_leaks(
     named like ``column`` is an error. Items without words, or with a null id or text, are left out; the
     benchmark is worked on in blocks of ``BLOCK_ITEMS``, which bounds all that is broadcast.
     """
+    ship(docs.sparkSession)
     if column in docs.columns:
         raise ValueError(f"column {column} exists already; give another name")
     picked = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a"))

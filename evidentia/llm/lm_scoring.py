@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import fold_of, slices, words_of, written
+from evidentia.ship import ship
 
 SPACE = "▁"
 #: Most words whose scores are sent to every task; the others are joined.
@@ -116,6 +117,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out_
     The scores of at most ``FREQUENT_WORDS`` words (the most frequent ones) travel to the tasks; every
     other word is joined by a shuffle, so the model may have any number of words.
     """
+    ship(docs.sparkSession)
     path = path or default_path()
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (fold_of(F.col(doc_id)) == held_out_fold).alias("held_out"))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import hash64, mix, slices, small, words_of, written
+from evidentia.ship import ship
 
 #: Times a token must be found to be frequent. Any value gives the same links.
 FREQUENT = 64
@@ -289,6 +290,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     is never the smallest; repeated rows link as equal sets; an empty table gives no rows; other columns
     are not read.
     """
+    ship(docs.sparkSession)
     r1, r2 = (F.col(row[0]), F.col(row[1])) if row else (F.lit(0), F.lit(0))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), r1.cast("long").alias("r1"), r2.cast("long").alias("r2"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import slices, small, written
 from evidentia.llm.tokens import encoder
+from evidentia.ship import ship
 
 Genome = list[tuple[tuple[int, ...], int]]
 END_ID = 0
@@ -170,6 +171,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     tasks, so one hot length is never gathered. The genome becomes at most a few thousand ranges of
     numbers, and each piece finds its place by binary search.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     found = written(cut(docs, doc_id, text, capacity, tokenizer))
     per_part = found.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import slices
 from evidentia.llm.tokens import encoder
+from evidentia.ship import ship
 
 
 def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -27,6 +28,7 @@ def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None
         if seen:
             yield pa.record_batch([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["length", "n"])
 
+    ship(docs.sparkSession)
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "length int, n long")
     return counted.groupBy("length").agg(F.sum("n").alias("n_docs"))
 
