@@ -35,6 +35,13 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", F.inline("leaks"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.suffix_dedup import dedup_substrings
+
+    out = dedup_substrings(_documents(spark, sf_dir, "doc_id", "text"), digest=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.packing import pack
 
@@ -70,6 +77,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_counts, op4_benchmark_decontamination, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_counts, op4_benchmark_decontamination, op5_suffix_array_dedup, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring, op10_ngram_jaccard_join)
 }
 ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
