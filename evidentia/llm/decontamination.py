@@ -28,7 +28,7 @@ EDGES = ".,;:!?\"'()[]"
 BLOCK_ITEMS = 500
 RANK = 64
 #: Words in over this share of chunks carry no weight, except the KEPT rarest words of each item.
-COMMON, KEPT = 0.005, 8
+COMMON, KEPT = 0.002, 4
 #: Share of an item window's latent weight, then of its inverse frequencies, that a candidate passage must
 #: bring. A passage that holds an item covers 3/4 of one of its windows, and ``enough`` of the words in it.
 COVER, OVERLAP = 0.15, 0.33
@@ -48,14 +48,13 @@ class Benchmark(NamedTuple):
     words: list[str]
 
 
-def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words in lower case without marks at their ends (a word of marks alone is empty), and each text's first word."""
-    flat, at = words_of(texts, lower=False)
-    return pc.utf8_trim(pc.utf8_lower(flat), characters=EDGES), at
+def _plain(words: pa.Array) -> pa.Array:
+    """Words in lower case without marks at their ends; a word of marks alone is empty."""
+    return pc.utf8_trim(pc.utf8_lower(words), characters=EDGES)
 
 
 def tokens(text: str | None) -> list[str]:
-    return [w for w in plain_words(pa.array([text], pa.string()))[0].to_pylist() if w]
+    return [w for w in _plain(words_of(pa.array([text], pa.string()), lower=False)[0]).to_pylist() if w]
 
 
 def read_items(rows: list[tuple[int, str, str | None]]) -> Benchmark:
@@ -71,8 +70,10 @@ def read_items(rows: list[tuple[int, str, str | None]]) -> Benchmark:
 
 def _read(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids (-1: not the benchmark's), each text's first word, each word's chunk; chunks don't cross texts."""
-    flat, at = plain_words(texts)
-    ids = np.asarray(pc.fill_null(pc.index_in(flat, value_set=known), -1))
+    flat, at = words_of(texts, lower=False)
+    coded = flat.dictionary_encode()  # each distinct word is made plain and looked up once
+    kinds = pc.index_in(_plain(coded.dictionary), value_set=known)
+    ids = np.asarray(pc.fill_null(kinds, -1))[np.asarray(coded.indices)] if len(flat) else np.empty(0, np.int32)
     sizes = np.diff(at)
     first = np.concatenate([[0], np.cumsum(-(-sizes // CHUNK))])
     chunk = np.repeat(first[:-1], sizes) + (np.arange(len(flat)) - np.repeat(at[:-1], sizes)) // CHUNK
@@ -144,7 +145,7 @@ def _singular_vectors(docs: DataFrame, text: str, bench: Benchmark, weight: np.n
     return _fold_in(u[:, :rank], bench, weight).astype(np.float32)
 
 
-def _fold_in(u: np.ndarray, bench: Benchmark, weight: np.ndarray, least: float = 0.3) -> np.ndarray:
+def _fold_in(u: np.ndarray, bench: Benchmark, weight: np.ndarray, least: float = 0.1) -> np.ndarray:
     """Directions are added for items of which the corpus' main directions hold less than ``least``, so none is out of reach."""
     rows = np.zeros((len(bench.items), len(weight)))
     for k, item in enumerate(bench.items):

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -312,3 +313,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("label").isNull() | F.coalesce("chosen", F.lit(False))).alias("keeps"), "r1", "r2"
     )
     return out.withColumnsRenamed({"r1": row[0], "r2": row[1]}) if row else out.drop("r1", "r2")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
+    """``docs`` with one row of each component of near duplicates; the same columns, all other rows.
+
+    Rows are told apart by file and place, so repeated and null ids do no harm; a table that isn't read
+    from files is written first.
+    """
+    place = lambda df: df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    try:
+        placed = place(docs)
+    except AnalysisException:
+        placed = place(written(docs))
+    gone = near_duplicates(placed, doc_id, text, size, ("__file", "__row")).where("not keeps").select("__file", "__row")
+    return placed.join(small(written(gone)), ["__file", "__row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])

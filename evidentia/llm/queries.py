@@ -42,6 +42,13 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.chat_format import format_chats
+
+    out = format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.select(F.col("conv").alias("conv_id"), F.col("at").alias("turn"), "role", "opens", "rendered")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.packing import pack
 
@@ -77,6 +84,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_counts, op4_benchmark_decontamination, op5_suffix_array_dedup, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring, op10_ngram_jaccard_join)
+    f.__name__: f
+    for f in (op1_quality_rules, op2_line_dedup, op3_token_counts, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_chat_formatting, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring, op10_ngram_jaccard_join)
 }
 ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
