@@ -3,12 +3,12 @@
 Every window of ``length`` bytes is owned by one anchor, the smallest of its ``GRAM``-byte hashes, so
 equal windows have equal anchors. Runs of windows with one anchor are intervals.
 
-1. Each task cuts its documents (in chunks of about 3 MB) into intervals and sends the pair (anchor hash,
+1. Each task cuts its documents (in chunks of about 1.5 MB) into intervals and sends the pair (anchor hash,
    content hash) of each, once for a chunk, to buckets of the hash space.
 2. Buckets answer: an interval whose content stands elsewhere is covered; one whose anchor stands
    elsewhere with other contents is asked for its bytes.
-3. The asked contents of an anchor meet in one task, where their windows are suffix-sorted and equal
-   windows marked. An anchor with very many contents (a passage that a large share of all documents
+3. The asked contents of an anchor meet in one task. Windows whose hash stands alone there have no equal;
+   the others are suffix-sorted and equal windows marked. An anchor with very many contents (a passage that a large share of all documents
    has) is split: its windows travel by their own 128-bit hashes, which spread evenly.
 4. Chunks remove what is covered.
 """
@@ -31,7 +31,9 @@ from evidentia.llm.suffix_sort import equal_windows
 from evidentia.ship import ship
 
 GRAM = 32
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 3 << 19
+#: Windows that are sorted at once.
+SORT_AT_ONCE = 200_000
 #: Contents of an anchor above which its windows travel by hash.
 MANY = 2_000
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -83,7 +85,8 @@ def intervals(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     with np.errstate(over="ignore"):
         content = (total[last + length] - total[first]) * powers(inverse(_OTHER), len(data) + 1)[first]
         content = mix(content + (at - first).astype(np.uint64) * np.uint64(_BASE) + (last - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return first, last, hashes[at], content
+    # Anchors are minima, so their hashes are small: mixed again, they spread evenly over the buckets.
+    return first, last, mix(hashes[at] + np.uint64(1)), content
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +241,25 @@ def _contents(length: int, buckets: int):
     return run
 
 
+def _equal(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Indices of the windows that have an equal one, part by part of the hash space."""
+    hashes = _rolling(text, length)[starts]
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    same = ranked[1:] == ranked[:-1]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    ranked, out, at = hashes[order], [], 0
+    while at < len(order):
+        to = min(len(order), at + SORT_AT_ONCE)
+        while to < len(order) and ranked[to] == ranked[to - 1]:
+            to += 1
+        part = order[at:to]
+        for c in equal_windows(text, starts[part], length):
+            out.append(part[c])
+        at = to
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 def _sorted(length: int):
     def run(group: pa.Table) -> pa.Table:
         """Equal windows among the contents of a bucket: starts within their interval (kind 5) or chunk (kind 6)."""
@@ -254,8 +276,7 @@ def _sorted(length: int):
             windows = more + 1
             place = np.repeat(np.arange(len(index)), windows)
             shift = np.arange(int(windows.sum())) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
-            found = equal_windows(text, begin[place] + shift, length)
-            flat = np.fromiter((i for c in found for i in c), np.int64)
+            flat = _equal(text, begin[place] + shift, length)
             flat = flat[lone[place[flat]] > 0] if len(flat) else flat
             flat = flat[np.argsort(owner[place[flat]], kind="stable")] if len(flat) else flat
             ends = np.searchsorted(owner[place[flat]], np.arange(len(parts) + 1)) if len(flat) else np.zeros(len(parts) + 1, np.int64)

@@ -12,21 +12,21 @@ import numpy as np
 SHALLOW = 32
 
 
-def _eights(text: np.ndarray) -> np.ndarray:
-    """At each place, the next eight bytes as one big-endian number (zeros beyond the end)."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    out = np.zeros(len(text), np.uint64)
+def _eights(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one big-endian number (zeros beyond the end)."""
+    out = np.zeros(len(places), np.uint64)
     for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + len(text)]
+        at = places + k
+        out = (out << np.uint64(8)) | np.where(at < len(text), text[np.minimum(at, len(text) - 1)], 0).astype(np.uint64)
     return out
 
 
 def shallow_sort(text: np.ndarray, starts: np.ndarray, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """The order of ``starts`` by their first ``depth`` bytes, and where in it each group of equals begins."""
-    keys, order = _eights(text), np.arange(len(starts))
+    order = np.arange(len(starts))
     group = np.zeros(len(starts), np.int64)
     for at in range(0, depth, 8):
-        key = keys[np.minimum(starts[order] + at, len(text) - 1)]
+        key = _eights(text, starts[order] + at)
         step = np.lexsort((key, group))
         order, key, group = order[step], key[step], group[step]
         new = np.concatenate([[False], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
