@@ -1,4 +1,4 @@
-"""All registered queries over the reference's operators."""
+"""All registered queries over the reference's operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from evidentia.plans import document_queries, fact_queries, page_queries, run_queries
+
+_MODULES = (page_queries, document_queries, fact_queries, run_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
