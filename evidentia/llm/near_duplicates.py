@@ -12,10 +12,12 @@
    both short prefixes. If it is rare it is a shared signature. If not, all shared tokens are frequent;
    of the pairs of neighbours among those in the longer prefix at most x + y are parted by other
    tokens, so at least one pair is left, and it is a shared signature.
-4. Sets that share a signature are verified: small groups pair by pair, large ones against a pivot at a
-   time. What links to the pivot leaves the group; by the triangle inequality of the Jaccard distance,
-   only sets within 0.5 of the pivot need comparing with those that left. So a group of near copies
-   takes about as many checks as it has members, and no link between different sets is lost.
+4. Sets that share a signature are verified: small groups pair by pair, large ones against a pivot first.
+   Then only sets outside the pivot's component are compared with sets of other components, and by the
+   triangle inequality of the Jaccard distance only those whose distances to the pivot differ by 0.25 at
+   most, and by numbers of repeated tokens in classes of the hash space, of which two sets share the
+   smaller at most. So a group of near copies takes about as many checks as it has members, and no link that connects
+   different components is lost. Groups of the same sets (near copies share many signatures) count once.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import hash64, mix, slices, small, words_of, written
@@ -36,7 +38,12 @@ from evidentia.ship import ship
 #: Times a token must be found to be frequent. Any value gives the same links.
 FREQUENT = 64
 #: Up to so many sets a group is compared pair by pair.
-PAIRWISE = 12
+PAIRWISE = 20
+#: Classes of tokens (by hash) whose numbers, up to so many each, bound what two sets share.
+CLASSES, LEVELS = 128, 8
+_LONGS = CLASSES * LEVELS // 64
+#: Members of a large group that sets outside its main component are tried against before all others.
+MORE_PIVOTS = 12
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -94,7 +101,7 @@ def _send(docs: DataFrame, buckets: int, size: int) -> DataFrame:
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             sets = shingle_sets(batch.column("text"), size)
             keys, lone, seen = [], [], {}
             for i, s in enumerate(sets):
@@ -148,7 +155,7 @@ def _count(group: pa.Table) -> pa.Table:
             to.append(x)
     if tokens:
         token, doc = np.concatenate(tokens), np.concatenate(docs)
-        owner = np.repeat(np.arange(len(whose)), [n for _, n in whose])
+        owner = np.repeat(np.arange(len(whose), dtype=np.int32), [n for _, n in whose])
         order = np.argsort(token, kind="stable")
         token, doc, owner = token[order], doc[order], owner[order]
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
@@ -183,7 +190,14 @@ def _signatures(token: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([single, pairs])
 
 
-_SETS = "uid long, doc_id long, r1 long, r2 long, n long, k1 long, k2 long, tokens array<long>, signatures array<long>"
+def _sketch(token: np.ndarray) -> np.ndarray:
+    """Numbers of tokens by class, each as so many bits of ``LEVELS``, and how many tokens are beyond that."""
+    counts = np.bincount((token % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
+    bits = np.packbits(counts[None, :] > np.arange(LEVELS)[:, None], bitorder="little").view(np.int64)
+    return np.append(bits, np.maximum(counts - LEVELS, 0).sum())
+
+
+_SETS = "uid long, doc_id long, r1 long, r2 long, n long, k1 long, k2 long, tokens array<long>, signatures array<long>, sketch array<long>"
 
 
 def _gather(group: pa.Table) -> pa.Table:
@@ -205,67 +219,95 @@ def _gather(group: pa.Table) -> pa.Table:
     order = np.lexsort((token, df, doc))
     token, doc, df = token[order], doc[order], df[order]
     ends = np.searchsorted(doc, np.arange(len(n) + 1))
-    sets, signs = [], []
+    sets, signs, sketches = [], [], []
     for i in range(len(n)):
         if may[i]:
             t, f = token[ends[i] : ends[i + 1]], df[ends[i] : ends[i + 1]]
             sets.append(t.view(np.int64))
             signs.append(_signatures(t, f, int(n[i])).view(np.int64))
+            sketches.append(_sketch(t))
         else:
             sets.append(None)
             signs.append(None)
+            sketches.append(None)
     keys = [np.frombuffer(k, np.int64).tolist() if k else (None, None) for k in about.column("key").to_pylist()]
     lists = lambda xs: pa.array([None if x is None else x.tolist() for x in xs], pa.list_(pa.int64()))
     return pa.table(
         {
             "uid": pa.array(base + np.arange(len(n))), "doc_id": about.column("doc_id"), "r1": about.column("r1"), "r2": about.column("r2"), "n": pa.array(n),
-            "k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()), "tokens": lists(sets), "signatures": lists(signs),
+            "k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()), "tokens": lists(sets), "signatures": lists(signs), "sketch": lists(sketches),
         }
     )
 
 
+def _may_link(na: Column, ka: Column, nb: Column, kb: Column) -> Column:
+    """Whether two sets can link: of each class of tokens they share what the poorer one has at most."""
+    most = F.least(ka[_LONGS], kb[_LONGS])
+    for i in range(_LONGS):
+        most = most + F.bit_count(ka[i].bitwiseAND(kb[i]))
+    return 100 * most >= 75 * (na + nb - most)
+
+
+def _may(na: Column, ra: Column, nb: Column, rb: Column, percent: int) -> Column:
+    """Whether two sets can be so similar: what they share is among the repeated tokens (r) of both."""
+    most = F.least(ra, rb)
+    return 100 * most >= percent * (na + nb - most)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, linked, near`` of distinct pairs; near: the distance is 0.5 at most."""
+    """``a, b, linked, distance`` of distinct pairs."""
     side = lambda x: sets.select(F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    sizes = lambda x: sets.select(F.col("uid").alias(x), F.col("n").alias(f"n{x}"))
-    # Sizes rule out most pairs that can't be near before any set moves.
-    likely = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(2 * F.least("na", "nb") >= F.greatest("na", "nb")).select("a", "b")
     both = F.size(F.array_intersect("ta", "tb"))
-    checked = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("i"), (F.col("na") + F.col("nb") - both).alias("u"))
-    return checked.select("a", "b", (100 * F.col("i") >= 75 * F.col("u")).alias("linked"), (2 * F.col("i") >= F.col("u")).alias("near"))
+    checked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("i"), (F.col("na") + F.col("nb") - both).alias("u"))
+    return checked.select("a", "b", (100 * F.col("i") >= 75 * F.col("u")).alias("linked"), (1 - F.col("i") / F.col("u")).alias("distance"))
+
+
+def _fewest_lone(members: DataFrame) -> DataFrame:
+    """``s, b, nb, kb``: of each group and each of ``MORE_PIVOTS`` classes of its members, the one with the fewest lone tokens."""
+    lone = F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("lone"), F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    picked = members.groupBy("s", F.pmod(F.xxhash64("uid"), F.lit(MORE_PIVOTS)).alias("k")).agg(F.min(lone).alias("m"))
+    return picked.select("s", "m.b", "m.nb", "m.kb")
 
 
 def links(sets: DataFrame) -> DataFrame:
     """``a, b``: links between different sets that connect all sets that any links connect."""
-    spark = sets.sparkSession
-    rows = sets.select("uid", F.explode("signatures").alias("s"))
-    counted = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    live = written(rows.join(counted.select("s"), "s").distinct())
-    found: list[DataFrame] = []
-    done = spark.createDataFrame([], "a long, b long, linked boolean, near boolean")
-    waiting = spark.createDataFrame([], "a long, b long")
-    while True:
-        groups = live.groupBy("s").agg(F.count("*").alias("c"), F.min("uid").alias("pivot")).where("c > 1")
-        live = live.join(groups, "s")
-        few = live.where(F.col("c") <= PAIRWISE).select("s", "uid")
-        pairs = few.join(few.withColumnRenamed("uid", "b"), "s").where("uid < b").select(F.col("uid").alias("a"), "b")
-        stars = live.where((F.col("c") > PAIRWISE) & (F.col("uid") != F.col("pivot"))).select("s", F.col("pivot").alias("a"), F.col("uid").alias("b"))
-        stars = written(stars)
-        wanted = pairs.unionByName(stars.select("a", "b")).unionByName(waiting).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        scored = written(_verify(wanted, sets))
-        found.append(scored.where("linked").select("a", "b"))
-        if stars.isEmpty():
-            break
-        done = written(done.unionByName(scored))
-        state = stars.join(done, ["a", "b"], "left").select("s", "a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("near", F.lit(False)).alias("near"))
-        state = written(state)
-        between = state.where("near and not linked").select("s", F.col("b").alias("x")).join(state.where("linked").select("s", F.col("b").alias("y")), "s")
-        waiting = written(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        live = written(state.where("not linked").select("s", F.col("b").alias("uid")))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
+    rows = sets.select("uid", "n", F.size("tokens").alias("r"), "sketch", F.explode(F.array_distinct("signatures")).alias("s"))
+    seal = [F.bit_xor(F.xxhash64("uid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("h2")]
+    shared = rows.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("lone"), "uid", "n", "r")).alias("p"), *seal).where("c > 1")
+    # Near copies share many signatures: groups of the same sets are worked on once.
+    groups = written(shared.groupBy("c", "p", "h1", "h2").agg(F.min("s").alias("s")).select("s", "c", F.col("p.uid").alias("a"), F.col("p.n").alias("na"), F.col("p.r").alias("ra")))
+    live = written(rows.join(small(groups), "s"))
+    few = live.where(F.col("c") <= PAIRWISE).select("s", "uid", "n", "sketch")
+    other = few.select("s", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    pairs = few.join(other, "s").where((F.col("uid") < F.col("b")) & _may_link(F.col("n"), F.col("sketch"), F.col("nb"), F.col("kb"))).select(F.col("uid").alias("a"), "b")
+    # Large groups of one pivot are worked on as one.
+    stars = live.where((F.col("c") > PAIRWISE) & (F.col("uid") != F.col("a"))).withColumnRenamed("uid", "b")
+    stars = written(stars.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("n", "r", "sketch", "na", "ra")]).withColumn("s", F.col("a")))
+    near = stars.where(_may(F.col("n"), F.col("r"), F.col("na"), F.col("ra"), 50)).select("a", "b")
+    done = written(_verify(pairs.unionByName(near).distinct(), sets))
+    found = done.where("linked").select("a", "b")
+    if stars.isEmpty():
+        return found
+    label = components(found)
+    state = stars.join(done, ["a", "b"], "left").select("s", "a", F.col("b").alias("uid"), "n", "r", "sketch", F.coalesce("linked", F.lit(False)).alias("linked"), "distance")
+    named = state.join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").join(label.select(F.col("node").alias("a"), F.col("label").alias("own")), "a", "left")
+    named = written(named.select("s", "uid", "n", "r", "sketch", "linked", "distance", F.coalesce("label", "uid").alias("label"), F.coalesce("own", "a").alias("own")))
+    # Sets outside the pivot's component are tried against its members with the fewest lone tokens first.
+    best = _fewest_lone(named.where("linked"))
+    tried = named.where("label <> own").join(small(best), "s").where(_may_link(F.col("n"), F.col("sketch"), F.col("nb"), F.col("kb"))).select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b")).distinct()
+    more = written(_verify(tried, sets))
+    done = done.unionByName(more)
+    found = written(found.unionByName(more.where("linked").select("a", "b")))
+    label = components(found)
+    named = named.drop("label", "own").join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("a", F.col("s")).join(label.select(F.col("node").alias("a"), F.col("label").alias("own")), "a", "left")
+    named = written(named.select("s", "uid", "n", "r", "sketch", "linked", "distance", F.coalesce("label", "uid").alias("label"), F.coalesce("own", "a").alias("own")))
+    # Sets outside the pivot's component meet those of other components, unless sizes or the triangle inequality rule
+    # it out: distances to the pivot (over 0.5 where they weren't worth computing) differ by 0.25 at most.
+    outside = named.where("label <> own").select("s", F.col("uid").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.col("sketch").alias("kx"), F.col("distance").alias("dx"), F.col("label").alias("lx"))
+    far = F.abs(F.coalesce("dx", F.greatest(F.lit(0.5), "distance")) - F.coalesce("distance", F.greatest(F.lit(0.5), "dx"))) > 0.25 + 1e-9
+    last = outside.join(named, "s").where((F.col("lx") != F.col("label")) & ((F.col("label") == F.col("own")) | (F.col("x") < F.col("uid"))) & ~F.coalesce(far, F.lit(False)) & _may(F.col("nx"), F.col("rx"), F.col("n"), F.col("r"), 75) & _may_link(F.col("nx"), F.col("kx"), F.col("n"), F.col("sketch")))
+    last = last.select(F.least("x", "uid").alias("a"), F.greatest("x", "uid").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+    return found.unionByName(written(_verify(last, sets)).where("linked").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -295,13 +337,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     r1, r2 = (F.col(row[0]), F.col(row[1])) if row else (F.lit(0), F.lit(0))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), r1.cast("long").alias("r1"), r2.cast("long").alias("r2"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # A bucket holds the tokens of about 16 MB of text, whatever the input's size.
-    buckets = max(8, -(-total // (16 << 20)))
+    # A bucket holds the tokens of about 12 MB of text, whatever the input's size.
+    buckets = max(8, -(-total // (12 << 20)))
     counted = _send(rows, int(buckets), size).groupBy("bucket").applyInArrow(_count, "chunk long, kind int, data binary, about binary")
     known = written(counted.groupBy("chunk").applyInArrow(_gather, _SETS))
 
     nodes = written(known.where("k1 is not null").groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")))
-    sets = written(known.where("tokens is not null").select("uid", "n", "tokens", "signatures").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi"))
+    sets = written(known.where("tokens is not null").select("uid", "n", "tokens", "signatures", "sketch").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi"))
     labels = components(links(sets))
     labelled = nodes.join(labels, "node", "left").select("k1", "k2", "least", F.coalesce("label", "node").alias("label"))
     by_label = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
