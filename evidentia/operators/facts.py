@@ -117,9 +117,6 @@ def normalize(rows: DataFrame, connector: str, mapping: dict[str, str], project_
     blank = lambda f: F.coalesce(F.btrim(raw(f)), F.lit("")) == ""
     typed: dict[str, Column] = {"date": iso_date(raw("date")), "date_to": iso_date(raw("dateTo"))}
     snake = lambda f: {"averagePosition": "average_position", "dateTo": "date_to", "engagementRate": "engagement_rate", "qualifiedLeads": "qualified_leads"}.get(f, f)
-    errors: list[tuple[Column, str, str]] = [(is_formula(raw(f)), "FORMULA_VALUE", f) for f in [*required, *optional] if f in mapping]
-    errors += [(blank("date"), "MISSING_VALUE", "date"), (typed["date"].isNull(), "INVALID_VALUE", "date")]
-    errors += [(~blank("dateTo") & (typed["date_to"].isNull() | (typed["date_to"] < typed["date"])), "INVALID_VALUE", "dateTo")]
     for f in [*required, *optional]:
         if f in ("date", "dateTo"):
             continue
@@ -135,9 +132,19 @@ def normalize(rows: DataFrame, connector: str, mapping: dict[str, str], project_
             typed[f] = F.when(typed[f].rlike("(?i)^https?://"), U.canonical(typed[f])).otherwise(F.when(page.startswith("/"), page))
         else:
             typed[f] = safe_text(raw(f))
+    # Typed values are computed once; checks, hashes and the result refer to them.
+    names = {f: f"__{i}" for i, f in enumerate(typed)}
+    rows = rows.withColumn("__formula", F.array(*[is_formula(raw(f)) for f in mapping])).withColumns({names[f]: c for f, c in typed.items()})
+    typed = {f: F.col(n) for f, n in names.items()}
+    formula = {f: F.col("__formula")[i] for i, f in enumerate(mapping)}
+    errors: list[tuple[Column, str, str]] = [(formula[f], "FORMULA_VALUE", f) for f in [*required, *optional] if f in mapping]
+    errors += [(blank("date"), "MISSING_VALUE", "date"), (typed["date"].isNull(), "INVALID_VALUE", "date")]
+    errors += [(~blank("dateTo") & (typed["date_to"].isNull() | (typed["date_to"] < typed["date"])), "INVALID_VALUE", "dateTo")]
+    for f in [*required, *optional]:
+        if f in ("date", "dateTo"):
+            continue
         if f in required:
-            errors.append((blank(f), "MISSING_VALUE", f))
-            errors.append((typed[f].isNull(), "INVALID_VALUE", f))
+            errors += [(blank(f), "MISSING_VALUE", f), (typed[f].isNull(), "INVALID_VALUE", f)]
         else:
             errors.append((~blank(f) & typed[f].isNull(), "INVALID_VALUE", f))
     if connector == "search-console-csv":
