@@ -26,6 +26,8 @@ CHUNK = 16
 EDGES = ".,;:!?\"'()[]"
 #: Items worked on at once: bounds what is broadcast and what each task sums.
 BLOCK_ITEMS = 500
+#: Passages compared with all items at once.
+_ROWS = 4096
 RANK = 64
 #: Words in over this share of chunks carry no weight, except the KEPT rarest words of each item.
 COMMON, KEPT = 0.002, 4
@@ -86,7 +88,7 @@ def _frequencies(docs: DataFrame, text: str, bench: Benchmark) -> tuple[np.ndarr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, known, seen = 0, pa.array(words, pa.large_string()), np.zeros(n, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             ids, _, chunk = _read(batch.column("text"), known)
             total += int(len(np.unique(chunk)))
             hit = ids >= 0
@@ -114,7 +116,7 @@ def _singular_vectors(docs: DataFrame, text: str, bench: Benchmark, weight: np.n
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, out, scaled = pa.array(words, pa.large_string()), np.zeros((n, width), np.float32), start * weight[:, None]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             ids, _, chunk = _read(batch.column("text"), known)
             use = (ids >= 0) & (weight[ids] > 0)
             ids, chunk = ids[use], chunk[use]
@@ -230,13 +232,13 @@ class Searcher:
             pair = np.zeros_like(sums)
             follows = np.flatnonzero((own[1:] == own[:-1] + 1) & (doc[1:] == doc[:-1]))
             pair[follows] = sums[follows + 1]
-            for block in range(0, len(own), 8192):
-                z = sums[block : block + 8192] + pair[block : block + 8192]
+            for block in range(0, len(own), _ROWS):
+                z = sums[block : block + _ROWS] + pair[block : block + _ROWS]
                 length = np.linalg.norm(z, axis=1, keepdims=True)
                 dot = z @ self.items.T
                 score = dot / np.where(length > 0, length, 1)
                 where = np.nonzero((score >= self.cosine) & (dot >= COVER * self.sizes) & (self.sizes > 0))
-                starts = at[doc[block : block + 8192]] + (own[block : block + 8192] - first[doc[block : block + 8192]]) * CHUNK
+                starts = at[doc[block : block + _ROWS]] + (own[block : block + _ROWS] - first[doc[block : block + _ROWS]]) * CHUNK
                 spots = starts[where[0]][:, None] + np.arange(2 * CHUNK)
                 spots = np.where(spots < at[doc[block + where[0]] + 1][:, None], spots, len(ids))
                 brought = self.shares[where[1][:, None], padded[spots]].sum(1)
@@ -306,16 +308,15 @@ def _search(docs: DataFrame, searcher: Searcher, text: str, column: str) -> Data
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         known = pa.array(s.bench.words, pa.large_string())
-        for batch in slices(batches, "__text"):
-            found = s.leaks(batch.column("__text"), known)
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+        for batch in slices(batches, text, 4 << 20):
+            found = s.leaks(batch.column(text), known)
+            kept = list(batch.columns)
             at = names.index(column)
             old = kept[at].to_pylist()
             kept[at] = pa.array([o + f for o, f in zip(old, found, strict=True)], kept[at].type)
             yield pa.record_batch(kept, names=names)
 
-    schema = T.StructType(docs.schema.fields)
-    return docs.withColumn("__text", F.col(text)).mapInArrow(search, schema)
+    return docs.mapInArrow(search, T.StructType(docs.schema.fields))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: Any) -> DataFrame:
