@@ -54,5 +54,7 @@ def import_csv(spark: SparkSession, path: str, connector: str, project_id: str,
     headers = [c for c in rows.columns if c != "row_number"]
     mapping = mapping or facts.suggest_mapping(headers, connector)
     facts.check_mapping(mapping, headers, connector)
-    accepted, rejected = facts.split_duplicates(facts.normalize(rows, connector, mapping, project_id, label, import_id), stored)
-    return Import(accepted, rejected, facts.counters(accepted, rejected), opportunities.opportunities(accepted))
+    judged = facts.judge(facts.normalize(rows, connector, mapping, project_id, label, import_id), stored).persist()
+    accepted = judged.where("error_code is null").drop("error_code", "error_field")
+    rejected = judged.where("error_code is not null").select("row_number", "error_code", "error_field")
+    return Import(accepted, rejected, facts.counters(judged), opportunities.opportunities(accepted))

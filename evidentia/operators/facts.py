@@ -165,28 +165,33 @@ def normalize(rows: DataFrame, connector: str, mapping: dict[str, str], project_
     )
 
 
-def split_duplicates(normalized: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): a hash seen earlier in the file, or stored for the source, is a DUPLICATE_RECORD."""
-    good = normalized.where("error_code is null")
-    w = Window.partitionBy("source_id", "record_hash").orderBy("row_number")
-    marked = good.withColumn("_n", F.row_number().over(w))
+def judge(normalized: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Every row with its final ``error_code``: a hash seen earlier in the file, or stored for the source, is a DUPLICATE_RECORD.
+
+    Rows with an error are their own group, so they gather nowhere.
+    """
+    good = F.col("error_code").isNull()
+    w = Window.partitionBy("source_id", F.when(good, F.col("record_hash")).otherwise(F.col("row_number").cast("string"))).orderBy("row_number")
+    marked = normalized.withColumn("_again", good & (F.row_number().over(w) > 1))
     if stored is not None:
         known = stored.select("source_id", "record_hash").distinct().withColumn("_known", F.lit(True))
-        marked = marked.join(known, ["source_id", "record_hash"], "left")
-    else:
-        marked = marked.withColumn("_known", F.lit(None).cast("boolean"))
-    fresh = (F.col("_n") == 1) & F.col("_known").isNull()
-    accepted = marked.where(fresh).drop("_n", "_known", "error_code", "error_field")
-    repeated = marked.where(~fresh).select("row_number", F.lit("DUPLICATE_RECORD").alias("error_code"), F.lit(None).cast("string").alias("error_field"))
-    rejected = normalized.where("error_code is not null").select("row_number", "error_code", "error_field").unionByName(repeated)
-    return accepted, rejected
-
-
-def counters(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row: accepted, rejected, duplicates, first and last date."""
-    a = accepted.agg(F.count("*").alias("accepted"), F.min("date").alias("date_from"), F.max(F.coalesce("date_to", "date")).alias("date_to"))
-    r = rejected.agg(F.count("*").alias("rejected"), F.count_if(F.col("error_code") == "DUPLICATE_RECORD").alias("duplicates"))
-    return a.join(F.broadcast(r), F.lit(True), "left")  # one row each
+        marked = marked.join(known, ["source_id", "record_hash"], "left").withColumn("_again", F.col("_again") | (good & F.coalesce("_known", F.lit(False)))).drop("_known")
+    return marked.withColumn("error_code", F.when(F.col("_again"), F.lit("DUPLICATE_RECORD")).otherwise(F.col("error_code"))).drop("_again")
+
+
+def split_duplicates(normalized: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows of ``judge``; values of rejected rows are not kept."""
+    judged = judge(normalized, stored)
+    return judged.where("error_code is null").drop("error_code", "error_field"), judged.where("error_code is not null").select("row_number", "error_code", "error_field")
+
+
+def counters(judged: DataFrame) -> DataFrame:
+    """One row: accepted, rejected, duplicates, first and last date, from one pass over judged rows."""
+    good = F.col("error_code").isNull()
+    return judged.agg(
+        F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected"), F.count_if(F.col("error_code") == "DUPLICATE_RECORD").alias("duplicates"),
+        F.min(F.when(good, F.col("date"))).alias("date_from"), F.max(F.when(good, F.coalesce("date_to", "date"))).alias("date_to"),
+    )
 
 
 def filter_metrics(metrics: DataFrame, metric_type: str | None = None, page: str | None = None, query: str | None = None, device: str | None = None, country: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def _with(df: DataFrame, **kinds: str) -> DataFrame:
 
 def multi_page(metrics: DataFrame, least_impressions: int = 100) -> DataFrame:
     """Queries that several pages share on equal dates, device and country: pages, summed impressions, the sum as text."""
-    g = ["query_key", "date", "date_to", "device_key", "country_key"]
+    g = ["project_id", "query_key", "date", "date_to", "device_key", "country_key"]
     rows = metrics.where("metric_type = 'search-performance'").withColumns({"query_key": F.lower("query"), "device_key": F.lower("device"), "country_key": F.lower("country")})
     terms = F.transform(F.array_sort(F.collect_list(F.struct("row_number", "impressions"))), lambda x: x["impressions"].cast("string"))
     out = rows.groupBy(*g).agg(F.count_distinct("page").alias("pages"), F.sum("impressions").alias("impressions"), F.array_join(terms, " + ").alias("expression"), F.min("row_number").alias("row_number"), F.array_sort(F.collect_list("metric_id")).alias("metric_ids"))
@@ -56,7 +56,7 @@ def opportunities(accepted: DataFrame) -> DataFrame:
     key = F.concat(F.coalesce("page", F.lit("all-pages")), F.lit("‖"), F.coalesce("query", F.lit("all-queries")))
     single = m.select("project_id", "page", "query", key.alias("group_key"), "row_number", F.array("metric_id").alias("metric_ids"), F.explode(F.array_compact(F.array(*made))).alias("r"))
     single = single.select("project_id", "page", "query", "group_key", "row_number", "metric_ids", "r.*")
-    many = multi_page(m).join(F.broadcast(m.select("project_id").distinct().limit(1)), F.lit(True)).select(
+    many = multi_page(m).select(
         "project_id", F.lit(None).cast("string").alias("page"), F.col("query_key").alias("query"), F.concat_ws("‖", "query_key", "date", F.coalesce(F.col("date_to").cast("string"), F.lit("")), "device_key", "country_key").alias("group_key"),
         "row_number", "metric_ids", F.lit(99).alias("at"), F.lit("SEARCH_QUERY_MULTIPLE_PAGES").alias("rule_id"), F.lit("medium").alias("priority"),
     )

@@ -45,14 +45,13 @@ def search_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.counters(*facts.split_duplicates(_search(spark, sf_dir))).select("accepted", "rejected", "duplicates", F.col("date_from").cast("string").alias("date_from"), F.col("date_to").cast("string").alias("date_to"))
+    return facts.counters(facts.judge(_search(spark, sf_dir))).select("accepted", "rejected", "duplicates", F.col("date_from").cast("string").alias("date_from"), F.col("date_to").cast("string").alias("date_to"))
 
 
 def reimport(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same file again: nothing is accepted."""
     first, _ = facts.split_duplicates(_search(spark, sf_dir))
-    again, rejected = facts.split_duplicates(_search(spark, sf_dir), first)
-    return facts.counters(again, rejected).select("accepted", "rejected")
+    return facts.counters(facts.judge(_search(spark, sf_dir), first)).select("accepted", "rejected")
 
 
 def metric_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def test_import_golden(spark, tmp_path):
     assert [(r["row_number"], r["error_code"]) for r in rejected.orderBy("row_number").collect()] == [(2, "DUPLICATE_RECORD"), (3, "INVALID_VALUE"), (4, "FORMULA_VALUE")]
     again, dup = facts.split_duplicates(normal(rows, "i2"), accepted)
     assert again.count() == 0 and dup.where("error_code = 'DUPLICATE_RECORD'").count() == 2
-    c = facts.counters(accepted, rejected).first()
+    c = facts.counters(facts.judge(normal(rows))).first()
     assert (c["accepted"], c["rejected"], c["duplicates"]) == (1, 3, 1)
 
 
