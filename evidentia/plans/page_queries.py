@@ -48,7 +48,8 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_analysis.anchor_summary(page_analysis.link_edges(_parsed(spark, sf_dir)))
+    found = page_analysis.anchor_summary(page_analysis.link_edges(_parsed(spark, sf_dir)))
+    return found.withColumn("urls", F.array_join(F.array_sort("urls"), " "))
 
 
 def findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +114,13 @@ QUERIES = {f.__name__: f for f in (page_titles, url_canonical, host_rollup, link
 
 _TITLE = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))"
 _PATH = "regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]+', ''), '#.*$', '')"
+#: Root-relative links with plain texts, as the driver's pages have them.
+_EDGES = """links AS (SELECT page_id, url AS page_url, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS hs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS ts FROM pages),
+edges AS (SELECT page_id, page_url, (i - 1)::INT AS ordinal, lower(regexp_extract(page_url, '^([A-Za-z]+://[^/?#]+)', 1)) || replace(replace(url_encode(replace(hs[i], '&amp;', '&')), '%2F', '/'), '%2C', ',') AS target_url,
+ replace(hs[i], '&amp;', '&') AS href, 'internal' AS type, trim(replace(ts[i], '&amp;', '&')) AS anchor_text FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM links))"""
 ORACLE_SQL = {
+    "link_edges": f"WITH {_EDGES} SELECT * FROM edges",
+    "anchor_summary": f"WITH {_EDGES} SELECT page_id, arg_min(anchor_text, ordinal) AS anchor_text, count(*) AS n, count(*) AS n_internal, 0::BIGINT AS n_external, string_agg(DISTINCT target_url, ' ' ORDER BY target_url) AS urls FROM edges WHERE anchor_text <> '' GROUP BY page_id, lower(anchor_text)",
     "page_titles": f"SELECT page_id, nullif({_TITLE}, '') AS title, length({_TITLE})::INT AS title_length, nullif(regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1), '') AS document_language, len(regexp_extract_all(html, '<h1[ >]'))::INT AS h1_count FROM pages",
     "url_canonical": "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^([A-Za-z]+://[^/]+)', 1)) || CASE WHEN regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://[^/]+', '') = '' THEN '/' ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://[^/]+', '') END, '$', '?a=1&b=2&b=1') AS canonical_url, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host FROM pages",
     "host_rollup": "SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1",
