@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,7 +80,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        release()
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system, for the tasks beside it."""
     pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
@@ -111,6 +120,7 @@ def hash64(strings: pa.Array, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
         return mix(out + (off[1:] - off[:-1]).astype(np.uint64))
 
 
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 _POWERS: dict[int, np.ndarray] = {}
 
 

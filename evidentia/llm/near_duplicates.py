@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import hash64, mix, slices, small, words_of, written
+from evidentia.llm.common import hash64, mix, release, slices, small, words_of, written
 from evidentia.ship import ship
 
 #: Times a token must be found to be frequent. Any value gives the same links.
@@ -175,6 +175,7 @@ def _count(group: pa.Table) -> pa.Table:
             if len(part):
                 out.append((chunk, 0, _squeeze(token[part], doc[part], df[part]), b""))
     cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+    release()
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("chunk", "kind", "data", "about"), cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
 
@@ -202,6 +203,7 @@ _SETS = "uid long, doc_id long, r1 long, r2 long, n long, k1 long, k2 long, toke
 
 def _gather(group: pa.Table) -> pa.Table:
     """A chunk's documents; those of which 3/4 of the tokens came back carry these, ordered, and their signatures."""
+    release()
     base, about, parts = group.column("chunk")[0].as_py(), None, []
     for kind, data, more in zip(*(group.column(c).to_pylist() for c in ("kind", "data", "about")), strict=True):
         if kind == 1:
@@ -337,8 +339,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     r1, r2 = (F.col(row[0]), F.col(row[1])) if row else (F.lit(0), F.lit(0))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), r1.cast("long").alias("r1"), r2.cast("long").alias("r2"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # A bucket holds the tokens of about 12 MB of text, whatever the input's size.
-    buckets = max(8, -(-total // (12 << 20)))
+    # A bucket holds the tokens of about 6 MB of text, whatever the input's size.
+    buckets = max(8, -(-total // (6 << 20)))
     counted = _send(rows, int(buckets), size).groupBy("bucket").applyInArrow(_count, "chunk long, kind int, data binary, about binary")
     known = written(counted.groupBy("chunk").applyInArrow(_gather, _SETS))
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import inverse, mix, powers, prefix_hash, slices, written
+from evidentia.llm.common import inverse, mix, powers, prefix_hash, release, slices, written
 from evidentia.llm.near_duplicates import _squeeze, _unsqueeze
 from evidentia.llm.suffix_sort import equal_windows
 from evidentia.ship import ship
@@ -103,6 +103,7 @@ _FIELDS = (("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()),
 
 
 def _table(rows: list[tuple]) -> pa.Table:
+    release()
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(_FIELDS)
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(_FIELDS, cols, strict=True)})
 

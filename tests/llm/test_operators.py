@@ -190,6 +190,30 @@ def test_jaccard_join_matches_brute_force(spark, empty, monkeypatch, frequent, p
     assert nd.near_duplicates(empty).count() == 0
 
 
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Groups over the pairwise size whose members link, nearly link, and share a passage only."""
+    from evidentia.llm import near_duplicates as nd
+
+    monkeypatch.setattr(nd, "FREQUENT", 16)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    passage, bases, data = [word() for _ in range(40)], [[word() for _ in range(130)] for _ in range(3)], []
+    for i in range(260):
+        if i % 4 == 3:
+            w = [word() for _ in range(rng.randint(5, 30))] + passage
+        else:
+            w = list(bases[i % 3])
+            for _ in range(rng.randint(0, 9)):
+                w[rng.randrange(len(w))] = rng.choice(["edit", word()])
+            w = w[: rng.randint(110, 130)]
+        data.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split(" ")[k : k + 5]) for k in range(len(t.split(" ")) - 4)} for i, t in data}
+    want = _components(sets)
+    assert 5 < len(set(want.values())) < 200
+    got = nd.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_signature_scheme_always_meets():
     """Linked sets share a signature, whatever tokens are frequent."""
     from evidentia.llm import near_duplicates as nd
