@@ -37,6 +37,9 @@ from evidentia.ship import ship
 
 #: Times a token must be found to be frequent. Any value gives the same links.
 FREQUENT = 64
+#: Bits of a token that travel. Set sizes come from all 64; that two tokens of a pair of sets of 500 agree in these
+#: by chance has a probability of 6e-11.
+BITS = 52
 #: Up to so many sets a group is compared pair by pair.
 PAIRWISE = 20
 #: Classes of tokens (by hash) whose numbers, up to so many each, bound what two sets share.
@@ -110,7 +113,7 @@ def _send(docs: DataFrame, buckets: int, size: int) -> DataFrame:
                 if len(s) and seen.setdefault(key, i) == i:
                     lone.append(i)
             sizes = np.array([len(s) for s in sets], np.int64)
-            token = np.concatenate([sets[i] for i in lone]) if lone else np.empty(0, np.uint64)
+            token = np.concatenate([sets[i] for i in lone]) >> np.uint64(64 - BITS) if lone else np.empty(0, np.uint64)
             doc = np.repeat(np.array(lone, np.uint32), sizes[lone]) if lone else np.empty(0, np.uint32)
             order = np.argsort(token, kind="stable")
             token, doc = token[order], doc[order]
@@ -119,7 +122,7 @@ def _send(docs: DataFrame, buckets: int, size: int) -> DataFrame:
             hot = np.repeat(times >= FREQUENT, times)
             sums, counts = token[start][times >= FREQUENT], times[times >= FREQUENT].astype(np.uint32)
             mine, mine_doc, token, doc = token[hot], doc[hot], token[~hot], doc[~hot]
-            edges = ((np.arange(1, buckets, dtype=object) << 64) // buckets).astype(np.uint64) if buckets > 1 else np.empty(0, np.uint64)
+            edges = ((np.arange(1, buckets, dtype=object) << BITS) // buckets).astype(np.uint64) if buckets > 1 else np.empty(0, np.uint64)
             cut, cut_hot = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (token, sums))
             rows: list[tuple] = []
             for b in range(buckets):
