@@ -385,6 +385,23 @@ def test_decontamination_finds_copies_and_paraphrases(spark, empty):
         find_leaks(df.withColumn("leaks", F.lit(1)), bench)
 
 
+def test_no_item_is_out_of_reach_of_the_latent_space():
+    from evidentia.llm.decontamination import _fold_in, read_items
+
+    rng = random.Random(12)
+    bench = read_items([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(30)), None) for i in range(60)])
+    n = len(bench.words)
+    weight = np.ones(n, np.float32)
+    main, _ = np.linalg.qr(np.random.default_rng(12).standard_normal((n, 40)))
+    held = np.zeros((60, n))
+    for k, item in enumerate(bench.items):
+        np.add.at(held[k], list(item.ids), 1.0)
+    held /= np.linalg.norm(held, axis=1, keepdims=True)
+    before = np.linalg.norm(held @ main, axis=1)
+    assert ((before > 0.1) & (before < 0.3)).any()
+    assert np.linalg.norm(held @ _fold_in(main, bench, weight), axis=1).min() >= 0.3
+
+
 def test_longest_common_subsequence():
     from evidentia.llm.decontamination import _lcs
 
