@@ -4,11 +4,13 @@ Documents are read as passages (two chunks of 16 words, a step of one chunk) ove
 vocabulary. Three passes, none of which moves text: passage frequencies; a randomised SVD of the
 TF-IDF passage matrix A (each task adds up its part of A'(AG), and the sum gives the right singular
 vectors); then passages and items are compared by cosine in the latent space, and candidates are
-settled by the longest common subsequence with the item and by its answer.
+settled by the longest common subsequence with the item and by its answer. Latent retrieval can miss a
+paraphrase; bounds that every leak meets (``_Bounds``) propose all that are left, so none is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
@@ -171,6 +173,104 @@ def _lcs(masks: dict[int, int], size: int, ids: list[int]) -> int:
     return size - state.bit_count()
 
 
+class _Bounds:
+    """Candidates by bounds that every leak meets, whatever its words weigh.
+
+    A stretch whose common subsequence has ``m`` of an item's ``s`` words misses at most ``s - m`` of them.
+    So of the item's ``s - m + r`` rarest words at least ``r`` stand in it; the others need no look. A
+    stretch that leaks by its answer holds the answer word for word. ``r`` is a quarter of ``m``: any
+    choice is complete, a larger one reads more common words and proposes less.
+    """
+
+    def __init__(self, bench: Benchmark, idf: np.ndarray, enough: float):
+        items, n = bench.items, len(bench.words)
+        self.spans = np.array([_span(len(x.ids)) for x in items], np.int64)
+        self.least, self.need = np.zeros((2, len(items)), np.int64)
+        self.member = np.zeros((n + 1, len(items)), bool)  # the last row: words that aren't the benchmark's
+        rare, told = [], []
+        for k, x in enumerate(items):
+            size = len(x.ids)
+            m = min(size, max(1, math.ceil(enough * size)))
+            self.least[k], self.need[k] = max(1, m // 4), m
+            self.member[list(x.ids), k] = True
+            by_rarity = sorted(x.ids, key=lambda w: (-idf[w], w))
+            rare += [(w, k, 0) for w in dict.fromkeys(by_rarity[: size - m + int(self.least[k])])]
+            told.append(max((idf[w], w, k, o) for o, w in enumerate(x.answer))[1:])
+        self.rare, self.told = _postings(rare, n), _postings(told, n)
+        longest = max((len(x.answer) for x in items), default=0)
+        self.answers = np.array([[*x.answer, *[-2] * (longest - len(x.answer))] for x in items], np.int64).reshape(len(items), longest)
+
+    def places(self, ids: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, from, to): every stretch of an item's span that leaks lies in one of these, within its text."""
+        spots, which, _ = _meet(self.rare, ids)
+        order = np.argsort(which * (len(ids) + 1) + spots)
+        spots, which = spots[order], which[order]
+        last = np.arange(len(spots)) + self.least[which] - 1
+        inside = np.flatnonzero(last < len(spots))
+        last = last[inside]
+        close = (which[last] == which[inside]) & (spots[last] - spots[inside] < self.spans[which[inside]])
+        inside, last = inside[close], last[close]
+        text = np.searchsorted(at, spots[inside], side="right") - 1
+        same = spots[last] < at[text + 1]
+        likely = self._full(self._cells(text[same], which[inside][same], spots[inside][same], at), ids)
+
+        spots, which, offset = _meet(self.told, ids)
+        text = np.searchsorted(at, spots, side="right") - 1
+        spots = spots - offset
+        fits = spots >= at[text]
+        text, which, spots = text[fits], which[fits], spots[fits]
+        for j in range(self.answers.shape[1]):
+            want = self.answers[which, j]
+            there = (want == -2) | ((spots + j < at[text + 1]) & (ids[np.minimum(spots + j, len(ids) - 1)] == want))
+            text, which, spots = text[there], which[there], spots[there]
+        cells = np.unique(np.concatenate([likely, self._cells(text, which, spots, at)]), axis=0)
+        return [tuple(x) for x in cells.tolist()]
+
+    def _cells(self, text: np.ndarray, which: np.ndarray, spots: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows of text, item, from, to; places that begin in the same half span are looked at together."""
+        cells = np.unique(np.stack([text, which, (spots - at[text]) // (self.spans[which] // 2)], axis=1), axis=0)
+        text, which, span = cells[:, 0], cells[:, 1], self.spans[cells[:, 1]]
+        begin = at[text] + cells[:, 2] * (span // 2)
+        return np.stack([text, which, np.maximum(at[text], begin - span), np.minimum(at[text + 1], begin + span // 2 + span)], axis=1)
+
+    def _full(self, cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The places with a stretch in which ``m`` words are the item's."""
+        out = [cells[:0]]
+        for block in range(0, len(cells), _ROWS):
+            part = cells[block : block + _ROWS]
+            which, lo, hi = part[:, 1], part[:, 2], part[:, 3]
+            spots = lo[:, None] + np.arange((hi - lo).max() + 1)
+            words = np.where(spots < hi[:, None], ids[np.minimum(spots, len(ids) - 1)], -1)
+            many = np.cumsum(self.member[words, which[:, None]], axis=1)
+            ends = np.minimum(np.arange(many.shape[1]) + self.spans[which][:, None], many.shape[1] - 1)
+            inside = np.take_along_axis(many, ends, axis=1) - many
+            most = np.maximum(inside.max(axis=1), np.take_along_axis(many, np.minimum(self.spans[which][:, None] - 1, many.shape[1] - 1), axis=1)[:, 0])
+            out.append(part[most >= self.need[which]])
+        return np.concatenate(out)
+
+
+def _span(size: int) -> int:
+    """Words in a stretch of 1.5 item lengths."""
+    return size + size // 2 + 2
+
+
+def _postings(rows: list[tuple[int, int, int]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, item, offset) by word: where each word's rows begin (words that aren't the benchmark's have none), items, offsets."""
+    table = np.array(sorted(rows), np.int64).reshape(len(rows), 3)
+    starts = np.searchsorted(table[:, 0], np.arange(n + 1))
+    return np.append(starts, len(table)), table[:, 1], table[:, 2]
+
+
+def _meet(postings: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's place with each of its rows: places, items, offsets."""
+    starts, items, offsets = postings
+    sizes = np.diff(starts)
+    spots = np.flatnonzero((ids >= 0) & (sizes[ids] > 0))
+    many = sizes[ids[spots]]
+    row = np.repeat(starts[ids[spots]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return np.repeat(spots, many), items[row], offsets[row]
+
+
 class Searcher:
     """What a task needs for the last pass."""
 
@@ -192,6 +292,7 @@ class Searcher:
         self.items, self.sizes, self.owner = z / np.where(size > 0, size, 1), size.ravel(), np.array(owner)
         #: Of each item window, what each word brings (the last column: words outside the vocabulary).
         self.shares = np.array(shares, np.float32).reshape(len(rows), len(idf) + 1)
+        self.bounds = _Bounds(bench, idf, enough)
         self.masks: list[dict[int, int]] = []
         for item in bench.items:
             masks: dict[int, int] = {}
@@ -202,18 +303,28 @@ class Searcher:
     def settle(self, k: int, ids: np.ndarray, lo: int, hi: int) -> tuple[int, bool] | None:
         """The best common subsequence within 1.5 item lengths inside ids[lo:hi], if it is enough."""
         item, size = self.bench.items[k], len(self.bench.items[k].ids)
-        span, step = size + size // 2 + 2, max(1, size // 4)
+        span = _span(size)
         words = ids[max(0, lo) : hi].tolist()
-        if sum(x in self.masks[k] for x in words) < self.with_answer * size:
+        most = _lcs(self.masks[k], size, words)  # no stretch inside has more
+        if most < self.with_answer * size or (most < self.enough * size and not _has(words, item.answer)):
             return None
         best, answered = 0, False
-        for at in range(0, max(1, len(words) - span + step), step):
+        for at in range(0, max(1, len(words) - span + 1)):
             part = words[at : at + span]
             n = _lcs(self.masks[k], size, part)
-            found = _has(part, item.answer)
-            if (n >= self.enough * size, n) > (best >= self.enough * size, best) or (found and not answered and n >= self.with_answer * size):
+            found = n >= self.with_answer * size and _has(part, item.answer)
+            if (n >= self.enough * size, n) > (best >= self.enough * size, best) or (found and not answered):
                 best, answered = max(n, best), answered or found
-        return (best, answered) if best >= self.enough * size or (answered and best >= self.with_answer * size) else None
+        return (best, answered) if best >= self.enough * size or answered else None
+
+    def likeness(self, k: int, ids: np.ndarray, lo: int, hi: int) -> float:
+        """The best cosine of a passage inside ids[lo:hi] with a window of the item."""
+        mine, best = self.items[self.owner == k], 0.0
+        for at in range(lo, max(lo + 1, hi - CHUNK), CHUNK):
+            part = ids[at : min(hi, at + 2 * CHUNK)]
+            z = self.project[part[part >= 0]].sum(0)
+            best = max(best, float((mine @ z).max() / max(float(np.linalg.norm(z)), 1e-9)))
+        return best
 
     def leaks(self, texts: pa.Array, known: pa.Array) -> list[list[dict[str, Any]]]:
         """The leaked items of each text, each once, best first by item order."""
@@ -232,18 +343,19 @@ class Searcher:
             pair = np.zeros_like(sums)
             follows = np.flatnonzero((own[1:] == own[:-1] + 1) & (doc[1:] == doc[:-1]))
             pair[follows] = sums[follows + 1]
+            least = np.where(self.sizes > 0, COVER * self.sizes, np.inf).astype(np.float32)
             for block in range(0, len(own), _ROWS):
                 z = sums[block : block + _ROWS] + pair[block : block + _ROWS]
                 length = np.linalg.norm(z, axis=1, keepdims=True)
                 dot = z @ self.items.T
-                score = dot / np.where(length > 0, length, 1)
-                where = np.nonzero((score >= self.cosine) & (dot >= COVER * self.sizes) & (self.sizes > 0))
+                where = np.nonzero(dot >= np.maximum(self.cosine * length, least))
+                score = dot[where] / np.maximum(length[where[0], 0], 1e-9)
                 starts = at[doc[block : block + _ROWS]] + (own[block : block + _ROWS] - first[doc[block : block + _ROWS]]) * CHUNK
                 spots = starts[where[0]][:, None] + np.arange(2 * CHUNK)
                 spots = np.where(spots < at[doc[block + where[0]] + 1][:, None], spots, len(ids))
                 brought = self.shares[where[1][:, None], padded[spots]].sum(1)
                 sure = np.flatnonzero(brought >= OVERLAP)
-                for r, c, s in zip(where[0][sure].tolist(), where[1][sure].tolist(), score[where][sure].tolist(), strict=True):
+                for r, c, s in zip(where[0][sure].tolist(), where[1][sure].tolist(), score[sure].tolist(), strict=True):
                     d, k = int(doc[block + r]), int(self.owner[c])
                     if k in out[d]:
                         continue
@@ -252,6 +364,9 @@ class Searcher:
                     lo, hi = max(int(at[d]), begin - size), min(int(at[d + 1]), begin + 2 * CHUNK + size)
                     if settled := self.settle(k, ids, lo, hi):
                         out[d][k] = {"item_id": self.bench.items[k].item_id, "cosine": float(s), "lcs": settled[0], "n_item_words": size, "answer": settled[1]}
+        for d, k, lo, hi in self.bounds.places(ids, at) if len(ids) and len(self.bench.items) else ():
+            if k not in out[d] and (settled := self.settle(k, ids, lo, hi)):
+                out[d][k] = {"item_id": self.bench.items[k].item_id, "cosine": self.likeness(k, ids, lo, hi), "lcs": settled[0], "n_item_words": len(self.bench.items[k].ids), "answer": settled[1]}
         return [[x[k] for k in sorted(x)] for x in out]
 
 
@@ -267,7 +382,8 @@ def find_leaks(
     """``docs`` with ``leaks``, the benchmark items that each text repeats or paraphrases.
 
     An item leaks where its longest common subsequence with a stretch of 1.5 item lengths covers
-    ``enough`` of its words, or ``with_answer`` of them and its answer stands there word for word.
+    ``enough`` of its words, or ``with_answer`` of them and its answer stands there word for word. Every
+    such item is found; ``cosine`` only says which candidates latent retrieval brings.
     Words compare lower-cased A-Z and without marks at their ends. All whole texts are searched. Rows
     stay (nulls, repeated ids, empty texts have no leaks of their own), extra columns stay, and a column
     named like ``column`` is an error. Items without words, or with a null id or text, are left out; the

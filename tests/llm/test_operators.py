@@ -402,6 +402,45 @@ def test_no_item_is_out_of_reach_of_the_latent_space():
     assert np.linalg.norm(held @ _fold_in(main, bench, weight), axis=1).min() >= 0.3
 
 
+def test_decontamination_equals_brute_force_on_common_words(spark):
+    """Every stretch of every text against every item; items of common words, the rarest reworded, some found by the answer alone."""
+    from evidentia.llm.decontamination import _lcs, find_leaks, tokens
+
+    rng = random.Random(15)
+    common = [f"c{i}" for i in range(120)]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.7 else f"r{rng.randrange(400)}" for _ in range(rng.randint(5, 45))), f"c{i} c{i + 1} c{i + 2}" if i % 3 == 0 else None) for i in range(20)]
+    docs = []
+    for d in range(120):
+        _, t, answer = items[d % 20]
+        words = t.split(" ")
+        pos = sorted(range(len(words)), key=lambda j: (words[j][0] == "c", rng.random())) if d % 2 else rng.sample(range(len(words)), len(words))
+        for j in pos[: int(len(words) * rng.choice((0.3, 0.38, 0.4, 0.5)))]:
+            words[j] = rng.choice((f"new{j}", rng.choice(common)))
+        if answer and d % 4 == 0:
+            words += answer.split(" ")
+        body = [rng.choice(common) if rng.random() < 0.5 else f"body{rng.randrange(500)}" for _ in range(rng.randint(0, 120))]
+        at = rng.randint(0, len(body))
+        docs.append((d, " ".join(body[:at] + words + body[at:])))
+    want = set()
+    for i, t, answer in items:
+        ids, told = tokens(t), tokens(answer) or tokens(t)[-4:]
+        size, masks = len(ids), {}
+        for k, x in enumerate(ids):
+            masks[x] = masks.get(x, 0) | 1 << k
+        span = size + size // 2 + 2
+        for d, text in docs:
+            words = tokens(text)
+            for at in range(max(1, len(words) - span + 1)):
+                part = words[at : at + span]
+                n = _lcs(masks, size, part)
+                if n >= 0.6 * size or (n >= 0.45 * size and any(part[j : j + len(told)] == told for j in range(len(part)))):
+                    want.add((d, i))
+                    break
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, answer string")
+    found = find_leaks(df, bench, answer="answer").select("doc_id", F.inline("leaks")).select("doc_id", "item_id").collect()
+    assert len(want) > 60 and {tuple(r) for r in found} == want
+
+
 def test_longest_common_subsequence():
     from evidentia.llm.decontamination import _lcs
 
