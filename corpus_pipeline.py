@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines are cut from the texts; ``n_chars`` follows where a text has changed."""
-    out = dedup_lines(docs, prefix="__")
+    out = dedup_lines(docs, prefix="__", carried=True)
     if "n_chars" in docs.columns:
         changed = F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed)

@@ -51,14 +51,38 @@ def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h1", "h2"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, most_share: float = 0.5, prefix: str = "") -> DataFrame:
+def _counts(text: str) -> Column:
+    """``n`` lines with a word, and their ``chars``."""
+    all_lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANK))) > 0)
+    return let(all_lines, lambda ls: F.struct(F.size(ls).cast("long").alias("n"), F.aggregate(ls, F.lit(0).cast("long"), lambda s, x: s + F.length(F.btrim(x, F.lit(_BLANK)))).alias("chars")))
+
+
+def _of_carried(docs: DataFrame, text: str, site: str, min_sites: int, most_share: float, spread: DataFrame, hits: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` in which texts that are mostly spread lines have the places of those lines only that spread without such texts."""
+    t1, t2 = _key(F.col(text))
+    keyed = docs.select(t1.alias("t1"), t2.alias("t2"), F.col(text), F.col(site))
+    mostly = keyed.join(small(found.select("t1", "t2", "__spread")), ["t1", "t2"]).where(F.col("__spread") > most_share * _counts(text)["chars"])
+    mostly = written(mostly.select("t1", "t2").distinct())
+    others = keyed.join(small(mostly), ["t1", "t2"], "left_anti").select(text, site)
+    lines = _lines(others, text, site).join(small(spread), ["h1", "h2"])
+    sites = lines.groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
+    sure = written(sites.where(F.col("sites") >= min_sites).select("h1", "h2"))
+    once = hits.select("t1", "t2", "pos", "h1", "h2").distinct()  # copies are combined before they meet
+    places = once.join(small(mostly), ["t1", "t2"]).join(small(sure), ["h1", "h2"]).select("t1", "t2", "pos")
+    theirs = places.groupBy("t1", "t2").agg(F.collect_list("pos").alias("__places")).withColumn("__spread", F.lit(0).cast("long"))
+    return found.join(small(mostly), ["t1", "t2"], "left_anti").unionByName(theirs)
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, most_share: float = 0.5, prefix: str = "", carried: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and the new columns ``n_lines`` (lines with a
     word) and ``n_removed``.
 
     Lines are split at U+000A and compared without surrounding white space; lines without a word are
     never removed. A document most of whose characters (over ``most_share``) stand in spread lines is a
     copy of a document rather than a carrier of boilerplate: it stays as it is, for near-duplicate
-    removal to keep one of. The result depends on the text and the corpus only, so repeated rows are
+    removal to keep one of. With ``carried`` this isn't taken for granted: such a document loses the lines
+    that stand on ``min_sites`` sites in other documents (not mostly spread lines themselves), and keeps
+    those that only copies, exact or near, bring to so many. The result depends on the text and the corpus only, so repeated rows are
     treated alike; a null text stays null, a text without spread lines stays byte for byte, an empty
     table stays empty, and extra columns stay (clashing new names are an error; use ``prefix``).
     """
@@ -69,6 +93,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_s
     # Copies of a text give the same places: they are combined before the shuffle, so each text has each place once.
     places = hits.groupBy("t1", "t2", "pos").agg(F.first("chars").alias("chars"))
     found = written(places.groupBy("t1", "t2").agg(F.collect_list("pos").alias("__places"), F.sum("chars").alias("__spread")))
+    if carried:
+        found = written(_of_carried(docs, text, site, min_sites, most_share, spread, hits, found))
     weight = found.agg(F.coalesce(F.sum(F.size("__places") + 3), F.lit(0))).first()[0]
     found = F.broadcast(found) if weight <= SMALL_ROWS else found
 
@@ -76,9 +102,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_s
     joined = docs.withColumn("__t1", t1).withColumn("__t2", t2)
     found = found.withColumnsRenamed({"t1": "__t1", "t2": "__t2"})
     joined = joined.join(found, ["__t1", "__t2"], "left")
-    all_lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANK))) > 0)
-    counts = let(all_lines, lambda ls: F.struct(F.size(ls).cast("long").alias("n"), F.aggregate(ls, F.lit(0).cast("long"), lambda s, x: s + F.length(F.btrim(x, F.lit(_BLANK)))).alias("chars")))
-    joined = joined.withColumn("__counts", counts)
+    joined = joined.withColumn("__counts", _counts(text))
     cuts = F.coalesce((F.col("__spread") <= most_share * F.col("__counts")["chars"]), F.lit(False))
     keep = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__places")), lambda i: F.get(ls, i))
     cleaned = F.when(cuts, let(F.split(F.col(text), "\n"), lambda ls: F.array_join(keep(ls), "\n"))).otherwise(F.col(text))

@@ -88,6 +88,22 @@ def test_line_dedup_matches_brute_force(spark, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_cleans_pages_that_are_mostly_boilerplate(spark):
+    """A page of mostly boilerplate loses it; exact and near copies of a text don't make its lines boilerplate."""
+    import corpus_pipeline as p
+
+    notice, menu = "A long notice that stands on every site and says nothing", "menu of the site"
+    data = [(i, f"{notice}\n{menu}\nown text {i} of this page, which is longer than the notice and the menu are together, and some more words {i}", f"s{i}") for i in range(12)]
+    data += [(20, f"{menu}\n{notice}\nown 20", "s1"), (21, notice, None)]
+    article = "first line of an article\nsecond line of an article\nthird line of an article"
+    data += [(30 + i, article, f"t{i}") for i in range(12)] + [(50 + i, f"{article}\nedit {i}", f"u{i}") for i in range(12)] + [(70, None, "s1"), (71, "", "s2")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("n_chars", F.length("text"))
+    got = {r["doc_id"]: r for r in p.lines(spark, df, "").collect()}
+    assert len(got) == len(data) and got[20]["text"] == "own 20" and got[20]["n_chars"] == 6 and got[21]["text"] == ""
+    assert all(got[i]["text"].startswith("own text") and "\n" not in got[i]["text"] for i in range(12))
+    assert all(got[d]["text"] == t for d, t, _ in data if d >= 30)
+
+
 def test_token_counts_and_limits(docs, empty):
     from tokenizers import Tokenizer
 
