@@ -69,7 +69,8 @@ def crawl(spark: SparkSession, target: str, pages: DataFrame, links: DataFrame,
             wave.append(queue[at][0])
             at += 1
         asked = spark.createDataFrame([(u,) for u in dict.fromkeys(wave)], "url string")
-        known = {r["url"]: r["final_url"] for r in pages.join(F.broadcast(asked), "url", "left_semi").select("url", "final_url").limit(MOST_PAGES * 4).collect()}
+        # One row for each asked URL, however often it stands in ``pages``.
+        known = {r["url"]: r["final_url"] for r in pages.join(F.broadcast(asked), "url", "left_semi").groupBy("url").agg(F.min("final_url").alias("final_url")).collect()}
         done = []
         for u in wave:
             if len(out) >= max_pages:

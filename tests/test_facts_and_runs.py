@@ -130,6 +130,14 @@ def test_robots_and_crawl(spark):
         crawl.crawl(spark, u(""), pages, links, max_pages=51)
 
 
+def test_crawl_of_pages_fetched_many_times(spark):
+    u = lambda x: f"https://x.example/{x}"
+    pages = spark.createDataFrame([(u(""), u(""))] + [(u("a"), u("a"))] * 300 + [(u("b"), u("b"))], "url string, final_url string").coalesce(1)
+    links = spark.createDataFrame([(u(""), u("a"), 0), (u(""), u("b"), 1)], "url string, target string, ordinal int")
+    r = crawl.crawl(spark, u(""), pages, links)
+    assert [(x["url"], x["outcome"]) for x in r.pages.orderBy("ordinal").collect()] == [(u(""), "analyzed"), (u("a"), "analyzed"), (u("b"), "analyzed")] and r.status == "complete"
+
+
 def test_report_cells(spark):
     df = spark.createDataFrame([('=1+1', 'a"b|c')], "x string, y string")
     assert reports.csv_lines(df, ["x", "y"]).first()["line"] == '"\'=1+1","a""b|c"'
