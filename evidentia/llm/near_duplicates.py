@@ -334,7 +334,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Words are lower-cased A-Z; sets hold distinct shingles of ``size`` words; two rows link where
     100 * intersection >= 75 * union. ``component_id`` is the smallest id reachable by links; ``keeps`` is
-    true on one row of each component. Null and empty texts have no set and link with nothing; a null id
+    true on one row of each component. Components are given, not all links: a pair whose component is
+    known already isn't compared. Null and empty texts have no set and link with nothing; a null id
     is never the smallest; repeated rows link as equal sets; an empty table gives no rows; other columns
     are not read.
     """
