@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are read as passages (two chunks of 16 words, a step of one chunk) over the benchmark's
-vocabulary. Three passes, none of which moves text: passage frequencies; a randomised SVD of the
+vocabulary. Three passes, none of which moves text: chunk frequencies; a randomised SVD of the
 TF-IDF passage matrix A (each task adds up its part of A'(AG), and the sum gives the right singular
 vectors); then passages and items are compared by cosine in the latent space, and candidates are
 settled by the longest common subsequence with the item and by its answer. Latent retrieval can miss a
 paraphrase; bounds that every leak meets (``_Bounds``) propose all that are left, so none is lost.
+Items come in blocks, each with its own latent space; several blocks share the three passes.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from evidentia.ship import ship
 
 CHUNK = 16
 EDGES = ".,;:!?\"'()[]"
-#: Items worked on at once: bounds what is broadcast and what each task sums.
-BLOCK_ITEMS = 500
+#: Items of one latent space, and such blocks that share a scan: they bound what is broadcast and what each task sums.
+BLOCK_ITEMS, BLOCKS_AT_ONCE = 500, 4
 #: Passages compared with all items at once.
 _ROWS = 4096
 RANK = 64
@@ -72,6 +73,25 @@ def read_items(rows: list[tuple[int, str, str | None]]) -> Benchmark:
     return Benchmark(items, list(number))
 
 
+class Blocks(NamedTuple):
+    """Benchmarks that share a scan: all their words, and each one's ids of these (-1: not its word; also the last)."""
+
+    words: list[str]
+    parts: list[Benchmark]
+    local: list[np.ndarray]
+
+
+def together(parts: list[Benchmark]) -> Blocks:
+    number: dict[str, int] = {}
+    at = [[number.setdefault(w, len(number)) for w in x.words] for x in parts]
+    local = []
+    for spots in at:
+        ids = np.full(len(number) + 1, -1, np.int64)
+        ids[spots] = np.arange(len(spots))
+        local.append(ids)
+    return Blocks(list(number), parts, local)
+
+
 def _read(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids (-1: not the benchmark's), each text's first word, each word's chunk; chunks don't cross texts."""
     flat, at = words_of(texts, lower=False)
@@ -84,15 +104,33 @@ def _read(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
     return ids, at, chunk
 
 
-def _frequencies(docs: DataFrame, text: str, bench: Benchmark) -> tuple[np.ndarray, int]:
+def _segment_sums(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``table[rows]`` over the segments that begin at ``starts``: one step adds a row to every segment that has it."""
+    sizes = np.diff(np.append(starts, len(rows)))
+    by = np.argsort(-sizes, kind="stable")
+    begin, left = starts[by], -sizes[by]
+    out = table[rows[begin]]
+    step, many = 1, int(np.searchsorted(left, -1))
+    while many > 64:
+        out[:many] += table[rows[begin[:many] + step]]
+        step += 1
+        many = int(np.searchsorted(left, -step))
+    for k in range(many):  # the few long ones
+        out[k] += table[rows[begin[k] + step : begin[k] - left[k]]].sum(0)
+    back = np.empty_like(out)
+    back[by] = out
+    return back
+
+
+def _frequencies(docs: DataFrame, text: str, blocks: Blocks) -> tuple[np.ndarray, int]:
     """In how many chunks of the corpus each word stands, and the number of chunks."""
-    words, n = bench.words, len(bench.words)
+    words, n = blocks.words, len(blocks.words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, known, seen = 0, pa.array(words, pa.large_string()), np.zeros(n, np.int64)
         for batch in slices(batches, "text", 4 << 20):
-            ids, _, chunk = _read(batch.column("text"), known)
-            total += int(len(np.unique(chunk)))
+            ids, at, chunk = _read(batch.column("text"), known)
+            total += int((-(-np.diff(at) // CHUNK)).sum())
             hit = ids >= 0
             pair = np.unique(chunk[hit] * n + ids[hit])
             seen += np.bincount(pair % n, minlength=n)
@@ -101,7 +139,7 @@ def _frequencies(docs: DataFrame, text: str, bench: Benchmark) -> tuple[np.ndarr
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out, total = np.zeros(n, np.int64), 0
-    for r in rows:  # at most the benchmark's vocabulary
+    for r in rows:  # at most the vocabulary of the blocks that share a scan
         if r["word"] < 0:
             total = r["n"]
         else:
@@ -109,44 +147,64 @@ def _frequencies(docs: DataFrame, text: str, bench: Benchmark) -> tuple[np.ndarr
     return out, total
 
 
-def _singular_vectors(docs: DataFrame, text: str, bench: Benchmark, weight: np.ndarray, rank: int) -> np.ndarray:
-    """Right singular vectors (words x rank) of the TF-IDF passage matrix, from one pass (Nystroem form)."""
-    words, n = bench.words, len(bench.words)
-    width = min(n, rank + 8)
-    start = np.random.default_rng(7).standard_normal((n, width)).astype(np.float32)
-    block = max(1, -(-n // 16))
+def _neighbours(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of chunks in order: which have the next chunk of their text right after them, and which are their text's first."""
+    text = np.searchsorted(first, own, side="right") - 1
+    return np.flatnonzero((own[1:] == own[:-1] + 1) & (text[1:] == text[:-1])), own == first[text]
+
+
+def _singular_vectors(docs: DataFrame, text: str, blocks: Blocks, weights: list[np.ndarray], rank: int) -> list[np.ndarray]:
+    """Right singular vectors (words x rank) of each block's TF-IDF passage matrix, from one pass (Nystroem form)."""
+    words, sizes = blocks.words, [len(x.words) for x in blocks.parts]
+    starts = [np.random.default_rng(7).standard_normal((n, min(n, rank + 8))).astype(np.float32) for n in sizes]
+    local = blocks.local
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, out, scaled = pa.array(words, pa.large_string()), np.zeros((n, width), np.float32), start * weight[:, None]
+        known, out = pa.array(words, pa.large_string()), [np.zeros_like(g) for g in starts]
+        scaled = [g * w[:, None] for g, w in zip(starts, weights, strict=True)]
         for batch in slices(batches, "text", 4 << 20):
-            ids, _, chunk = _read(batch.column("text"), known)
-            use = (ids >= 0) & (weight[ids] > 0)
-            ids, chunk = ids[use], chunk[use]
-            if not len(ids):
-                continue
-            new = np.concatenate([[True], chunk[1:] != chunk[:-1]])
-            row = np.cumsum(new) - 1
-            made = np.add.reduceat(scaled[ids], np.flatnonzero(new), axis=0)
-            order = np.argsort(ids, kind="stable")
-            at = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
-            which = ids[order][at]
-            out[which] += np.add.reduceat(made[row[order]], at, axis=0) * weight[which][:, None]
-        ks = range(0, n, block)
-        yield pa.record_batch([pa.array([k // block for k in ks], pa.int32()), pa.array([out[k : k + block].tobytes() for k in ks], pa.binary())], names=["block", "sums"])
+            every, at, chunk = _read(batch.column("text"), known)
+            first = np.concatenate([[0], np.cumsum(-(-np.diff(at) // CHUNK))])
+            for k, weight in enumerate(weights):
+                ids = local[k][every]
+                use = np.flatnonzero((ids >= 0) & (weight[ids] > 0))
+                if not len(use):
+                    continue
+                mine, at_chunk = ids[use], chunk[use]
+                new = np.concatenate([[True], at_chunk[1:] != at_chunk[:-1]])
+                row, own = np.cumsum(new) - 1, at_chunk[new]
+                sums = _segment_sums(scaled[k], mine, np.flatnonzero(new))
+                # A word stands in the passage that its chunk begins and in the one that its chunk ends.
+                follows, opens = _neighbours(own, first)
+                made = np.where(opens, 1, 2).astype(np.float32)[:, None] * sums
+                made[follows] += sums[follows + 1]
+                made[follows + 1] += sums[follows]
+                order = np.argsort(mine, kind="stable")
+                begin = np.flatnonzero(np.concatenate([[True], mine[order][1:] != mine[order][:-1]]))
+                which = mine[order][begin]
+                out[k][which] += _segment_sums(made, row[order], begin) * weight[which][:, None]
+        for k, n in enumerate(sizes):
+            step = max(1, -(-n // 16))
+            cuts = range(0, n, step)
+            yield pa.record_batch([pa.array([k] * len(cuts), pa.int32()), pa.array([c // step for c in cuts], pa.int32()), pa.array([out[k][c : c + step].tobytes() for c in cuts], pa.binary())], names=["part", "block", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("sums").to_pylist())
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "block int, sums binary"
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(part, schema).groupBy("block").applyInArrow(add, schema).collect()
-    y = np.zeros((n, width)) if not rows else np.concatenate([np.frombuffer(r["sums"], np.float64) for r in sorted(rows, key=lambda r: r["block"])]).reshape(n, width)
-    g = start.astype(np.float64)
-    core = g.T @ y
-    values, vectors = np.linalg.eigh((core + core.T) / 2)
-    values = np.maximum(values, values.max() * 1e-9 if values.max() > 0 else 1.0)
-    u, _, _ = np.linalg.svd(y @ vectors / np.sqrt(values), full_matrices=False)
-    return _fold_in(u[:, :rank], bench, weight).astype(np.float32)
+        return pa.table({"part": table.column("part")[:1], "block": table.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, block int, sums binary"
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(part, schema).groupBy("part", "block").applyInArrow(add, schema).collect()
+    rows.sort(key=lambda r: (r["part"], r["block"]))
+    out = []
+    for k, start in enumerate(starts):
+        got = [np.frombuffer(r["sums"], np.float64) for r in rows if r["part"] == k]
+        y = np.concatenate(got).reshape(start.shape) if got else np.zeros(start.shape)
+        core = start.astype(np.float64).T @ y
+        values, vectors = np.linalg.eigh((core + core.T) / 2)
+        values = np.maximum(values, values.max() * 1e-9 if values.max() > 0 else 1.0)
+        u, _, _ = np.linalg.svd(y @ vectors / np.sqrt(values), full_matrices=False)
+        out.append(_fold_in(u[:, :rank], blocks.parts[k], weights[k]).astype(np.float32))
+    return out
 
 
 def _fold_in(u: np.ndarray, bench: Benchmark, weight: np.ndarray, least: float = 0.3) -> np.ndarray:
@@ -326,22 +384,21 @@ class Searcher:
             best = max(best, float((mine @ z).max() / max(float(np.linalg.norm(z)), 1e-9)))
         return best
 
-    def leaks(self, texts: pa.Array, known: pa.Array) -> list[list[dict[str, Any]]]:
-        """The leaked items of each text, each once, best first by item order."""
-        ids, at, chunk = _read(texts, known)
-        out: list[dict[int, dict[str, Any]]] = [{} for _ in range(len(texts))]
+    def leaks(self, ids: np.ndarray, at: np.ndarray, chunk: np.ndarray) -> list[list[dict[str, Any]]]:
+        """The leaked items of each text (as ``_read`` gives them, with the block's own ids), each once, by item order."""
+        out: list[dict[int, dict[str, Any]]] = [{} for _ in range(len(at) - 1)]
         use = np.flatnonzero((ids >= 0) & (self.weight[ids] > 0)) if len(ids) else np.empty(0, np.int64)
         if len(use) and len(self.items):
             mine = chunk[use]
             new = np.concatenate([[True], mine[1:] != mine[:-1]])
-            own, sums = mine[new], np.add.reduceat(self.project[ids[use]], np.flatnonzero(new), axis=0)
+            own, sums = mine[new], _segment_sums(self.project, ids[use], np.flatnonzero(new))
             # A passage is a chunk with the next one; a passage whose first chunk is blank starts one before.
             padded = np.append(ids, -1)
             sizes = -(-np.diff(at) // CHUNK)
             first = np.concatenate([[0], np.cumsum(sizes)])
             doc = np.searchsorted(first, own, side="right") - 1
             pair = np.zeros_like(sums)
-            follows = np.flatnonzero((own[1:] == own[:-1] + 1) & (doc[1:] == doc[:-1]))
+            follows, _ = _neighbours(own, first)
             pair[follows] = sums[follows + 1]
             least = np.where(self.sizes > 0, COVER * self.sizes, np.inf).astype(np.float32)
             for block in range(0, len(own), _ROWS):
@@ -386,8 +443,9 @@ def find_leaks(
     such item is found; ``cosine`` only says which candidates latent retrieval brings.
     Words compare lower-cased A-Z and without marks at their ends. All whole texts are searched. Rows
     stay (nulls, repeated ids, empty texts have no leaks of their own), extra columns stay, and a column
-    named like ``column`` is an error. Items without words, or with a null id or text, are left out; the
-    benchmark is worked on in blocks of ``BLOCK_ITEMS``, which bounds all that is broadcast.
+    named like ``column`` is an error. Items without words, or with a null id or text, are left out;
+    repeated items count once. The benchmark is worked on in blocks of ``BLOCK_ITEMS``, ``BLOCKS_AT_ONCE`` a
+    scan, which bounds all that is broadcast.
     """
     ship(docs.sparkSession)
     if column in docs.columns:
@@ -395,16 +453,19 @@ def find_leaks(
     picked = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a"))
     picked = picked.where(F.col("i").isNotNull() & F.col("t").isNotNull())
     blocks = max(1, -(-picked.count() // BLOCK_ITEMS))
+    block = F.pmod(F.xxhash64("i"), F.lit(blocks))
     out = docs.withColumn(column, F.array().cast(LEAKS))
-    for b in range(blocks):
-        rows = [tuple(r) for r in picked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
-        bench = read_items(sorted(set(rows), key=lambda r: (r[0], r[1])))
-        if not bench.items:
+    for b in range(0, blocks, BLOCKS_AT_ONCE):
+        rows = picked.where((block >= b) & (block < b + BLOCKS_AT_ONCE)).select(block.alias("b"), "i", "t", "a").distinct().collect()
+        by_block = [sorted((tuple(r)[1:] for r in rows if r["b"] == k), key=lambda r: (r[0], r[1])) for k in range(b, b + BLOCKS_AT_ONCE)]
+        shared = together([x for x in map(read_items, by_block) if x.items])
+        if not shared.parts:
             continue
-        seen, total = _frequencies(docs, text, bench)
-        weight, idf = word_weights(bench, seen, total)
-        searcher = Searcher(bench, weight, idf, _singular_vectors(docs, text, bench, weight, rank), cosine, enough, with_answer)
-        out = _search(out, searcher, text, column)
+        seen, total = _frequencies(docs, text, shared)
+        weights = [word_weights(x, seen[np.flatnonzero(ids[:-1] >= 0)][np.argsort(ids[ids >= 0])], total) for x, ids in zip(shared.parts, shared.local, strict=True)]
+        vectors = _singular_vectors(docs, text, shared, [w for w, _ in weights], rank)
+        searchers = [Searcher(x, w, idf, v, cosine, enough, with_answer) for x, (w, idf), v in zip(shared.parts, weights, vectors, strict=True)]
+        out = _search(out, shared, searchers, text, column)
     return out
 
 
@@ -417,19 +478,21 @@ def word_weights(bench: Benchmark, seen: np.ndarray, total: int) -> tuple[np.nda
     return np.where(common, 0.0, idf).astype(np.float32), idf.astype(np.float32)
 
 
-def _search(docs: DataFrame, searcher: Searcher, text: str, column: str) -> DataFrame:
+def _search(docs: DataFrame, blocks: Blocks, searchers: list[Searcher], text: str, column: str) -> DataFrame:
     spark = docs.sparkSession
-    shared, names = spark.sparkContext.broadcast(searcher), docs.columns
+    shared, names = spark.sparkContext.broadcast((blocks.words, blocks.local, searchers)), docs.columns
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
-        known = pa.array(s.bench.words, pa.large_string())
+        words, local, found_by = shared.value
+        known = pa.array(words, pa.large_string())
         for batch in slices(batches, text, 4 << 20):
-            found = s.leaks(batch.column(text), known)
+            every, at, chunk = _read(batch.column(text), known)
             kept = list(batch.columns)
-            at = names.index(column)
-            old = kept[at].to_pylist()
-            kept[at] = pa.array([o + f for o, f in zip(old, found, strict=True)], kept[at].type)
+            place = names.index(column)
+            found = kept[place].to_pylist()
+            for ids, s in zip(local, found_by, strict=True):
+                found = [o + f for o, f in zip(found, s.leaks(ids[every], at, chunk), strict=True)]
+            kept[place] = pa.array(found, kept[place].type)
             yield pa.record_batch(kept, names=names)
 
     return docs.mapInArrow(search, T.StructType(docs.schema.fields))
@@ -439,5 +502,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: Any) -> Data
     """``docs`` without the rows that leak an item; the same columns, all other rows."""
     column = "__leaks"
     return find_leaks(docs, benchmark, column=column, **options).where(F.size(column) == 0).drop(column)
-
-
