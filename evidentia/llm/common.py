@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 
 #: One or more of these separate words: space and U+0009 to U+000D.
 SPACES = "[\\x20\\x09-\\x0D]+"
-#: Rows up to which a table of a few numbers a row may be broadcast (16 MB at 16 bytes).
-SMALL_ROWS = 1_000_000
+#: Rows up to which a table of a few numbers a row may be broadcast (about 12 MB at 40 bytes).
+SMALL_ROWS = 300_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder is set only where that is unset (tests)."""
+    """A new path below ``spark.checkpoint.dir``; a temporary folder is set only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/evidentia-{uuid.uuid4().hex}"
@@ -57,6 +59,31 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Parts that a hot key is dealt to where the other side of a join is too large to be broadcast.
+SALTS = 16
+
+
+def split_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner", most: int | None = None, salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``keys`` (each key once): broadcast up to ``most`` keys, else each key's rows are dealt to ``salts`` tasks.
+
+    So a key that holds a large share of ``rows`` is no single task's work. ``how`` is inner, left, left_semi or left_anti.
+    """
+    if keys.count() <= (SMALL_ROWS if most is None else most):
+        return rows.join(F.broadcast(keys), on, how)
+    salt = fresh([*rows.columns, *keys.columns], "salt")
+    dealt = rows.withColumn(salt, F.monotonically_increasing_id() % salts)
+    copies = keys.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copies, [*on, salt], how).drop(salt)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A working column's name that no column of ``taken`` has, whatever its case."""
+    have, name = {x.lower() for x in taken}, f"__{name}"
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -11,7 +11,9 @@
    y be the tokens that only one of two linked sets has: 2x + y <= n/2. The first shared token lies in
    both short prefixes. If it is rare it is a shared signature. If not, all shared tokens are frequent;
    of the pairs of neighbours among those in the longer prefix at most x + y are parted by other
-   tokens, so at least one pair is left, and it is a shared signature.
+   tokens, so at least one pair is left, and it is a shared signature. Then 3/4 of both sets' tokens are frequent
+   too; other sets (such as pages that share half their text with very many) need no combinations and
+   stay out of these large groups.
 4. Sets that share a signature are verified: small groups pair by pair, large ones against a pivot first.
    Then only sets outside the pivot's component are compared with sets of other components, and by the
    triangle inequality of the Jaccard distance only those whose distances to the pivot differ by 0.25 at
@@ -32,14 +34,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import hash64, mix, release, slices, small, words_of, written
+from evidentia.llm.common import fresh, hash64, mix, release, slices, small, split_join, words_of, written
 from evidentia.ship import ship
 
 #: Times a token must be found to be frequent. Any value gives the same links.
 FREQUENT = 64
-#: Bits of a token that travel. Set sizes come from all 64; that two tokens of a pair of sets of 500 agree in these
-#: by chance has a probability of 6e-11.
-BITS = 52
 #: Up to so many sets a group is compared pair by pair.
 PAIRWISE = 20
 #: Classes of tokens (by hash) whose numbers, up to so many each, bound what two sets share.
@@ -47,6 +46,10 @@ CLASSES, LEVELS = 128, 8
 _LONGS = CLASSES * LEVELS // 64
 #: Members of a large group that sets outside its main component are tried against before all others.
 MORE_PIVOTS = 12
+#: Members of a large group's last comparison that one task tries against the others.
+DEALT = 4_000
+#: Rows up to which a table with a sketch (17 longs) a row is broadcast.
+SMALL_SKETCHES = 100_000
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -97,14 +100,14 @@ def _unsqueeze(blob: bytes, *kinds: type) -> list[np.ndarray]:
 _SENT = "bucket int, chunk long, kind int, data binary, about binary"
 
 
-def _send(docs: DataFrame, buckets: int, size: int) -> DataFrame:
+def _send(docs: DataFrame, buckets: int, size: int, frequent: int, chunk_bytes: int) -> DataFrame:
     """Rows for the buckets: packed tokens of a chunk (kind 0), and the chunk's own documents (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", chunk_bytes):
             sets = shingle_sets(batch.column("text"), size)
             keys, lone, seen = [], [], {}
             for i, s in enumerate(sets):
@@ -113,16 +116,16 @@ def _send(docs: DataFrame, buckets: int, size: int) -> DataFrame:
                 if len(s) and seen.setdefault(key, i) == i:
                     lone.append(i)
             sizes = np.array([len(s) for s in sets], np.int64)
-            token = np.concatenate([sets[i] for i in lone]) >> np.uint64(64 - BITS) if lone else np.empty(0, np.uint64)
+            token = np.concatenate([sets[i] for i in lone]) if lone else np.empty(0, np.uint64)
             doc = np.repeat(np.array(lone, np.uint32), sizes[lone]) if lone else np.empty(0, np.uint32)
             order = np.argsort(token, kind="stable")
             token, doc = token[order], doc[order]
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
             times = np.diff(np.append(start, len(token)))
-            hot = np.repeat(times >= FREQUENT, times)
-            sums, counts = token[start][times >= FREQUENT], times[times >= FREQUENT].astype(np.uint32)
+            hot = np.repeat(times >= frequent, times)
+            sums, counts = token[start][times >= frequent], times[times >= frequent].astype(np.uint32)
             mine, mine_doc, token, doc = token[hot], doc[hot], token[~hot], doc[~hot]
-            edges = ((np.arange(1, buckets, dtype=object) << BITS) // buckets).astype(np.uint64) if buckets > 1 else np.empty(0, np.uint64)
+            edges = ((np.arange(1, buckets, dtype=object) << 64) // buckets).astype(np.uint64) if buckets > 1 else np.empty(0, np.uint64)
             cut, cut_hot = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (token, sums))
             rows: list[tuple] = []
             for b in range(buckets):
@@ -142,7 +145,7 @@ def _send(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     return docs.mapInArrow(run, _SENT)
 
 
-def _count(group: pa.Table) -> pa.Table:
+def _count(group: pa.Table, frequent: int) -> pa.Table:
     """A bucket's tokens found twice or more, with their counts, packed for each chunk; chunks' own rows pass."""
     out: list[tuple] = []
     tokens, docs, whose, sums, counts = [], [], [], [], []
@@ -168,7 +171,7 @@ def _count(group: pa.Table) -> pa.Table:
             at = np.searchsorted(token[start], known)
             ok = (at < len(start)) & (token[start][np.minimum(at, len(start) - 1)] == known)
             np.add.at(times, at[ok], extra[ok])
-        df = np.repeat(np.minimum(times, FREQUENT), np.diff(np.append(start, len(token)))).astype(np.uint8)
+        df = np.repeat(np.minimum(times, frequent), np.diff(np.append(start, len(token)))).astype(np.uint8)
         keep = df >= 2
         token, doc, owner, df = token[keep], doc[keep], owner[keep], df[keep]
         by = np.argsort(owner, kind="stable")
@@ -182,12 +185,14 @@ def _count(group: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("chunk", "kind", "data", "about"), cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
 
-def _signatures(token: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+def _signatures(token: np.ndarray, df: np.ndarray, n: int, frequent: int) -> np.ndarray:
     """Signatures of a set of ``n`` tokens whose repeated ones are given in the common order (rare first)."""
     once = n - len(token)
     short, long = n - (3 * n + 3) // 4 + 1 - once, n // 2 + 2 - once
-    first = int(np.searchsorted(df, FREQUENT))
+    first = int(np.searchsorted(df, frequent))
     single = token[: max(0, min(short, first))]
+    if 4 * (len(token) - first) < 3 * n:
+        return single
     shared = token[first : max(first, long)]
     with np.errstate(over="ignore"):
         pairs = mix(shared[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix(shared[1:]))
@@ -204,7 +209,7 @@ def _sketch(token: np.ndarray) -> np.ndarray:
 _SETS = "uid long, doc_id long, r1 long, r2 long, n long, k1 long, k2 long, tokens array<long>, signatures array<long>, sketch array<long>"
 
 
-def _gather(group: pa.Table) -> pa.Table:
+def _gather(group: pa.Table, frequent: int) -> pa.Table:
     """A chunk's documents; those of which 3/4 of the tokens came back carry these, ordered, and their signatures."""
     release()
     base, about, parts = group.column("chunk")[0].as_py(), None, []
@@ -212,7 +217,7 @@ def _gather(group: pa.Table) -> pa.Table:
         if kind == 1:
             about = pa.ipc.open_stream(more).read_all()
             t, d = _unsqueeze(data, np.uint64, np.uint32)
-            parts.append((t, d, np.full(len(t), FREQUENT, np.uint8)))
+            parts.append((t, d, np.full(len(t), frequent, np.uint8)))
         else:
             parts.append(tuple(_unsqueeze(data, np.uint64, np.uint32, np.uint8)))
     token, doc, df = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -229,7 +234,7 @@ def _gather(group: pa.Table) -> pa.Table:
         if may[i]:
             t, f = token[ends[i] : ends[i + 1]], df[ends[i] : ends[i + 1]]
             sets.append(t.view(np.int64))
-            signs.append(_signatures(t, f, int(n[i])).view(np.int64))
+            signs.append(_signatures(t, f, int(n[i]), frequent).view(np.int64))
             sketches.append(_sketch(t))
         else:
             sets.append(None)
@@ -274,19 +279,19 @@ def _fewest_lone(members: DataFrame) -> DataFrame:
     return picked.select("s", "m.b", "m.nb", "m.kb")
 
 
-def links(sets: DataFrame) -> DataFrame:
+def links(sets: DataFrame, pairwise: int = PAIRWISE, dealt: int = DEALT) -> DataFrame:
     """``a, b``: links between different sets that connect all sets that any links connect."""
     rows = sets.select("uid", "n", F.size("tokens").alias("r"), "sketch", F.explode(F.array_distinct("signatures")).alias("s"))
     seal = [F.bit_xor(F.xxhash64("uid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("h2")]
     shared = rows.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("lone"), "uid", "n", "r")).alias("p"), *seal).where("c > 1")
     # Near copies share many signatures: groups of the same sets are worked on once.
     groups = written(shared.groupBy("c", "p", "h1", "h2").agg(F.min("s").alias("s")).select("s", "c", F.col("p.uid").alias("a"), F.col("p.n").alias("na"), F.col("p.r").alias("ra")))
-    live = written(rows.join(small(groups), "s"))
-    few = live.where(F.col("c") <= PAIRWISE).select("s", "uid", "n", "sketch")
+    live = written(split_join(rows, groups, ["s"]))
+    few = live.where(F.col("c") <= pairwise).select("s", "uid", "n", "sketch")
     other = few.select("s", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     pairs = few.join(other, "s").where((F.col("uid") < F.col("b")) & _may_link(F.col("n"), F.col("sketch"), F.col("nb"), F.col("kb"))).select(F.col("uid").alias("a"), "b")
     # Large groups of one pivot are worked on as one.
-    stars = live.where((F.col("c") > PAIRWISE) & (F.col("uid") != F.col("a"))).withColumnRenamed("uid", "b")
+    stars = live.where((F.col("c") > pairwise) & (F.col("uid") != F.col("a"))).withColumnRenamed("uid", "b")
     stars = written(stars.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("n", "r", "sketch", "na", "ra")]).withColumn("s", F.col("a")))
     near = stars.where(_may(F.col("n"), F.col("r"), F.col("na"), F.col("ra"), 50)).select("a", "b")
     done = written(_verify(pairs.unionByName(near).distinct(), sets))
@@ -299,7 +304,7 @@ def links(sets: DataFrame) -> DataFrame:
     named = written(named.select("s", "uid", "n", "r", "sketch", "linked", "distance", F.coalesce("label", "uid").alias("label"), F.coalesce("own", "a").alias("own")))
     # Sets outside the pivot's component are tried against its members with the fewest lone tokens first.
     best = _fewest_lone(named.where("linked"))
-    tried = named.where("label <> own").join(small(best), "s").where(_may_link(F.col("n"), F.col("sketch"), F.col("nb"), F.col("kb"))).select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b")).distinct()
+    tried = named.where("label <> own").join(small(best, SMALL_SKETCHES), "s").where(_may_link(F.col("n"), F.col("sketch"), F.col("nb"), F.col("kb"))).select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b")).distinct()
     more = written(_verify(tried, sets))
     done = done.unionByName(more)
     found = written(found.unionByName(more.where("linked").select("a", "b")))
@@ -310,17 +315,24 @@ def links(sets: DataFrame) -> DataFrame:
     # it out: distances to the pivot (over 0.5 where they weren't worth computing) differ by 0.25 at most.
     outside = named.where("label <> own").select("s", F.col("uid").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.col("sketch").alias("kx"), F.col("distance").alias("dx"), F.col("label").alias("lx"))
     far = F.abs(F.coalesce("dx", F.greatest(F.lit(0.5), "distance")) - F.coalesce("distance", F.greatest(F.lit(0.5), "dx"))) > 0.25 + 1e-9
-    last = outside.join(named, "s").where((F.col("lx") != F.col("label")) & ((F.col("label") == F.col("own")) | (F.col("x") < F.col("uid"))) & ~F.coalesce(far, F.lit(False)) & _may(F.col("nx"), F.col("rx"), F.col("n"), F.col("r"), 75) & _may_link(F.col("nx"), F.col("kx"), F.col("n"), F.col("sketch")))
+    # The outside members of a large group are dealt to many tasks, each of which meets all members once.
+    parts = named.groupBy("s").agg(F.ceil(F.count("*") / dealt).cast("int").alias("parts"))
+    outside = outside.join(parts, "s").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")
+    every = named.join(parts, "s").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    last = outside.join(every, ["s", "part"]).where((F.col("lx") != F.col("label")) & ((F.col("label") == F.col("own")) | (F.col("x") < F.col("uid"))) & ~F.coalesce(far, F.lit(False)) & _may(F.col("nx"), F.col("rx"), F.col("n"), F.col("r"), 75) & _may_link(F.col("nx"), F.col("kx"), F.col("n"), F.col("sketch")))
     last = last.select(F.least("x", "uid").alias("a"), F.greatest("x", "uid").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
     return found.unionByName(written(_verify(last, sets)).where("linked").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node each node of ``edges`` (a, b) is connected with, by repeated minima and jumps."""
+    """``node, label``: the smallest node each node of ``edges`` (a, b) is connected with, by repeated minima and jumps.
+
+    A node with very many edges is dealt to many tasks, and minima are combined before they meet.
+    """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
+        near = split_join(both, labels.withColumnRenamed("node", "b"), ["b"]).groupBy("a").agg(F.min("label").alias("least"))
         met = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "least").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
         moved = written(met.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("far", "new")).alias("label")))
@@ -329,7 +341,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, row: tuple[str, str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, row: tuple[str, str] | None = None, frequent: int = FREQUENT, pairwise: int = PAIRWISE, chunk_bytes: int = 2 << 20, dealt: int = DEALT) -> DataFrame:
     """``doc_id, n_shingles, component_id, keeps`` for every row of ``docs`` (and the two ``row`` columns, if named).
 
     Words are lower-cased A-Z; sets hold distinct shingles of ``size`` words; two rows link where
@@ -337,7 +349,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     true on one row of each component. Components are given, not all links: a pair whose component is
     known already isn't compared. Null and empty texts have no set and link with nothing; a null id
     is never the smallest; repeated rows link as equal sets; an empty table gives no rows; other columns
-    are not read.
+    are not read. ``frequent`` (at most 255), ``pairwise``, ``chunk_bytes`` and ``dealt`` change the work, not the result.
     """
     ship(docs.sparkSession)
     r1, r2 = (F.col(row[0]), F.col(row[1])) if row else (F.lit(0), F.lit(0))
@@ -345,12 +357,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # A bucket holds the tokens of about 6 MB of text, whatever the input's size.
     buckets = max(8, -(-total // (6 << 20)))
-    counted = _send(rows, int(buckets), size).groupBy("bucket").applyInArrow(_count, "chunk long, kind int, data binary, about binary")
-    known = written(counted.groupBy("chunk").applyInArrow(_gather, _SETS))
+    counted = _send(rows, int(buckets), size, frequent, chunk_bytes).groupBy("bucket").applyInArrow(lambda g: _count(g, frequent), "chunk long, kind int, data binary, about binary")
+    known = written(counted.groupBy("chunk").applyInArrow(lambda g: _gather(g, frequent), _SETS))
 
     nodes = written(known.where("k1 is not null").groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")))
     sets = written(known.where("tokens is not null").select("uid", "n", "tokens", "signatures", "sketch").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi"))
-    labels = components(links(sets))
+    labels = components(links(sets, pairwise, dealt))
     labelled = nodes.join(labels, "node", "left").select("k1", "k2", "least", F.coalesce("label", "node").alias("label"))
     by_label = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     found = written(labelled.join(by_label, "label").select("k1", "k2", "label", "component_id"))
@@ -369,10 +381,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Rows are told apart by file and place, so repeated and null ids do no harm; a table that isn't read
     from files is written first.
     """
-    place = lambda df: df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    file, row = fresh(docs.columns, "file"), fresh(docs.columns, "row")
+    place = lambda df: df.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     try:
         placed = place(docs)
     except AnalysisException:
         placed = place(written(docs))
-    gone = near_duplicates(placed, doc_id, text, size, ("__file", "__row")).where("not keeps").select("__file", "__row")
-    return placed.join(small(written(gone)), ["__file", "__row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = written(near_duplicates(placed, doc_id, text, size, (file, row)).where("not keeps").select(file, row))
+    return placed.join(small(gone), [file, row], "left_anti").select(*[f"`{c}`" for c in docs.columns])

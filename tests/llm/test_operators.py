@@ -67,25 +67,38 @@ def test_quality_rules_match_brute_force(docs, empty):
     assert "p_kept" in apply_rules(docs.withColumn("kept", F.lit(1)), prefix="p_").columns
 
 
-def test_line_dedup_matches_brute_force(spark, empty):
-    from evidentia.llm.line_dedup import dedup_lines
+@pytest.mark.parametrize("small_rows", [1_000_000, 1])
+def test_line_dedup_matches_brute_force(spark, empty, monkeypatch, small_rows):
+    """Also where nothing is broadcast and hot lines are dealt to many tasks."""
+    from evidentia.llm import common, line_dedup
 
+    monkeypatch.setattr(common, "SMALL_ROWS", small_rows)
+    monkeypatch.setattr(line_dedup, "SMALL_PLACES", small_rows)
     body = lambda i: f"own line {i} alpha beta\nanother own line {i} with some more words"
     data = [(i, f"Licensed text.\n{body(i)}\n\nfooter {i % 2}", f"s{i % 12}") for i in range(40)] + [(90, None, "s1"), (91, "", "s1"), (92, "Licensed text.", None), (93, "  Licensed text.  \nx y z own own own own own", "s3")]
-    got = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(data, "doc_id long, text string, source string"), min_sites=10).collect()}
-    sites = collections.defaultdict(set)
+    data += [(100 + i, f"copied\nlines {i % 2}\nfooter 0", f"c{i}") for i in range(24)] + [(200, "Licensed text.\ncopied\nlines 0\nz", "c1")] * 2
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("__t1", F.lit("extra")).withColumn("__PLACES", F.lit(7))
+    out = line_dedup.dedup_lines(df, min_sites=10)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    sites, others, mostly = collections.defaultdict(set), collections.defaultdict(set), {}
+    lines = lambda t: [x.strip() for x in (t or "").split("\n") if x.strip()]
     for _, t, s in data:
-        for line in (t or "").split("\n"):
-            if line.strip():
-                sites[line.strip()].add(s or "")
+        for x in lines(t):
+            sites[x].add(s or "")
     spread = {k for k, v in sites.items() if len(v) >= 10}
+    for _, t, s in data:
+        mostly[t] = sum(len(x) for x in lines(t) if x in spread) > 0.5 * sum(map(len, lines(t)))
+        for x in lines(t) if not mostly[t] else ():
+            others[x].add(s or "")
+    carried = {x for x in spread if len(others[x]) >= 10}
+    want = collections.Counter()
     for i, t, _ in data:
-        lines = [x for x in (t or "").split("\n") if x.strip()]
-        hit = [x for x in lines if x.strip() in spread]
-        cut = bool(hit) and sum(len(x.strip()) for x in hit) <= 0.5 * sum(len(x.strip()) for x in lines)
-        assert got[i]["n_removed"] == (len(hit) if cut else 0) and got[i]["n_lines"] == len(lines)
-        assert got[i]["text"] == ("\n".join(x for x in t.split("\n") if x.strip() not in spread) if cut else t)
-    assert dedup_lines(empty).count() == 0
+        gone = carried if mostly[t] else spread
+        hit = [x for x in lines(t) if x in gone]
+        want[(i, len(lines(t)), len(hit), "\n".join(x for x in t.split("\n") if x.strip() not in gone) if hit else t)] += 1
+    assert carried < spread and any(mostly.values())
+    assert collections.Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in out.collect()) == want
+    assert line_dedup.dedup_lines(empty).count() == 0
 
 
 def test_line_dedup_cleans_pages_that_are_mostly_boilerplate(spark):
@@ -185,11 +198,10 @@ def _components(sets):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("frequent,pairwise", [(64, 20), (3, 2)])
-def test_jaccard_join_matches_brute_force(spark, empty, monkeypatch, frequent, pairwise):
+@pytest.mark.parametrize("frequent,pairwise,dealt", [(64, 20, 4000), (3, 2, 5)])
+def test_jaccard_join_matches_brute_force(spark, empty, frequent, pairwise, dealt):
     from evidentia.llm import near_duplicates as nd
 
-    monkeypatch.setattr(nd, "PAIRWISE", pairwise)
     data = [r for r in corpus(9, 150) if r[0] is not None]
     seen = set()
     data = [r for r in data if not (r[0] in seen or seen.add(r[0]))]
@@ -198,7 +210,7 @@ def test_jaccard_join_matches_brute_force(spark, empty, monkeypatch, frequent, p
         w = WORD.findall(low(t or ""))
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
     df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
-    got = nd.near_duplicates(df).collect()
+    got = nd.near_duplicates(df, frequent=frequent, pairwise=pairwise, dealt=dealt, chunk_bytes=8000).collect()
     want = _components(sets)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
     linked = [i for i in sets if sets[i]]
@@ -206,11 +218,13 @@ def test_jaccard_join_matches_brute_force(spark, empty, monkeypatch, frequent, p
     assert nd.near_duplicates(empty).count() == 0
 
 
-def test_large_groups_of_near_copies(spark, monkeypatch):
-    """Groups over the pairwise size whose members link, nearly link, and share a passage only."""
+@pytest.mark.parametrize("small_rows", [300_000, 1])
+def test_large_groups_of_near_copies(spark, monkeypatch, small_rows):
+    """Groups over the pairwise size whose members link, nearly link, and share a passage only; broadcast or dealt out."""
+    from evidentia.llm import common
     from evidentia.llm import near_duplicates as nd
 
-    monkeypatch.setattr(nd, "FREQUENT", 16)
+    monkeypatch.setattr(common, "SMALL_ROWS", small_rows)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
     passage, bases, data = [word() for _ in range(40)], [[word() for _ in range(130)] for _ in range(3)], []
@@ -226,10 +240,36 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     sets = {i: {tuple(t.split(" ")[k : k + 5]) for k in range(len(t.split(" ")) - 4)} for i, t in data}
     want = _components(sets)
     assert 5 < len(set(want.values())) < 200
-    got = nd.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    got = nd.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(3), frequent=16, dealt=30).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_thresholds_reach_the_workers(spark):
+    """The number of a set's signatures shows which threshold the task has used."""
+    from evidentia.llm import near_duplicates as nd
+
+    data = [(i, " ".join(f"w{k}" for k in range(104)) + f" end{i}") for i in range(12)]
+    df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("doc_id", "text", "0L r1", "0L r2").repartition(3)
+    def made(frequent):
+        counted = nd._send(df, 8, 5, frequent, 2 << 20).groupBy("bucket").applyInArrow(lambda g: nd._count(g, frequent), "chunk long, kind int, data binary, about binary")
+        return {tuple(r["signatures"]) for r in counted.groupBy("chunk").applyInArrow(lambda g: nd._gather(g, frequent), nd._SETS).collect()}
+
+    few, many = made(3), made(64)
+    # 101 tokens, one of them lone: pairs among the first 51 repeated ones, or 25 single ones.
+    assert {len(x) for x in few} == {50} and {len(x) for x in many} == {25} and not few & many
+
+
+def test_half_shared_pages_make_no_large_group():
+    """Pages that share half their text with very many, and the rest with few, have no combinations to meet by."""
+    from evidentia.llm import near_duplicates as nd
+
+    template, own = np.arange(60, dtype=np.uint64), np.arange(1000, 1040, dtype=np.uint64)
+    token, df = np.concatenate([own, template]), np.concatenate([np.full(40, 2, np.uint8), np.full(60, 64, np.uint8)])
+    assert len(nd._signatures(token, df, 100, 64)) == 26  # the prefix of single ones
+    token, df = np.concatenate([own[:20], template]), np.concatenate([np.full(20, 2, np.uint8), np.full(60, 64, np.uint8)])
+    assert len(nd._signatures(token, df, 80, 64)) == 20 + 22 - 1
+
+
 def test_signature_scheme_always_meets():
     """Linked sets share a signature, whatever tokens are frequent."""
     from evidentia.llm import near_duplicates as nd
@@ -251,7 +291,7 @@ def test_signature_scheme_always_meets():
 
         def signs(x, other):
             known = np.array(sorted((t for t in x if t in other), key=lambda t: (df[t], t)), np.uint64)
-            return set(nd._signatures(known, np.array([df[int(t)] for t in known], np.uint8), len(x)).tolist())
+            return set(nd._signatures(known, np.array([df[int(t)] for t in known], np.uint8), len(x), nd.FREQUENT).tolist())
 
         # Tokens that only one set has may be found elsewhere too (then they are repeated) or not.
         extra = {t for t in a ^ b if rng.random() < 0.5}
@@ -418,9 +458,10 @@ def test_no_item_is_out_of_reach_of_the_latent_space():
     assert np.linalg.norm(held @ _fold_in(main, bench, weight), axis=1).min() >= 0.3
 
 
-def test_decontamination_equals_brute_force_on_common_words(spark):
+def test_decontamination_equals_brute_force_on_common_words(spark, monkeypatch):
     """Every stretch of every text against every item; items of common words, the rarest reworded, some found by the answer alone."""
-    from evidentia.llm.decontamination import _lcs, find_leaks, tokens
+    from evidentia.llm import decontamination as dc
+    from evidentia.llm.decontamination import _lcs, tokens
 
     rng = random.Random(15)
     common = [f"c{i}" for i in range(120)]
@@ -453,8 +494,21 @@ def test_decontamination_equals_brute_force_on_common_words(spark):
                     want.add((d, i))
                     break
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, answer string")
-    found = find_leaks(df, bench, answer="answer").select("doc_id", F.inline("leaks")).select("doc_id", "item_id").collect()
-    assert len(want) > 60 and {tuple(r) for r in found} == want
+    found = lambda: {tuple(r) for r in dc.find_leaks(df, bench.unionByName(bench.limit(3)), answer="answer").select("doc_id", F.inline("leaks")).select("doc_id", "item_id").collect()}
+    assert len(want) > 60 and found() == want
+    # The same from many blocks of items, some of which share a scan.
+    monkeypatch.setattr(dc, "BLOCK_ITEMS", 4)
+    monkeypatch.setattr(dc, "BLOCKS_AT_ONCE", 2)
+    assert found() == want
+
+
+def test_segment_sums():
+    from evidentia.llm.decontamination import _segment_sums
+
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate([rng.integers(1, 9, 300), [900, 40]])
+    table, rows, starts = rng.normal(size=(50, 7)), rng.integers(0, 50, sizes.sum()), np.cumsum(sizes) - sizes
+    assert np.allclose(_segment_sums(table, rows, starts), np.add.reduceat(table[rows], starts, axis=0))
 
 
 def test_longest_common_subsequence():
