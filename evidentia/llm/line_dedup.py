@@ -1,7 +1,8 @@
 """Line dedup by distinct-site spread: lines found on many sites are boilerplate and go.
 
 Main path: DataFrame functions only. A line is known by a 128-bit hash; HyperLogLog sketches of the
-sites of each line merge by aggregation, and only lines near the threshold are counted exactly.
+sites of each line merge by aggregation, and only lines near the threshold are counted exactly. A line's
+occurrences are combined within tasks before each shuffle, and joins deal a hot line to many tasks.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import SMALL_ROWS, let, small, written
+from evidentia.llm.common import fresh, let, split_join, written
 
 _BLANK = " \t\n\x0b\x0c\r"
+#: Places of lines to be cut (ints, three more for each text) up to which they are broadcast: about 16 MB.
+SMALL_PLACES = 1_000_000
 
 
 def _key(x: Column) -> list[Column]:
@@ -36,17 +39,16 @@ def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_
 
     A first count (combined before the shuffle) leaves lines with enough occurrences and two sites at
     least; their sketches, merged, decide all lines outside ``min_sites`` * (1 ± ``band``), which is over
-    ten standard errors at ``log_k`` = 12; the others get an exact distinct count. A hot line or a hot
-    site is combined within tasks before any shuffle.
+    ten standard errors at ``log_k`` = 12; the others get an exact distinct count.
     """
     lines = _lines(docs, text, site)
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
     often = written(often.where((F.col("n") >= min_sites) & ((F.col("a") != F.col("b")) | F.lit(min_sites <= 1))).select("h1", "h2"))
-    of_often = lines.join(small(often), ["h1", "h2"])
+    of_often = split_join(lines, often, ["h1", "h2"])
     sketched = of_often.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(log_k))).alias("sites"))
     sketched = written(sketched.where(F.col("sites") >= min_sites * (1 - band)))
     near = sketched.where(F.col("sites") <= min_sites * (1 + band)).select("h1", "h2")
-    exact = lines.join(small(near), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
+    exact = split_join(lines, near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
     sure = sketched.where(F.col("sites") > min_sites * (1 + band)).select("h1", "h2")
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h1", "h2"))
 
@@ -57,57 +59,54 @@ def _counts(text: str) -> Column:
     return let(all_lines, lambda ls: F.struct(F.size(ls).cast("long").alias("n"), F.aggregate(ls, F.lit(0).cast("long"), lambda s, x: s + F.length(F.btrim(x, F.lit(_BLANK)))).alias("chars")))
 
 
-def _of_carried(docs: DataFrame, text: str, site: str, min_sites: int, most_share: float, spread: DataFrame, hits: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` in which texts that are mostly spread lines have the places of those lines only that spread without such texts."""
+def _carried_lines(docs: DataFrame, text: str, site: str, min_sites: int, mostly: DataFrame, spread: DataFrame) -> DataFrame:
+    """``h1, h2`` of the spread lines that texts outside ``mostly`` carry on ``min_sites`` sites."""
     t1, t2 = _key(F.col(text))
-    keyed = docs.select(t1.alias("t1"), t2.alias("t2"), F.col(text), F.col(site))
-    mostly = keyed.join(small(found.select("t1", "t2", "__spread")), ["t1", "t2"]).where(F.col("__spread") > most_share * _counts(text)["chars"])
-    mostly = written(mostly.select("t1", "t2").distinct())
-    others = keyed.join(small(mostly), ["t1", "t2"], "left_anti").select(text, site)
-    lines = _lines(others, text, site).join(small(spread), ["h1", "h2"])
-    sites = lines.groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
-    sure = written(sites.where(F.col("sites") >= min_sites).select("h1", "h2"))
-    once = hits.select("t1", "t2", "pos", "h1", "h2").distinct()  # copies are combined before they meet
-    places = once.join(small(mostly), ["t1", "t2"]).join(small(sure), ["h1", "h2"]).select("t1", "t2", "pos")
-    theirs = places.groupBy("t1", "t2").agg(F.collect_list("pos").alias("__places")).withColumn("__spread", F.lit(0).cast("long"))
-    return found.join(small(mostly), ["t1", "t2"], "left_anti").unionByName(theirs)
+    keyed = docs.select(t1.alias("t1"), t2.alias("t2"), F.col(text).alias("text"), F.col(site).alias("site"))
+    others = split_join(keyed, mostly, ["t1", "t2"], "left_anti")
+    sites = split_join(_lines(others, "text", "site"), spread, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
+    return sites.where(F.col("sites") >= min_sites).select("h1", "h2")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, most_share: float = 0.5, prefix: str = "", carried: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, most_share: float = 0.5, prefix: str = "") -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and the new columns ``n_lines`` (lines with a
     word) and ``n_removed``.
 
     Lines are split at U+000A and compared without surrounding white space; lines without a word are
-    never removed. A document most of whose characters (over ``most_share``) stand in spread lines is a
-    copy of a document rather than a carrier of boilerplate: it stays as it is, for near-duplicate
-    removal to keep one of. With ``carried`` this isn't taken for granted: such a document loses the lines
-    that stand on ``min_sites`` sites in other documents (not mostly spread lines themselves), and keeps
-    those that only copies, exact or near, bring to so many. The result depends on the text and the corpus only, so repeated rows are
-    treated alike; a null text stays null, a text without spread lines stays byte for byte, an empty
-    table stays empty, and extra columns stay (clashing new names are an error; use ``prefix``).
+    never removed. A line on ``min_sites`` sites is spread, and a document loses its spread lines. Where
+    they hold over ``most_share`` of its characters, the document may itself be what is copied rather than a
+    carrier of boilerplate: it loses those that stand on ``min_sites`` sites in documents that aren't mostly spread
+    lines, and keeps those that only such documents, exact or near copies, bring to so many (near-duplicate
+    removal keeps one of these). The result depends on the text and the corpus only, so repeated rows are
+    treated alike; a null text stays null, a text without spread lines stays byte for byte, a null site
+    counts as one site, an empty table stays empty, and extra columns stay, whatever their names (clashing new names are
+    an error; use ``prefix``). One very long text is one row's work; its lines spread over tasks.
     """
     if clash := {prefix + "n_lines", prefix + "n_removed"} & set(docs.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}; give a prefix")
     spread = written(spread_lines(docs, text, site, min_sites))
-    hits = _lines(docs, text, None).join(small(spread), ["h1", "h2"])
     # Copies of a text give the same places: they are combined before the shuffle, so each text has each place once.
-    places = hits.groupBy("t1", "t2", "pos").agg(F.first("chars").alias("chars"))
-    found = written(places.groupBy("t1", "t2").agg(F.collect_list("pos").alias("__places"), F.sum("chars").alias("__spread")))
-    if carried:
-        found = written(_of_carried(docs, text, site, min_sites, most_share, spread, hits, found))
-    weight = found.agg(F.coalesce(F.sum(F.size("__places") + 3), F.lit(0))).first()[0]
-    found = F.broadcast(found) if weight <= SMALL_ROWS else found
+    hits = split_join(_lines(docs, text, None), spread, ["h1", "h2"])
+    hits = written(hits.groupBy("t1", "t2", "pos").agg(*[F.first(c).alias(c) for c in ("chars", "h1", "h2")]))
+    share = hits.groupBy("t1", "t2").agg(F.sum("chars").alias("spread"))
 
     t1, t2 = _key(F.col(text))
-    joined = docs.withColumn("__t1", t1).withColumn("__t2", t2)
-    found = found.withColumnsRenamed({"t1": "__t1", "t2": "__t2"})
-    joined = joined.join(found, ["__t1", "__t2"], "left")
-    joined = joined.withColumn("__counts", _counts(text))
-    cuts = F.coalesce((F.col("__spread") <= most_share * F.col("__counts")["chars"]), F.lit(False))
-    keep = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__places")), lambda i: F.get(ls, i))
-    cleaned = F.when(cuts, let(F.split(F.col(text), "\n"), lambda ls: F.array_join(keep(ls), "\n"))).otherwise(F.col(text))
+    keyed = docs.select(t1.alias("t1"), t2.alias("t2"), F.col(text).alias("text"))
+    mostly = split_join(keyed, written(share), ["t1", "t2"]).where(F.col("spread") > most_share * _counts("text")["chars"])
+    mostly = written(mostly.select("t1", "t2").distinct())
+    carried = written(_carried_lines(docs, text, site, min_sites, mostly, spread))
+    theirs = split_join(split_join(hits, mostly, ["t1", "t2"], "left_semi"), carried, ["h1", "h2"], "left_semi")
+    cut = split_join(hits, mostly, ["t1", "t2"], "left_anti").unionByName(theirs)
+
+    n1, n2, places, counts = (fresh(docs.columns, x) for x in ("t1", "t2", "places", "counts"))
+    found = written(cut.groupBy(F.col("t1").alias(n1), F.col("t2").alias(n2)).agg(F.collect_list("pos").alias(places)))
+    weight = found.agg(F.coalesce(F.sum(F.size(places) + 3), F.lit(0))).first()[0]
+    joined = split_join(docs.withColumns({n1: t1, n2: t2}), found, [n1, n2], "left", most=SMALL_PLACES if weight <= SMALL_PLACES else 0)
+    joined = joined.withColumn(counts, _counts(text))
+    keep = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(places)), lambda i: F.get(ls, i))
+    cleaned = F.when(F.col(places).isNotNull(), let(F.split(F.col(text), "\n"), lambda ls: F.array_join(keep(ls), "\n"))).otherwise(F.col(text))
     return joined.select(
         *[(cleaned.alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns],
-        F.col("__counts")["n"].alias(prefix + "n_lines"),
-        F.when(cuts, F.size("__places")).otherwise(F.lit(0)).cast("long").alias(prefix + "n_removed"),
+        F.col(counts)["n"].alias(prefix + "n_lines"),
+        F.coalesce(F.size(places), F.lit(0)).cast("long").alias(prefix + "n_removed"),
     )

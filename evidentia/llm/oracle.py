@@ -11,13 +11,15 @@ pieces AS (SELECT rid, coalesce(source, '') AS site, unnest(string_split(text, c
                   generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM numbered WHERE text IS NOT NULL),
 lines AS (SELECT rid, site, pos, raw, trim(raw, {_WS}) AS line FROM pieces),
 spread AS (SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {min_sites}),
-marked AS (SELECT l.*, s.line IS NOT NULL AS hit FROM lines l LEFT JOIN spread s ON l.line = s.line),
+mostly AS (SELECT rid FROM lines GROUP BY rid
+           HAVING coalesce(sum(length(line)) FILTER (WHERE line IN (SELECT line FROM spread)), 0) > 0.5 * sum(length(line))),
+carried AS (SELECT line FROM lines WHERE line IN (SELECT line FROM spread) AND rid NOT IN (SELECT rid FROM mostly)
+            GROUP BY line HAVING count(DISTINCT site) >= {min_sites}),
+marked AS (SELECT *, CASE WHEN rid IN (SELECT rid FROM mostly) THEN line IN (SELECT line FROM carried) ELSE line IN (SELECT line FROM spread) END AS hit FROM lines),
 per_doc AS (SELECT rid, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE hit) AS hits,
-                   coalesce(sum(length(line)) FILTER (WHERE hit), 0) AS hit_chars, sum(length(line)) AS chars,
                    coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS rest FROM marked GROUP BY rid)
-SELECT n.doc_id, coalesce(p.n_lines, 0)::BIGINT AS n_lines,
-       CASE WHEN p.hits > 0 AND p.hit_chars <= 0.5 * p.chars THEN p.hits ELSE 0 END::BIGINT AS n_removed,
-       CASE WHEN p.hits > 0 AND p.hit_chars <= 0.5 * p.chars THEN p.rest ELSE n.text END AS cleaned
+SELECT n.doc_id, coalesce(p.n_lines, 0)::BIGINT AS n_lines, coalesce(p.hits, 0)::BIGINT AS n_removed,
+       CASE WHEN p.hits > 0 THEN p.rest ELSE n.text END AS cleaned
 FROM numbered n LEFT JOIN per_doc p USING (rid)"""
 
 
