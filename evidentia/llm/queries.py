@@ -46,7 +46,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.chat_format import format_chats
 
     out = format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return out.select(F.col("conv").alias("conv_id"), F.col("at").alias("turn"), "role", "opens", "rendered")
+    return out.select(F.col("conv").alias("conv_id"), F.col("at").alias("turn"), "part", "role", "opens", "rendered")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
