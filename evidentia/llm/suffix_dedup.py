@@ -7,9 +7,9 @@ equal windows have equal anchors. Runs of windows with one anchor are intervals.
    content hash) of each, once for a chunk, to buckets of the hash space.
 2. Buckets answer: an interval whose content stands elsewhere is covered; one whose anchor stands
    elsewhere with other contents is asked for its bytes.
-3. The asked contents of an anchor meet in one task. Windows whose hash stands alone there have no equal;
-   the others are suffix-sorted and equal windows marked. An anchor with very many contents (a passage that a large share of all documents
-   has) is split: its windows travel by their own 128-bit hashes, which spread evenly.
+3. The asked contents of an anchor meet in one task. All their windows are sorted, dealt to parts by ranges of their
+   first bytes, and equal ones marked. An anchor with very many contents (a passage that a large share of
+   all documents has) is split: its windows travel by their own 128-bit hashes, which spread evenly and decide.
 4. Chunks remove what is covered.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import inverse, mix, powers, prefix_hash, release, slices, written
 from evidentia.llm.near_duplicates import _squeeze, _unsqueeze
-from evidentia.llm.suffix_sort import equal_windows
+from evidentia.llm.suffix_sort import eights, equal_windows
 from evidentia.ship import ship
 
 GRAM = 32
@@ -112,14 +113,14 @@ def _edges(buckets: int) -> np.ndarray:
     return ((np.arange(1, buckets, dtype=object) << 64) // buckets).astype(np.uint64) if buckets > 1 else np.empty(0, np.uint64)
 
 
-def _cut(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+def _cut(docs: DataFrame, length: int, buckets: int, chunk_bytes: int) -> DataFrame:
     """Kind 0: a chunk itself (bytes, ids, intervals, what is covered within it). Kind 1: its pairs for a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk, pack = TaskContext.get().partitionId() << 40, zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches, "text", CHUNK_BYTES):
+        for batch in slices(batches, "text", chunk_bytes):
             data, ends = _bytes_of(batch.column("text"))
             # Equal texts within the chunk are worked on once.
             begins, seen, lone, twin = np.concatenate([[0], ends[:-1]]), {}, [], np.zeros(len(ends), np.int64)
@@ -159,7 +160,7 @@ def _cut(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, _CHUNK)
 
 
-def _answer(group: pa.Table) -> pa.Table:
+def _answer(group: pa.Table, many: int) -> pa.Table:
     """A bucket's answers: which intervals are covered, which are asked for their bytes, and which of these stand alone."""
     chunks, parts = group.column("chunk").to_pylist(), [_unsqueeze(x, np.uint64, np.uint64, np.uint8, np.uint32) for x in group.column("data").to_pylist()]
     anchor, content, times, index = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -174,7 +175,7 @@ def _answer(group: pa.Table) -> pa.Table:
     group_start = np.flatnonzero(new_anchor)
     contents = np.repeat(np.add.reduceat(new.astype(np.int64), group_start), np.diff(np.append(group_start, len(new))))
     flag = np.where((total > 1) & (times == 1), _COVERED, 0)
-    flag |= np.where(new & (contents > 1), _ASKED | np.where(contents > MANY, _SPLIT, 0) | np.where(total == 1, _LONE, 0), 0)
+    flag |= np.where(new & (contents > 1), _ASKED | np.where(contents > many, _SPLIT, 0) | np.where(total == 1, _LONE, 0), 0)
     use = np.flatnonzero(flag)
     by = use[np.argsort(owner[use], kind="stable")]
     ends = np.searchsorted(owner[by], np.arange(len(chunks) + 1))
@@ -186,6 +187,10 @@ def _answer(group: pa.Table) -> pa.Table:
     return _table(rows)
 
 
+def _answered(cut: DataFrame, many: int) -> DataFrame:
+    return cut.where("kind = 1").groupBy("bucket").applyInArrow(lambda g: _answer(g, many), _CHUNK)
+
+
 class _Chunk:
     def __init__(self, data: bytes, more: bytes):
         n, docs, packed = np.frombuffer(more, np.int64, 3).tolist()
@@ -242,26 +247,22 @@ def _contents(length: int, buckets: int):
     return run
 
 
-def _equal(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Indices of the windows that have an equal one, part by part of the hash space."""
-    hashes = _rolling(text, length)[starts]
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    same = ranked[1:] == ranked[:-1]
-    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-    ranked, out, at = hashes[order], [], 0
-    while at < len(order):
-        to = min(len(order), at + SORT_AT_ONCE)
-        while to < len(order) and ranked[to] == ranked[to - 1]:
-            to += 1
-        part = order[at:to]
-        for c in equal_windows(text, starts[part], length):
-            out.append(part[c])
-        at = to
+def _equal(text: np.ndarray, starts: np.ndarray, length: int, at_once: int) -> np.ndarray:
+    """Indices of the windows that have an equal one, sorted part by part of ranges of their first eight bytes."""
+    parts = -(-len(starts) // at_once)
+    if parts > 1:
+        key = eights(text)[starts].astype(np.uint64)
+        edges = np.sort(key[:: max(1, len(key) // (parts * 64))])
+        part = np.searchsorted(edges[len(edges) // parts :: max(1, len(edges) // parts)], key, side="right")
+        by = np.argsort(part, kind="stable")
+        pieces = np.split(by, np.flatnonzero(np.diff(part[by])) + 1)
+    else:
+        pieces = [np.arange(len(starts))]
+    out = [piece[np.fromiter(chain.from_iterable(equal_windows(text, starts[piece], length)), np.int64)] for piece in pieces]
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def _sorted(length: int):
+def _sorted(length: int, at_once: int):
     def run(group: pa.Table) -> pa.Table:
         """Equal windows among the contents of a bucket: starts within their interval (kind 5) or chunk (kind 6)."""
         out: list[tuple] = []
@@ -277,7 +278,7 @@ def _sorted(length: int):
             windows = more + 1
             place = np.repeat(np.arange(len(index)), windows)
             shift = np.arange(int(windows.sum())) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
-            flat = _equal(text, begin[place] + shift, length)
+            flat = _equal(text, begin[place] + shift, length, at_once)
             flat = flat[lone[place[flat]] > 0] if len(flat) else flat
             flat = flat[np.argsort(owner[place[flat]], kind="stable")] if len(flat) else flat
             ends = np.searchsorted(owner[place[flat]], np.arange(len(parts) + 1)) if len(flat) else np.zeros(len(parts) + 1, np.int64)
@@ -341,22 +342,23 @@ def _removed(length: int, digest: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, digest: bool = False, many: int = MANY, at_once: int = SORT_AT_ONCE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` for every row: ``kept`` is what stays of its UTF-8 bytes,
     or with ``digest`` its sha256.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the input,
     the same text included; overlaps count and all strings are judged on the input. Matches never cross
     texts. Null texts are empty, texts under ``length`` bytes can't be covered, repeated rows cover each
-    other, null ids stay, other columns are not read, and an empty table gives no rows.
+    other, null ids stay, other columns are not read, and an empty table gives no rows. ``many``, ``at_once``
+    and ``chunk_bytes`` change the work, not the result. One text is one chunk's work, however long.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(max(8, -(-total // (16 << 20))))
-    cut = written(_cut(rows, length, buckets))
-    chunks, pairs = cut.where("kind = 0"), cut.where("kind = 1")
-    answers = written(pairs.groupBy("bucket").applyInArrow(_answer, _CHUNK))
+    cut = written(_cut(rows, length, buckets, chunk_bytes))
+    chunks = cut.where("kind = 0")
+    answers = written(_answered(cut, many))
     contents = chunks.unionByName(answers).groupBy("chunk").applyInArrow(_contents(length, buckets), _CHUNK)
-    equal = written(contents.groupBy("bucket").applyInArrow(_sorted(length), _CHUNK))
+    equal = written(contents.groupBy("bucket").applyInArrow(_sorted(length, at_once), _CHUNK))
     return chunks.unionByName(answers).unionByName(equal).groupBy("chunk").applyInArrow(_removed(length, digest), _OUT)

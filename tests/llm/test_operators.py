@@ -323,28 +323,41 @@ def _removed(texts, length):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("length,many", [(200, 2000), (40, 1)])
-def test_substring_dedup_matches_brute_force(spark, docs, empty, monkeypatch, length, many):
+@pytest.mark.parametrize("length,many,at_once", [(200, 2000, 200_000), (40, 1, 500), (40, 2000, 300)])
+def test_substring_dedup_matches_brute_force(spark, docs, empty, length, many, at_once):
     from evidentia.llm import suffix_dedup as sd
 
-    monkeypatch.setattr(sd, "CHUNK_BYTES", 4000)
     texts = [r["text"] for r in docs.collect()] + ["ab" * 300, "z" * length, "q" * (length - 1)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    got = collections.Counter((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sd.dedup_substrings(df, length=length, digest=True).collect())
+    got = collections.Counter((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sd.dedup_substrings(df, length=length, digest=True, many=many, at_once=at_once, chunk_bytes=4000).collect())
     assert got == _removed(texts, length)
     assert sd.dedup_substrings(empty).count() == 0
 
 
+def test_anchors_are_split_on_the_workers(spark, docs):
+    """With ``many`` at 1 windows travel by hash (kind 4), with 2000 contents do (kind 3)."""
+    from evidentia.llm import suffix_dedup as sd
+
+    cut = sd._cut(docs.select("doc_id", "text"), 40, 8, 4000).cache()
+    kinds = {}
+    for many in (1, 2000):
+        answers = sd._answered(cut, many)
+        kinds[many] = {r["kind"] for r in cut.where("kind = 0").unionByName(answers).groupBy("chunk").applyInArrow(sd._contents(40, 8), sd._CHUNK).collect()}
+    assert kinds == {1: {4}, 2000: {3}}
+
+
 def test_deep_shallow_sort_orders_windows():
     from evidentia.llm.suffix_sort import blind_trie, equal_windows, shallow_sort
 
     rng = random.Random(2)
     text = bytes(rng.choice(b"ab") for _ in range(400)) + b"abracadabra" * 30
     data, starts = np.frombuffer(text, np.uint8), np.arange(len(text) - 60)
-    order, first = shallow_sort(data, starts, 8)
-    keys = [text[s : s + 8] for s in order]
-    assert keys == sorted(keys) and len(first) == len(set(keys))
-    classes = blind_trie(text, list(range(len(text) - 60)), 60)
+    for deep in (8, 32):
+        order, first = shallow_sort(data, starts, deep)
+        keys = [text[s : s + deep] for s in order]
+        assert sorted(order.tolist()) == starts.tolist() and keys == sorted(keys) and len(first) == len(set(keys))
+        assert [keys[k] for k in first] == sorted(set(keys))
+    classes = blind_trie(text, list(range(len(text) - 60)), 60)  # an index is a place here
     windows = [text[c[0] : c[0] + 60] for c in classes]
     assert windows == sorted(set(windows)) and all(text[s : s + 60] == w for c, w in zip(classes, windows, strict=True) for s in c)
     want = {k: v for k, v in collections.Counter(text[s : s + 60] for s in starts).items() if v > 1}
