@@ -12,12 +12,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import SPACES, fold_of, let
-from evidentia.llm.quality_rules import STOP_WORDS
+from evidentia.llm.common import SPACES, fold_of, fresh, let
+from evidentia.llm.quality_rules import stop_words
 
 _BLANK = " \t\n\x0b\x0c\r"
-# Letters that count as upper case.
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
+# Characters that each count takes in; upper case means letters of English and Western European alphabets.
+_UPPER, _DIGITS, _POINTS, _MARKS, _SYMBOLS = "[A-ZÀ-ÏÑ-ÖØ-Ý]", "[0-9]", "[.,;:]", "[!?]", "[#*$%&|<>~^=_{}\\[\\]\\\\@]"
 FEATURES = ("n_words", "word_length", "symbols", "marks", "stops", "upper", "digits", "points", "repeated_lines", "line_words", "distinct")
 
 
@@ -27,19 +27,21 @@ def features(text: Column) -> Column:
     trimmed = F.btrim(t, F.lit(_BLANK))
     words = F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANK))) > 0)
-    having = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("double")
-    stop = lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(STOP_WORDS)
+    having = lambda chars: F.regexp_count(t, F.lit(chars)).cast("double")
 
     def made(w: Column, ls: Column) -> Column:
         n = F.greatest(F.size(w), F.lit(1))
-        chars = F.length(F.translate(t, _BLANK, ""))
-        values = (
-            F.size(w), chars / n, having("#*$%&|<>~^=_{}[]\\@") / n, having("!?") / n, F.size(F.filter(w, stop)) / n,
-            having(_UPPER) / F.greatest(chars, F.lit(1)), having("0123456789") / F.greatest(chars, F.lit(1)), having(".,;:") / n,
-            F.lit(1) - F.size(F.array_distinct(ls)) / F.greatest(F.size(ls), F.lit(1)), F.size(w) / F.greatest(F.size(ls), F.lit(1)),
-            F.size(F.array_distinct(w)) / n,
-        )
-        return F.struct(*[v.cast("double").alias(k) for k, v in zip(FEATURES, values, strict=True)])
+
+        def counted(chars: Column) -> Column:
+            some = F.greatest(chars, F.lit(1))
+            values = (
+                F.size(w), chars / n, having(_SYMBOLS) / n, having(_MARKS) / n, stop_words(t) / n, having(_UPPER) / some, having(_DIGITS) / some, having(_POINTS) / n,
+                F.lit(1) - F.size(F.array_distinct(ls)) / F.greatest(F.size(ls), F.lit(1)), F.size(w) / F.greatest(F.size(ls), F.lit(1)),
+                F.size(F.array_distinct(w)) / n,
+            )
+            return F.struct(*[v.cast("double").alias(k) for k, v in zip(FEATURES, values, strict=True)])
+
+        return let(F.length(F.array_join(w, "")), counted)
 
     return let(words, lambda w: let(lines, lambda ls: made(w, ls)))
 
@@ -134,18 +136,22 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000) -> Model:
     """A model of ``label`` (0 or 1) from rows outside the held-out fold (crc32 of the id, mod 5, is 0).
 
-    At most about ``max_rows`` labelled rows are used, drawn by a hash of the id from all of them; null
-    labels and ids are left out. The drawn ids are bounded, so they are broadcast, and statistics are
-    computed for their documents only.
+    At most about ``max_rows`` labelled rows are used, drawn by a hash of the id from all of them (twice that
+    where ids repeat; beyond, by a hash of the text); null labels and ids are left out, an id with both labels counts with both. The drawn ids are
+    bounded, so they are broadcast, and statistics are computed for their documents only.
     """
-    known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("__y"))
-    known = known.where(F.col("__id").isNotNull() & F.col("__y").isin(0.0, 1.0) & (fold_of(F.col("__id")) != 0))
+    number, y = fresh(docs.columns, "id"), fresh(docs.columns, "y")
+    known = labels.select(F.col(doc_id).alias(number), F.col(label).cast("double").alias(y))
+    known = known.where(F.col(number).isNotNull() & F.col(y).isin(0.0, 1.0) & (fold_of(F.col(number)) != 0)).distinct()
     n = known.count()
     if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
-    rows = docs.join(F.broadcast(known), F.col(doc_id) == F.col("__id")).select(features(F.col(text)).alias("x"), "__y").select("x.*", "__y")
-    got = rows.limit(4 * max_rows).toPandas().sort_values([*FEATURES, "__y"], ignore_index=True)
-    return fit(got[list(FEATURES)].to_numpy(float), got["__y"].to_numpy(float))
+        known = known.where(F.pmod(F.xxhash64(number), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
+    rows = docs.join(F.broadcast(known), F.col(doc_id) == F.col(number)).select(F.col(text).alias("text"), F.col(y).alias("y"))
+    found = rows.count()
+    if found > 2 * max_rows:  # ids that repeat: their rows are drawn by a hash of the text
+        rows = rows.where(F.pmod(F.xxhash64("text", "y", F.lit(1)), F.lit(1 << 20)) < int(max_rows / found * (1 << 20)))
+    got = rows.select(features(F.col("text")).alias("x"), "y").select("x.*", "y").toPandas().sort_values([*FEATURES, "y"], ignore_index=True)
+    return fit(got[list(FEATURES)].to_numpy(float), got["y"].to_numpy(float))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, prefix: str = "") -> DataFrame:
@@ -156,6 +162,6 @@ def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float
     """
     if clash := {prefix + "score", prefix + "predicted"} & set(docs.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}; give a prefix")
-    x = "__quality_features"
+    x = fresh(docs.columns, "features")
     scored = docs.withColumn(x, features(F.col(text))).withColumn(prefix + "score", model.score(F.col(x))).drop(x)
     return scored.withColumn(prefix + "predicted", (F.col(prefix + "score") >= threshold).cast("int"))

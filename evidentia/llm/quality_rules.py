@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import SPACES, let
+from evidentia.llm.common import SPACES, fresh, let
 
 # Frequent words of English, French, Spanish and German.
 STOP_WORDS = (
@@ -39,6 +39,12 @@ RULES = (
 )
 
 
+def stop_words(t: Column) -> Column:
+    """Words of the text ``t`` that are stop words in lower case and without marks at their end."""
+    plain = F.split(F.regexp_replace(F.lower(t), "[.,;:!?]+(?=[\\x20\\x09-\\x0D]|\\z)", ""), SPACES)
+    return F.size(F.filter(plain, lambda x: x.isin(STOP_WORDS)))
+
+
 def _repeated(words: Column) -> Column:
     """Words covered by 3-word windows found twice or more: windows are sorted with their places, equal neighbours mark both."""
     n = F.size(words)
@@ -69,14 +75,13 @@ def statistics(text: Column) -> Column:
     trimmed = F.btrim(t, F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
-    kept = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    having = lambda chars: F.regexp_count(t, F.lit(chars)).cast("long")
 
     def of_words(w: Column) -> Column:
-        plain = lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?")))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             _repeated(w).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: plain(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         )
 
     return let(
@@ -85,13 +90,13 @@ def statistics(text: Column) -> Column:
             lines,
             lambda ls: F.struct(
                 a["n_words"].alias("n_words"),
-                (F.length(F.translate(t, " \t\n\x0b\x0c\r", ""))).cast("long").alias("word_chars"),
-                kept("#*$%&|<>").cast("long").alias("n_symbols"),
+                a["word_chars"].alias("word_chars"),
+                having("[#*$%&|<>]").alias("n_symbols"),
                 (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                 a["n_repeat_words"].alias("n_repeat_words"),
                 F.size(ls).cast("long").alias("n_lines"),
-                kept("!?").cast("long").alias("n_marks"),
-                a["n_stop_words"].alias("n_stop_words"),
+                having("[!?]").alias("n_marks"),
+                stop_words(t).cast("long").alias("n_stop_words"),
             ),
         ),
     )
@@ -122,7 +127,7 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     made = [*(f for f in _FIELDS), "base_failed", "failed_rules", "kept"]
     if clash := {prefix + x for x in made} & set(docs.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}; give a prefix")
-    hidden = "__quality_stats"
+    hidden = fresh(docs.columns, "stats")
     with_stats = docs.withColumn(hidden, statistics(F.col(text)))
     s = F.col(hidden)
     base = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
