@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as the reference behaviour defines it, words, and first words of a question.
-SPACE = "[\\s\\u000B\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]+"
+SPACES = "\\s\\u000B\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+SPACE = f"[{SPACES}]+"
 WORD = "[\\p{L}\\p{N}]+(?:['’\\-][\\p{L}\\p{N}]+)*"
 QUESTION_WORDS = "what when where which who whom whose why how is are was were can could do does did will would should may might have has had".split()
 ENTITIES = {"quot": '"', "apos": "'", "lt": "<", "gt": ">", "nbsp": " ", "amp": "&"}
@@ -58,12 +61,20 @@ def terms(x: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("([\\p{L}\\p{N}]+)")), lambda t: F.length(t) >= 3))
 
 
-def snippet(x: Column, pattern: str, before: int, after: int) -> Column:
-    """The first match of ``pattern`` with some characters around it, collapsed; null without a match."""
-    at = F.regexp_instr(x, F.lit(pattern))
-    hit = F.regexp_substr(x, F.lit(pattern))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def around(x: Column, at: Column, size: Column, before: int, after: int) -> Column:
+    """What stands at ``at`` (from 1) with some characters around it, collapsed."""
     start = F.greatest(at - before, F.lit(1))
-    return F.when(at > 0, collapse(F.substring(x, start, at - start + F.length(hit) + after)))
+    return collapse(F.substring(x, start, at - start + size + after))
+
+
+def words(alternatives: str, ignore_case: bool = True) -> str:
+    """A pattern for ``alternatives`` between ASCII word boundaries; each begins and ends with a letter or digit."""
+    return f"{'(?i)' if ignore_case else ''}(?<![A-Za-z0-9_])(?:{alternatives})(?![A-Za-z0-9_])"
 
 
 def boundary(alternatives: str, ignore_case: bool = True) -> str:

@@ -84,61 +84,116 @@ def rollup(found: DataFrame, key: str = "page_id") -> DataFrame:
     return found.groupBy("rule_id").agg(F.count_distinct(key).alias("pages"))
 
 
-# Lexical analyzers (group, id, pattern, whether an absence asks for review).
+class Lexical(NamedTuple):
+    """An analyzer that looks for words; ``needs`` are lower-case strings one of which every match holds."""
+
+    group: str
+    analyzer_id: str
+    label: str
+    pattern: str
+    review: bool
+    needs: tuple[str, ...]
+
+
+_ANSWER, _TRUST, _SUPPORT = "content-answerability", "trust-ymyl", "retrieval-support"
+_DOT = "(?:(?<=\\w)(?!\\w)|(?<!\\w)(?=\\w))"
+# Groups, ids, labels and words of the lexical analyzers, and whether an absence asks for review.
 LEXICAL = (
-    ("content", "CONTENT_PRICING", "price|pricing|cost|fees?", False),
-    ("content", "CONTENT_INSURANCE", "insurance|coverage|benefits", False),
-    ("content", "CONTENT_PROCESS", "how it works|process|what to expect|steps?", False),
-    ("content", "CONTENT_RISKS", "risks?|side effects?|limitations?|complications?", True),
-    ("content", "CONTENT_ALTERNATIVES", "alternatives?|other options?|instead of", True),
-    ("content", "CONTENT_ELIGIBILITY", "eligible|eligibility|candidate|who (?:is|are) (?:this|treatment) for", True),
-    ("content", "CONTENT_REVIEW_DATE", "(?:updated|reviewed|last modified|published)(?: on)?\\s*[:-]?\\s*[A-Za-z0-9]+", False),
-    ("entities", "ENTITY_PROVIDER", "dr\\.|doctor|provider|author|reviewed by|written by", True),
-    ("trust", "TRUST_CREDENTIALS", "credential|certified|board-certified|licensed|fellowship|residency", True),
-    ("trust", "TRUST_MEDICAL_REVIEW", "medically reviewed|clinical review|reviewed by", True),
-    ("trust", "TRUST_CITATIONS", "references?|sources?|citations?|according to", True),
-    ("trust", "TRUST_POLICIES", "privacy policy|terms of use|accessibility|editorial policy", False),
-    ("trust", "TRUST_TESTIMONIALS", "testimonial|patient stor(?:y|ies)|case stud(?:y|ies)|before and after", True),
-    ("trust", "TRUST_ASSOCIATIONS", "association|academy|society|publication|published|faculty|teach(?:es|ing)", True),
-    ("trust", "TRUST_FINANCING", "financing|payment plan|monthly payments?", True),
-)
-DEFINITION = "[A-Z][A-Za-z -]{2,40} (?:is|means|refers to) "
+    Lexical(_ANSWER, "CONTENT_PRICING", "Pricing", T.words("price|pricing|cost|fees?"), False, ("pric", "cost", "fee")),
+    Lexical(_ANSWER, "CONTENT_INSURANCE", "Insurance", T.words("insurance|coverage|benefits"), False, ("insurance", "coverage", "benefits")),
+    Lexical(_ANSWER, "CONTENT_PROCESS", "Process", T.words("how it works|process|what to expect|steps?"), False, ("how it works", "process", "what to expect", "step")),
+    Lexical(_ANSWER, "CONTENT_RISKS", "Risks and limitations", T.words("risks?|side effects?|limitations?|complications?"), True, ("risk", "side effect", "limitation", "complication")),
+    Lexical(_ANSWER, "CONTENT_ALTERNATIVES", "Alternatives", T.words("alternatives?|other options?|instead of"), True, ("alternative", "other option", "instead of")),
+    Lexical(_ANSWER, "CONTENT_ELIGIBILITY", "Eligibility", T.words("eligible|eligibility|candidate|who (?:is|are) (?:this|treatment) for"), True, ("eligib", "candidate", "who ")),
+    Lexical(_ANSWER, "CONTENT_REVIEW_DATE", "Freshness or review date", f"(?i)(?<!\\w)(?:updated|reviewed|last modified|published)[{T.SPACES}]*(?:on)?[{T.SPACES}]*[:\\-]?[{T.SPACES}]*[A-Z0-9]", False, ("updated", "reviewed", "last modified", "published")),
+    Lexical("entities", "ENTITY_PROVIDER", "Provider or author", f"(?i)(?<!\\w)(?:Dr\\.?|doctor|provider|author|reviewed by|written by){_DOT}", True, ("dr", "doctor", "provider", "author", "reviewed by", "written by")),
+    Lexical(_TRUST, "TRUST_CREDENTIALS", "Credentials language", T.words("credential|certified|board-certified|licensed|fellowship|residency"), True, ("credential", "certified", "licensed", "fellowship", "residency")),
+    Lexical(_TRUST, "TRUST_MEDICAL_REVIEW", "Medical review", T.words("medically reviewed|clinical review|reviewed by"), True, ("medically reviewed", "clinical review", "reviewed by")),
+    Lexical(_TRUST, "TRUST_CITATIONS", "References or citations", T.words("references?|sources?|citations?|according to"), True, ("reference", "source", "citation", "according to")),
+    Lexical(_TRUST, "TRUST_POLICIES", "Policies", T.words("privacy policy|terms of use|accessibility|editorial policy"), False, ("privacy policy", "terms of use", "accessibility", "editorial policy")),
+    Lexical(_TRUST, "TRUST_TESTIMONIALS", "Testimonials or cases", T.words("testimonial|patient stor(?:y|ies)|case stud(?:y|ies)|before and after"), True, ("testimonial", "patient stor", "case stud", "before and after")),
+    Lexical(_TRUST, "TRUST_ASSOCIATIONS", "Associations or publications", T.words("association|academy|society|publication|published|faculty|teach(?:es|ing)"), True, ("association", "academy", "society", "publication", "published", "faculty", "teach")),
+    Lexical(_TRUST, "TRUST_FINANCING", "Financing", T.words("financing|payment plan|monthly payments?"), True, ("financing", "payment plan", "monthly payment")),
+    Lexical(_SUPPORT, "RETRIEVAL_DEFINITIONS", "Definitions", f"(?<!\\w)[A-Z][\\p{{L}}{T.SPACES}-]{{2,40}}[{T.SPACES}]+(?:is|means|refers to)[{T.SPACES}]+", False, ("is", "means", "refers to")),
+)
+
+
+def _absent(a: Lexical) -> str:
+    return "needs-human-review" if a.review else "not-observed"
+
+
+def _may(a: Lexical, low: Column) -> Column:
+    out = F.contains(low, F.lit(a.needs[0]))
+    for x in a.needs[1:]:
+        out = out | F.contains(low, F.lit(x))
+    return out
+
+
+def lexical_statuses(text: Column) -> Column:
+    """An array of (group, analyzer_id, status) over one text, for counts: no value or snippet is taken out."""
+    t = F.coalesce(text, F.lit(""))
+    made = lambda low: F.array(*[F.struct(F.lit(a.group).alias("group"), F.lit(a.analyzer_id).alias("analyzer_id"), F.when(_may(a, low) & t.rlike(a.pattern), "observed").otherwise(_absent(a)).alias("status")) for a in LEXICAL])
+    return T.let(F.lower(t), made)
+
+
+def _observation(group: str, name: str, label: str, status: Column, value: Column, field: str, selector: str | None, snippet: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(group).alias("group"), F.lit(name).alias("analyzer_id"), F.lit("1.0.0").alias("analyzer_version"), F.lit(label).alias("label"), status.alias("status"),
+        value.cast("string").alias("observed_value"), F.lit(field).alias("field"), (F.lit(selector) if selector else none).alias("selector"), (none if snippet is None else snippet).alias("snippet"),
+    )
 
 
 def lexical_observations(text: Column) -> Column:
-    """An array of (group, analyzer_id, status, snippet) over one text."""
+    """An array of observations over one text: what matched first is the observed value, with its surroundings as snippet."""
     t = F.coalesce(text, F.lit(""))
-    made = []
-    for group, name, pattern, review in LEXICAL:
-        p = T.boundary(pattern) if not pattern.endswith("+") and "\\." not in pattern else f"(?i)(?:^|[^A-Za-z0-9_])(?:{pattern})"
-        status = F.when(t.rlike(p), "observed").otherwise("needs-human-review" if review else "not-observed")
-        made.append(F.struct(F.lit(group).alias("group"), F.lit(name).alias("analyzer_id"), status.alias("status"), T.snippet(t, p, 80, 120).alias("snippet")))
-    status = F.when(t.rlike(DEFINITION), "observed").otherwise("not-observed")
-    made.append(F.struct(F.lit("retrieval").alias("group"), F.lit("RETRIEVAL_DEFINITIONS").alias("analyzer_id"), status.alias("status"), T.snippet(t, DEFINITION, 80, 120).alias("snippet")))
-    return F.array(*made)
 
+    def of(a: Lexical, low: Column) -> Column:
+        def row(m: Column) -> Column:
+            status = F.when(m["at"] > 0, "observed").otherwise(_absent(a))
+            return _observation(a.group, a.analyzer_id, a.label, status, m["hit"], "visibleText", "body", F.when(m["at"] > 0, T.around(t, m["at"], F.length(m["hit"]), 80, 120)))
 
-def observations(analyses: DataFrame, key: str = "page_id") -> DataFrame:
-    """The 33 analyzer observations of each page."""
-    c, none = F.col, F.lit(None).cast("string")
-    pick = lambda group, name, status: F.struct(F.lit(group).alias("group"), F.lit(name).alias("analyzer_id"), status.alias("status"), none.alias("snippet"))
+        at = F.when(_may(a, low), F.regexp_instr(t, F.lit(a.pattern))).otherwise(F.lit(0))
+        return T.let(T.let(at, lambda at: F.struct(at.alias("at"), F.when(at > 0, F.regexp_substr(t, F.lit(a.pattern))).alias("hit"))), row)
+
+    return T.let(F.lower(t), lambda low: F.array(*[of(a, low) for a in LEXICAL]))
+
+
+def _fixed() -> list[Column]:
+    c = F.col
     seen = lambda ok, other: F.when(ok, "observed").otherwise(other)
-    types, errors = F.size("schema_types") > 0, c("jsonld_error_count") > 0
-    fixed = [
-        pick("technical", "TECH_HTTP_STATUS", seen(c("status_code").between(200, 299), "partially-observed")),
-        pick("technical", "TECH_INDEXABILITY", seen(c("is_indexable"), "partially-observed")),
-        pick("technical", "TECH_CANONICAL", seen(c("canonical_status") == "match", "partially-observed")),
-        pick("technical", "TECH_HEADING_STRUCTURE", seen((c("h1_count") == 1) & (F.size("level_jumps") == 0), "partially-observed")),
-        pick("technical", "TECH_IMAGE_ALT", F.when(c("image_count") == 0, "not-applicable").when(c("images_missing_alt") == 0, "observed").otherwise("partially-observed")),
-        pick("technical", "TECH_STRUCTURED_DATA", F.when(types & ~errors, "observed").when(types, "partially-observed").otherwise("not-observed")),
-        pick("content", "CONTENT_QUESTIONS", seen(c("question_count") > 0, "not-observed")),
-        pick("content", "CONTENT_DIRECT_ANSWERS", F.when(c("question_count") == 0, "not-applicable").otherwise(seen(c("direct_answer_count") > 0, "not-observed"))),
-        *[pick("entities", f"ENTITY_{k.upper() if k != 'entity' else 'ORGANIZATION'}", seen(c(f"{k}_count") > 0, "not-observed")) for k in ("entity", "service", "location", "contact")],
-        pick("entities", "ENTITY_SCHEMA_VISIBLE_CONSISTENCY", F.when(types & (c("entity_count") > 0), "partially-observed").otherwise("needs-human-review")),
-        pick("retrieval", "RETRIEVAL_EXTRACTABLE_ANSWERS", F.when(c("direct_answer_count") > 0, "observed").when(c("question_count") > 0, "partially-observed").otherwise("not-observed")),
-        pick("retrieval", "RETRIEVAL_SECTION_CLARITY", seen(c("heading_count") > 1, "not-observed")),
-        pick("retrieval", "RETRIEVAL_ENTITY_NAMING", seen(c("entity_count") > 0, "not-observed")),
-        pick("retrieval", "RETRIEVAL_EVIDENCE_DENSITY", F.when(c("word_count") > 0, "partially-observed").otherwise("not-observed")),
+    pair = lambda **xs: F.to_json(F.struct(*[v.alias(k) for k, v in xs.items()]))
+    o, part, joined = _observation, "partially-observed", lambda name: F.to_json(c(name))
+    types, errors, headings = F.size("schema_types") > 0, c("jsonld_error_count") > 0, "h1,h2,h3,h4,h5,h6"
+    return [
+        o("technical", "TECH_HTTP_STATUS", "HTTP retrieval", seen(c("status_code").between(200, 299), part), c("status_code"), "statusCode", None),
+        o("technical", "TECH_INDEXABILITY", "Indexability directives", seen(c("is_indexable"), part), c("indexability"), "indexability", 'meta[name="robots"]'),
+        o("technical", "TECH_CANONICAL", "Canonical relationship", seen(c("canonical_status") == "match", part), c("canonical_status"), "canonicalStatus", 'link[rel="canonical"]'),
+        o("technical", "TECH_HEADING_STRUCTURE", "Heading structure", seen((c("h1_count") == 1) & (F.size("level_jumps") == 0), part), pair(h1Count=c("h1_count"), jumps=F.size("level_jumps")), "headingHierarchy", headings),
+        o("technical", "TECH_IMAGE_ALT", "Image alternative text", F.when(c("image_count") == 0, "not-applicable").when(c("images_missing_alt") == 0, "observed").otherwise(part), pair(images=c("image_count"), missingAlt=c("images_missing_alt")), "imageAltIssues", "img"),
+        o("technical", "TECH_STRUCTURED_DATA", "Structured data", F.when(types & ~errors, "observed").when(types, part).otherwise("not-observed"), pair(schemaTypes=c("schema_types"), parseErrors=c("jsonld_error_count")), "schemaTypes", 'script[type="application/ld+json"]'),
+        o(_ANSWER, "CONTENT_QUESTIONS", "Visible questions", seen(c("question_count") > 0, "not-observed"), c("question_count"), "detectedQuestions", "body"),
+        o(_ANSWER, "CONTENT_DIRECT_ANSWERS", "Answer proximity", F.when(c("question_count") == 0, "not-applicable").otherwise(seen(c("direct_answer_count") > 0, "not-observed")), c("direct_answer_count"), "directAnswers", "body"),
+        o("entities", "ENTITY_ORGANIZATION", "Organization or brand", seen(c("entity_count") > 0, "not-observed"), joined("entity_terms"), "coverage.entity", "body"),
+        o("entities", "ENTITY_SERVICE", "Services", seen(c("service_count") > 0, "not-observed"), joined("service_terms"), "coverage.service", "body"),
+        o("entities", "ENTITY_LOCATION", "Locations", seen(c("location_count") > 0, "not-observed"), joined("location_terms"), "coverage.location", "body"),
+        o("entities", "ENTITY_CONTACT", "Contact identity", seen(c("contact_count") > 0, "not-observed"), c("contact_count"), "coverage.contact", "body"),
+        o("entities", "ENTITY_SCHEMA_VISIBLE_CONSISTENCY", "Schema-to-visible consistency", F.when(types & (c("entity_count") > 0), part).otherwise("needs-human-review"), pair(schemaTypes=c("schema_types"), entityTerms=c("entity_terms")), "coverage", "body"),
+        o(_SUPPORT, "RETRIEVAL_EXTRACTABLE_ANSWERS", "Extractable answers", F.when(c("direct_answer_count") > 0, "observed").when(c("question_count") > 0, part).otherwise("not-observed"), pair(questions=c("question_count"), directAnswers=c("direct_answer_count")), "directAnswers", "body"),
+        o(_SUPPORT, "RETRIEVAL_SECTION_CLARITY", "Section clarity", seen(c("heading_count") > 1, part), pair(headings=c("heading_count"), jumps=F.size("level_jumps")), "headingHierarchy", headings),
+        o(_SUPPORT, "RETRIEVAL_ENTITY_NAMING", "Entity naming", seen(c("entity_count") > 0, "not-observed"), joined("entity_terms"), "coverage.entity", "body"),
+        o(_SUPPORT, "RETRIEVAL_EVIDENCE_DENSITY", "Evidence density", F.when(c("word_count") > 0, part).otherwise("not-observed"), pair(words=c("word_count"), headings=c("heading_count"), directAnswers=c("direct_answer_count"), externalDomains=F.size("external_domains")), "contentCounts", "body"),
     ]
-    every = F.concat(F.array(*fixed), lexical_observations(c("visible_text")))
+
+
+def observations(analyses: DataFrame, key: str = "page_id") -> DataFrame:
+    """The 33 analyzer observations of each page: status, label, observed value and where it was seen."""
+    every = F.concat(F.array(*_fixed()), lexical_observations(F.col("visible_text")))
     return analyses.select(key, F.explode(every).alias("o")).select(key, "o.*")
+
+
+def observation_counts(analyses: DataFrame) -> DataFrame:
+    """Pages by group, analyzer and status."""
+    short = [F.struct(*[x[n].alias(n) for n in ("group", "analyzer_id", "status")]) for x in _fixed()]
+    every = F.concat(F.array(*short), lexical_statuses(F.col("visible_text")))
+    return analyses.select(F.inline(every)).groupBy("group", "analyzer_id", "status").agg(F.count("*").alias("pages"))

@@ -33,7 +33,7 @@ def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _docs(spark, sf_dir, "text").select(F.inline(rules.lexical_observations(F.col("text"))))
+    o = _docs(spark, sf_dir, "text").select(F.inline(rules.lexical_statuses(F.col("text"))))
     return o.groupBy("group", "analyzer_id", "status").agg(F.count("*").alias("docs"))
 
 
@@ -59,24 +59,51 @@ def term_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (text_word_counts, sentence_counts, derived_questions, repeated_texts, lexical_rollup, contact_signals, text_eligibility, term_overlap)}
 
 
-def _lexical_sql() -> str:
-    rows = []
-    for group, name, pattern, review in rules.LEXICAL:
-        p = T.boundary(pattern) if not pattern.endswith("+") and "\\." not in pattern else f"(?i)(?:^|[^A-Za-z0-9_])(?:{pattern})"
-        rows.append(f"{{'g': '{group}', 'a': '{name}', 's': CASE WHEN regexp_matches(text, '{p}') THEN 'observed' ELSE '{'needs-human-review' if review else 'not-observed'}' END}}")
-    rows.append(f"{{'g': 'retrieval', 'a': 'RETRIEVAL_DEFINITIONS', 's': CASE WHEN regexp_matches(text, '{rules.DEFINITION}') THEN 'observed' ELSE 'not-observed' END}}")
-    return f"SELECT o.g AS \"group\", o.a AS analyzer_id, o.s AS status, count(*) AS docs FROM (SELECT unnest([{', '.join(rows)}]) AS o FROM (SELECT coalesce(text, '') AS text FROM documents)) GROUP BY ALL"
+# The analyzers' patterns as RE2 reads them, written out beside the plan they check.
+_LEXICAL = """
+content-answerability CONTENT_PRICING not-observed (?i)\\b(?:price|pricing|cost|fees?)\\b
+content-answerability CONTENT_INSURANCE not-observed (?i)\\b(?:insurance|coverage|benefits)\\b
+content-answerability CONTENT_PROCESS not-observed (?i)\\b(?:how it works|process|what to expect|steps?)\\b
+content-answerability CONTENT_RISKS needs-human-review (?i)\\b(?:risks?|side effects?|limitations?|complications?)\\b
+content-answerability CONTENT_ALTERNATIVES needs-human-review (?i)\\b(?:alternatives?|other options?|instead of)\\b
+content-answerability CONTENT_ELIGIBILITY needs-human-review (?i)\\b(?:eligible|eligibility|candidate|who (?:is|are) (?:this|treatment) for)\\b
+content-answerability CONTENT_REVIEW_DATE not-observed (?i)\\b(?:updated|reviewed|last modified|published)\\s*(?:on)?\\s*[:\\-]?\\s*[A-Z\\d]
+entities ENTITY_PROVIDER needs-human-review (?i)\\b(?:Dr\\.?|doctor|provider|author|reviewed by|written by)\\b
+trust-ymyl TRUST_CREDENTIALS needs-human-review (?i)\\b(?:credential|certified|board-certified|licensed|fellowship|residency)\\b
+trust-ymyl TRUST_MEDICAL_REVIEW needs-human-review (?i)\\b(?:medically reviewed|clinical review|reviewed by)\\b
+trust-ymyl TRUST_CITATIONS needs-human-review (?i)\\b(?:references?|sources?|citations?|according to)\\b
+trust-ymyl TRUST_POLICIES not-observed (?i)\\b(?:privacy policy|terms of use|accessibility|editorial policy)\\b
+trust-ymyl TRUST_TESTIMONIALS needs-human-review (?i)\\b(?:testimonial|patient stor(?:y|ies)|case stud(?:y|ies)|before and after)\\b
+trust-ymyl TRUST_ASSOCIATIONS needs-human-review (?i)\\b(?:association|academy|society|publication|published|faculty|teach(?:es|ing))\\b
+trust-ymyl TRUST_FINANCING needs-human-review (?i)\\b(?:financing|payment plan|monthly payments?)\\b
+retrieval-support RETRIEVAL_DEFINITIONS not-observed \\b[A-Z][\\p{L}\\s-]{2,40}\\s+(?:is|means|refers to)\\s+
+"""
 
 
+def _lexical_sql() -> str:
+    rows = [line.split(" ", 3) for line in _LEXICAL.strip().split("\n")]
+    made = [f"{{'g': '{g}', 'a': '{a}', 's': CASE WHEN regexp_matches(text, '{p}') THEN 'observed' ELSE '{s}' END}}" for g, a, s, p in rows]
+    return f"SELECT o.g AS \"group\", o.a AS analyzer_id, o.s AS status, count(*) AS docs FROM (SELECT unnest([{', '.join(made)}]) AS o FROM (SELECT coalesce(text, '') AS text FROM documents)) GROUP BY ALL"
+
+
+# Title and body patterns of pages that aren't content, as RE2 reads them.
+_CHALLENGES = (
+    ("ACCESS_DENIED", "(?i)^(?:access denied|request blocked|permission denied|forbidden|not authorized|unauthorized request)(?:\\s*[-|:]\\s*.*)?[.!]?$", "(?i)\\b(?:access denied|request blocked|permission denied|forbidden|not authorized|unauthorized request)\\b"),
+    ("BOT_CHALLENGE", "(?i)^(?:just a moment|checking your browser|attention required|bot challenge)(?:\\s*[-|:]\\s*.*)?[.!]?$", "(?i)\\b(?:checking your browser|verify (?:that )?you are human|bot challenge|automated quer(?:y|ies)|enable javascript and cookies|attention required)\\b"),
+    ("CAPTCHA", "(?i)^(?:captcha|recaptcha|hcaptcha)(?:\\s+(?:challenge|required|verification))?[.!]?$", "(?is)(?:\\b(?:complete|solve|enter|pass)\\b.{0,80}\\b(?:captcha|recaptcha|hcaptcha)\\b|\\b(?:captcha|recaptcha|hcaptcha)\\b.{0,80}\\b(?:continue|verify|verification|required)\\b)"),
+    ("SECURITY_CHECK", "(?i)^(?:security check|security verification|ddos protection)(?:\\s*[-|:]\\s*.*)?[.!]?$", "(?i)\\b(?:security check|security verification|performing a security check|ddos protection|cloudflare ray id)\\b"),
+)
+_ERROR_TITLE = "(?i)^(?:(?:4|5)\\d{2}[.!]?|(?:4|5)\\d{2}(?:\\s*[-|:]\\s*|\\s+)(?:error|not found|page not found|forbidden|unauthorized|bad request|too many requests|internal server error|service unavailable|bad gateway|gateway timeout)\\b.*|error\\s+(?:4|5)\\d{2}(?:\\s*[-|:]\\s*.*)?|page not found(?:\\s*[-|:]\\s*.*)?|not found|service unavailable|bad gateway|internal server error|temporarily unavailable)[.!]?$"
+_ERROR_BODY = "(?i)\\b(?:the requested page (?:could not be found|was not found)|page not found|internal server error|service unavailable|bad gateway|an unexpected error occurred)\\b"
 _WORDS = "len(regexp_extract_all(text, '[\\p{L}\\p{N}]+(?:[''’\\-][\\p{L}\\p{N}]+)*'))"
 
 
 def _eligibility_sql() -> str:
     q = lambda p: p.replace("'", "''")
-    tests = " ".join(f"WHEN regexp_matches(title, '{q(a)}') OR (regexp_matches(title || chr(10) || early, '{q(b)}') AND weak) THEN '{code}'" for code, a, b in eligibility.CHALLENGES)
+    tests = " ".join(f"WHEN regexp_matches(title, '{q(a)}') OR (regexp_matches(title || chr(10) || early, '{q(b)}') AND weak) THEN '{code}'" for code, a, b in _CHALLENGES)
     return f"""WITH d AS (SELECT trim(coalesce(text, '')) AS t, trim(string_split(coalesce(text, ''), chr(10))[1]) AS title, {_WORDS} AS w, (length(string_split(text, chr(10))[1]) > 0)::INT AS e FROM documents),
 x AS (SELECT *, t[1:1500] AS early, CASE WHEN w < 80 THEN e < 4 ELSE e < 2 END AS weak FROM d),
-y AS (SELECT *, CASE {tests} WHEN regexp_matches(title, '{q(eligibility.ERROR_TITLE)}') OR (w < 200 AND regexp_matches(early, '{q(eligibility.ERROR_BODY)}') AND weak) THEN 'ERROR_PAGE'
+y AS (SELECT *, CASE {tests} WHEN regexp_matches(title, '{q(_ERROR_TITLE)}') OR (w < 200 AND regexp_matches(early, '{q(_ERROR_BODY)}') AND weak) THEN 'ERROR_PAGE'
  WHEN t = '' OR w = 0 THEN 'EMPTY_CONTENT' WHEN e = 0 AND w < 100 THEN 'MISSING_PAGE_EVIDENCE' WHEN w < 20 AND e < 2 THEN 'NEAR_EMPTY_CONTENT' END AS bad FROM x),
 z AS (SELECT bad, array_to_string(list_filter([CASE WHEN w < 50 THEN 'NEAR_EMPTY_CONTENT' END, CASE WHEN e = 0 OR (e = 1 AND w < 100) THEN 'MISSING_PAGE_EVIDENCE' END], lambda v: v IS NOT NULL), ',') AS soft FROM y)
 SELECT CASE WHEN bad IS NOT NULL THEN 'ineligible' WHEN soft <> '' THEN 'degraded' ELSE 'eligible' END AS status, coalesce(bad, soft) AS reasons, count(*) AS docs FROM z GROUP BY ALL"""
@@ -89,7 +116,7 @@ ORACLE_SQL = {
     "derived_questions": "SELECT doc_id, 'What is ' || f || ' & more?|how are ' || f || ' related?' AS questions FROM (SELECT doc_id, regexp_extract(text, '([A-Za-z]+)', 1) AS f FROM documents)",
     "repeated_texts": "SELECT sha256(lower(text)) AS text_key, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
     "lexical_rollup": _lexical_sql(),
-    "contact_signals": f"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, '{coverage.EMAIL}'))::INT AS emails, len(regexp_extract_all(text, '{coverage.PHONE}'))::INT AS phones FROM documents) WHERE emails + phones > 0",
+    "contact_signals": f"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}'))::INT AS emails, len(regexp_extract_all(text, '\\+?[0-9][0-9\\s().-]{{7,}}[0-9]'))::INT AS phones FROM documents) WHERE emails + phones > 0",
     "text_eligibility": _eligibility_sql(),
     "term_overlap": f"""WITH a AS (SELECT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark), b AS (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents),
 p AS (SELECT item_id, doc_id, count(*) AS shared FROM a JOIN b USING (term) GROUP BY ALL) SELECT item_id, count(*) AS docs, max(shared) AS most_shared FROM p GROUP BY 1""",

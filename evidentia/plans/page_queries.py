@@ -64,7 +64,7 @@ def head_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyzer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.observations(_analyses(spark, sf_dir)).groupBy("group", "analyzer_id", "status").agg(F.count("*").alias("pages"))
+    return rules.observation_counts(_analyses(spark, sf_dir))
 
 
 def coverage_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
