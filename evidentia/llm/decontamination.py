@@ -128,7 +128,7 @@ def _frequencies(docs: DataFrame, text: str, blocks: Blocks) -> tuple[np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, known, seen = 0, pa.array(words, pa.large_string()), np.zeros(n, np.int64)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids, at, chunk = _read(batch.column("text"), known)
             total += int((-(-np.diff(at) // CHUNK)).sum())
             hit = ids >= 0
@@ -162,7 +162,7 @@ def _singular_vectors(docs: DataFrame, text: str, blocks: Blocks, weights: list[
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, out = pa.array(words, pa.large_string()), [np.zeros_like(g) for g in starts]
         scaled = [g * w[:, None] for g, w in zip(starts, weights, strict=True)]
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             every, at, chunk = _read(batch.column("text"), known)
             first = np.concatenate([[0], np.cumsum(-(-np.diff(at) // CHUNK))])
             for k, weight in enumerate(weights):
@@ -485,7 +485,7 @@ def _search(docs: DataFrame, blocks: Blocks, searchers: list[Searcher], text: st
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, local, found_by = shared.value
         known = pa.array(words, pa.large_string())
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 2 << 20):
             every, at, chunk = _read(batch.column(text), known)
             kept = list(batch.columns)
             place = names.index(column)
