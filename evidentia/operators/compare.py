@@ -69,14 +69,15 @@ def topics() -> Column:
     return F.array_sort(F.array_distinct(F.concat("section_terms", "service_terms", "entity_terms", "location_terms")))
 
 
-def metric_columns() -> dict[str, Column]:
-    """The 43 metrics over a page analysis with coverage; text metrics are strings."""
+def metric_columns(columns: list[str] | None = None) -> dict[str, Column]:
+    """The 43 metrics over a page analysis with coverage; text metrics are strings. Status codes of the root resources
+    are null unless ``columns``, those of the analyses, have them."""
     c, size = F.col, F.size
     ok = c("status_code").between(200, 299)
-    code = lambda name: c(name) if name else F.lit(None).cast("int")
+    code = lambda name: c(name) if name in (columns or ["status_code"]) else F.lit(None).cast("int")
     return {
         "statusCode": code("status_code"), "redirectCount": c("redirect_count"), "indexable": ok & c("is_indexable"), "indexabilityStatus": c("indexability"),
-        "robotsTxtAvailable": c("robots_txt_available"), "robotsTxtStatusCode": code(""), "sitemapXmlAvailable": c("sitemap_xml_available"), "sitemapXmlStatusCode": code(""),
+        "robotsTxtAvailable": c("robots_txt_available"), "robotsTxtStatusCode": code("robots_txt_status_code"), "sitemapXmlAvailable": c("sitemap_xml_available"), "sitemapXmlStatusCode": code("sitemap_xml_status_code"),
         "hasTitle": c("title_length") > 0, "titleLength": c("title_length"), "hasMetaDescription": c("meta_description_length") > 0, "descriptionLength": c("meta_description_length"),
         "canonicalMatches": c("canonical_status") == "match", "canonicalStatus": c("canonical_status"), "hasLanguage": c("document_language").isNotNull(), "documentLanguage": c("document_language"),
         "viewportPresent": c("viewport_present"), "h1Count": c("h1_count"), "h1StructureValid": c("h1_count") == 1, "totalHeadingCount": c("heading_count"),
@@ -91,8 +92,9 @@ def metric_columns() -> dict[str, Column]:
 
 def long_metrics(sites: DataFrame) -> DataFrame:
     """``run_id, input_order, usable, metric, number, label``: booleans are 0 and 1, text metrics are labels."""
-    kinds = {n: sites.select(c.alias("x")).schema[0].dataType.typeName() for n, c in metric_columns().items()}
-    made = [F.struct(F.lit(n).alias("metric"), (F.lit(None) if kinds[n] == "string" else c.cast("int" if kinds[n] == "boolean" else "double")).cast("double").alias("number"), (c if kinds[n] == "string" else F.lit(None)).cast("string").alias("label")) for n, c in metric_columns().items()]
+    columns = metric_columns(sites.columns)
+    kinds = dict(zip(columns, (f.dataType.typeName() for f in sites.select(*columns.values()).schema), strict=True))
+    made = [F.struct(F.lit(n).alias("metric"), (F.lit(None) if kinds[n] == "string" else c.cast("int" if kinds[n] == "boolean" else "double")).cast("double").alias("number"), (c if kinds[n] == "string" else F.lit(None)).cast("string").alias("label")) for n, c in columns.items()]
     return sites.select("run_id", "input_order", "usable", F.inline(F.array(*made)))
 
 
@@ -149,6 +151,27 @@ def set_gaps(values: DataFrame) -> DataFrame:
     return by.where("first > 0").select("run_id", "metric", F.col("folded").alias("value"), "sites")
 
 
+# Rules of values that only competitors have, by metric.
+COMPETITOR_ONLY = {"schemaTypes": "GAP_COMPETITOR_ONLY_SCHEMA", "topicTerms": "GAP_COMPETITOR_ONLY_TOPICS", "detectedQuestions": "GAP_COMPETITOR_ONLY_QUESTIONS"}
+
+
+def site_values(sites: DataFrame) -> DataFrame:
+    """``run_id, input_order, usable, metric, value``: schema types, topic terms and detected questions of analysed sites."""
+    made = [F.struct(F.lit(m).alias("metric"), v.alias("vs")) for m, v in (("schemaTypes", F.col("schema_types")), ("topicTerms", topics()), ("detectedQuestions", F.col("detected_questions")))]
+    return sites.select("run_id", "input_order", "usable", F.inline(F.array(*made))).select("run_id", "input_order", "usable", "metric", F.explode_outer("vs").alias("value"))
+
+
+def competitor_only(values: DataFrame) -> DataFrame:
+    """``run_id, kind, rule_id, metric, missing, priority, effort``: one gap for each metric in which usable competitors have
+    values that the target lacks. Sites without values have a row with a null value; runs without a usable target or competitor have no gap."""
+    target, rival = F.col("input_order") == 0, (F.col("input_order") > 0) & F.col("usable")
+    fit = values.groupBy("run_id").agg(F.bool_or(target & F.col("usable")).alias("t"), F.bool_or(rival).alias("r")).where("t and r").select("run_id")
+    only = set_gaps(values.where(target | rival)).join(fit, "run_id", "left_semi")
+    rule = F.create_map(*[F.lit(x) for m in COMPETITOR_ONLY.items() for x in m])
+    found = only.groupBy("run_id", "metric").agg(F.array_sort(F.collect_list("value")).alias("missing"))
+    return found.select("run_id", F.lit("gap").alias("kind"), rule[F.col("metric")].alias("rule_id"), "metric", "missing", F.lit("medium").alias("priority"), F.lit("medium").alias("effort"))
+
+
 def proposals(gaps: DataFrame) -> DataFrame:
     """One artifact for each gap, typed by its metric."""
     kind = F.lit("comparison-table")

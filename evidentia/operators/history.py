@@ -38,6 +38,39 @@ def field_changes(previous: DataFrame, current: DataFrame, key: str, fields: lis
     return both.withColumn("change", F.when(empty(F.col("old")), "added").when(empty(F.col("new")), "removed").otherwise("changed"))
 
 
+# Tracked fields of a page analysis by category of change; names are those of the analysis' columns.
+TRACKED = {
+    "technical": ("status_code", "url", "redirect_count", "robots_txt_available", "robots_txt_status_code", "sitemap_xml_available", "sitemap_xml_status_code", "indexability"),
+    "metadata": ("title", "title_length", "meta_description", "meta_description_length", "canonical_href", "canonical_status", "robots_meta", "document_language", "viewport_present"),
+    "schema": ("jsonld_error_count",),
+    "headings": ("h1_count", "headings", "heading_count", "level_jumps", "empty_heading_count", "repeated_headings"),
+    "content": ("word_count", "sentence_count", "question_count", "detected_questions", "faq_indicators", "breadcrumbs", "direct_answer_count", "direct_answers"),
+    "links": ("internal_link_count", "external_link_count", "internal_urls", "external_urls", "external_domains", "empty_anchor_count"),
+    "media": ("image_count", "images_missing_alt"),
+}
+
+
+def run_diff(previous: DataFrame, current: DataFrame, key: str = "site_key", tracked: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``key, scope, category, field, change, old, new``: what differs between two runs' sites that both have.
+
+    Sites have ``role`` (of the current run), ``usable``, ``eligibility`` and ``schema_types``. Without usable pages on both
+    sides only technical fields are compared; a change of eligibility is technical; schema types are compared without regard to
+    case, and one row is given for each type that came or went. Fields that a side lacks are not compared.
+    """
+    have = set(previous.columns) & set(current.columns)
+    wanted = {c: [f for f in fields if f in have] for c, fields in (tracked or TRACKED).items()}
+    category = F.create_map(*[F.lit(x) for c, fields in wanted.items() for f in [*fields] for x in (f, c)], F.lit("eligibility"), F.lit("technical"))
+    state = previous.select(key, F.col("usable").alias("_was")).join(current.select(key, F.col("role").alias("scope"), (F.col("usable")).alias("_is")), key)
+    state = state.select(key, "scope", (F.col("_was") & F.col("_is")).alias("_ok"))
+    fields = field_changes(previous, current, key, [*(f for fs in wanted.values() for f in fs), "eligibility"]).join(state, key)
+    fields = fields.withColumn("category", category[F.col("field")]).where(F.col("_ok") | (F.col("category") == "technical"))
+    folded = lambda df, name: df.select(key, F.explode("schema_types").alias("v")).groupBy(key, F.lower(F.btrim("v")).alias("k")).agg(F.min("v").alias(name))
+    types = folded(previous, "old").join(folded(current, "new"), [key, "k"], "full_outer").where(F.col("old").isNull() | F.col("new").isNull())
+    types = types.join(state.where("_ok"), key).withColumns({"category": F.lit("schema"), "field": F.lit("schema_types"), "change": F.when(F.col("old").isNull(), "added").otherwise("removed")})
+    out = [key, "scope", "category", "field", "change", "old", "new"]
+    return fields.select(*out).unionByName(types.select(*out))
+
+
 def rank_changes(previous: DataFrame, current: DataFrame, key: str, rank: str) -> DataFrame:
     """Positions that differ, null-safe: ``delta`` is current minus previous, null where one side is missing."""
     a, b = previous.select(key, F.col(rank).alias("old")), current.select(key, F.col(rank).alias("new"))

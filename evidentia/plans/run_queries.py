@@ -115,7 +115,32 @@ def set_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.set_gaps(v).select("run_id", "value", "sites")
 
 
-QUERIES = {f.__name__: f for f in (finding_changes, regressed_findings, latest_runs, field_changes, rank_changes, order_moves, analyzer_changes, orphan_orders, uniqueness, delete_cascade, benchmark_gaps, set_gaps)}
+def competitor_only_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as sites of a run by size; the third site of some runs isn't usable."""
+    p = _table(spark, sf_dir, "part").select(F.col("p_size").alias("run_id"), (F.col("p_partkey") % 3).alias("input_order"), "p_type", "p_brand", "p_name")
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in (("schemaTypes", "p_type"), ("topicTerms", "p_brand"), ("detectedQuestions", "p_name"))])
+    v = p.select("run_id", "input_order", (~((F.col("input_order") == 2) & (F.col("run_id") % 5 == 0)) & (F.col("run_id") % 7 != 0)).alias("usable"), F.inline(values))
+    return compare.competitor_only(v).select("run_id", "rule_id", F.array_join("missing", "|").alias("missing"))
+
+
+def _sites(df: DataFrame) -> DataFrame:
+    site = (F.col("user_id") % 50).alias("site_key")
+    made = df.groupBy(site).agg(
+        (F.count("*") % 3).alias("status_code"), F.max("event_type").alias("title"), F.floor(F.max("value")).cast("long").alias("word_count"),
+        (F.min("event_id") % 4 != 0).alias("usable"), F.collect_set(F.when(F.col("value") > 40, F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")))).alias("schema_types"),
+    )
+    return made.withColumns({"role": F.when(F.col("site_key") % 10 == 0, "target").otherwise("competitor"), "eligibility": F.when(F.col("usable"), "eligible").otherwise("ineligible")})
+
+
+def run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs made of the halves of ``events``; schema types are shown in lower case."""
+    a, b = map(_sites, _halves(spark, sf_dir))
+    tracked = {"technical": ("status_code",), "metadata": ("title",), "content": ("word_count",)}
+    shown = lambda c: F.when(F.col("field") == "schema_types", F.lower(c)).otherwise(F.col(c)).alias(c)
+    return history.run_diff(a, b, "site_key", tracked).select("site_key", "scope", "category", "field", "change", shown("old"), shown("new"))
+
+
+QUERIES = {f.__name__: f for f in (finding_changes, regressed_findings, latest_runs, field_changes, rank_changes, order_moves, analyzer_changes, orphan_orders, uniqueness, delete_cascade, benchmark_gaps, set_gaps, competitor_only_gaps, run_diff)}
 
 _AB = "a0 AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16'), b0 AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16')"
 
@@ -139,7 +164,26 @@ def _gap(rule: str, t: str, b: str, least: int, lower: bool = False) -> str:
     return f"SELECT run_id, CASE WHEN {signed} >= {least} THEN 'gap' ELSE 'advantage' END AS kind, CASE WHEN {signed} >= {least} THEN 'GAP_' ELSE 'ADV_' END || '{rule}' AS rule_id, {t}::BIGINT AS target, {b}::BIGINT AS benchmark FROM m WHERE abs({signed}) >= {least}"
 
 
+_RUNS = """SELECT user_id % 50 AS k, count(*) % 3 AS status_code, max(event_type) AS title, floor(max(value))::BIGINT AS word_count, min(event_id) % 4 <> 0 AS ok,
+ list_distinct(list(event_type) FILTER (WHERE value > 40)) AS ts FROM {} GROUP BY 1"""
+_RUN_DIFF = f"""WITH {_AB}, {_two(_RUNS)},
+j AS (SELECT a.k AS site_key, CASE WHEN a.k % 10 = 0 THEN 'target' ELSE 'competitor' END AS scope, a.ok AND b.ok AS fine, a.ts AS t0, b.ts AS t1, unnest([
+  {{'c': 'technical', 'f': 'status_code', 'o': a.status_code::VARCHAR, 'n': b.status_code::VARCHAR}}, {{'c': 'metadata', 'f': 'title', 'o': a.title, 'n': b.title}},
+  {{'c': 'content', 'f': 'word_count', 'o': a.word_count::VARCHAR, 'n': b.word_count::VARCHAR}},
+  {{'c': 'technical', 'f': 'eligibility', 'o': CASE WHEN a.ok THEN 'eligible' ELSE 'ineligible' END, 'n': CASE WHEN b.ok THEN 'eligible' ELSE 'ineligible' END}}]) AS x FROM a JOIN b USING (k)),
+t AS (SELECT DISTINCT site_key, scope, coalesce(t0, []) AS t0, coalesce(t1, []) AS t1 FROM j WHERE fine)
+SELECT site_key, scope, x.c AS category, x.f AS field, 'changed' AS change, x.o AS old, x.n AS new FROM j WHERE x.o <> x.n AND (fine OR x.c = 'technical')
+UNION ALL SELECT site_key, scope, 'schema', 'schema_types', 'added', NULL, v FROM (SELECT *, unnest(t1) AS v FROM t) WHERE NOT list_contains(t0, v)
+UNION ALL SELECT site_key, scope, 'schema', 'schema_types', 'removed', v, NULL FROM (SELECT *, unnest(t0) AS v FROM t) WHERE NOT list_contains(t1, v)"""
+_ONLY = """WITH p AS (SELECT p_size AS run_id, p_partkey % 3 AS o, p_type, p_brand, p_name FROM part),
+u AS (SELECT *, NOT (o = 2 AND run_id % 5 = 0) AND run_id % 7 <> 0 AS usable FROM p),
+v AS (SELECT run_id, o, unnest([{'r': 'GAP_COMPETITOR_ONLY_SCHEMA', 'v': lower(trim(p_type))}, {'r': 'GAP_COMPETITOR_ONLY_TOPICS', 'v': lower(trim(p_brand))}, {'r': 'GAP_COMPETITOR_ONLY_QUESTIONS', 'v': lower(trim(p_name))}]) AS x FROM u WHERE usable),
+fit AS (SELECT run_id FROM v GROUP BY 1 HAVING bool_or(o = 0) AND bool_or(o > 0)),
+miss AS (SELECT run_id, x.r AS rule_id, x.v AS value FROM v WHERE run_id IN (SELECT run_id FROM fit) GROUP BY ALL HAVING min(o) > 0)
+SELECT run_id, rule_id, string_agg(value, '|' ORDER BY value) AS missing FROM miss GROUP BY ALL"""
 ORACLE_SQL = {
+    "competitor_only_gaps": _ONLY,
+    "run_diff": _RUN_DIFF,
     "finding_changes": f"WITH {_AB}, {_KEYS} SELECT coalesce(a.site, b.site) AS site, coalesce(a.rule_id, b.rule_id) AS rule_id, {_CHANGE} AS change FROM a FULL JOIN b ON a.site = b.site AND a.rule_id = b.rule_id",
     "regressed_findings": f"WITH {_AB}, {_KEYS}, x AS (SELECT coalesce(a.site, b.site) AS site, coalesce(a.rule_id, b.rule_id) AS rule_id, {_CHANGE} AS change FROM a FULL JOIN b ON a.site = b.site AND a.rule_id = b.rule_id) SELECT site, rule_id, CASE WHEN change = 'new' AND site < 10 THEN 'regressed' ELSE change END AS change FROM x",
     "latest_runs": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
