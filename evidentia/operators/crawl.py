@@ -108,12 +108,29 @@ def _path_allowed(path: str, rules: list[tuple[str, bool]]) -> bool:
     return best[1]
 
 
-def aggregate(analyses: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row for the crawl: pages, words, schema types and section terms."""
-    return analyses.agg(
-        F.count("*").alias("pages"), F.sum("word_count").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("schema_types")))).alias("schema_types"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("section_terms")))).alias("section_terms"),
-    ).join(F.broadcast(findings.agg(F.count_distinct("rule_id").alias("rules"))), F.lit(True), "left")  # one row each
+def aggregate(records: DataFrame, analyses: DataFrame, found: DataFrame, key: str = "page_id") -> DataFrame:
+    """One row for the crawl: records by ``outcome``, words, sorted distinct schema types and section terms of the analysed
+    pages, and pages by rule (a rule counts once a page; most pages first, then by id). Terms and rules are distinct before
+    they meet, so the row grows with their variety and not with the pages; nothing analysed gives zeros and empty lists."""
+    said = lambda kind, **xs: F.struct(*[xs.get(n, F.lit(None).cast(t)).alias(n) for n, t in (("outcome", "string"), ("n", "long"), ("type", "string"), ("term", "string"), ("rule_id", "string"))], F.lit(kind).alias("kind"))
+    parts = [
+        records.groupBy("outcome").agg(F.count("*").alias("n")).select(said("outcome", outcome=F.col("outcome"), n=F.col("n")).alias("s")),
+        analyses.agg(F.sum("word_count").alias("n")).select(said("words", n=F.col("n").cast("long")).alias("s")),
+        analyses.select(F.explode("schema_types").alias("x")).distinct().select(said("type", type=F.col("x")).alias("s")),
+        analyses.select(F.explode("section_terms").alias("x")).distinct().select(said("term", term=F.col("x")).alias("s")),
+        found.groupBy("rule_id").agg(F.count_distinct(key).alias("n")).select(said("rule", rule_id=F.col("rule_id"), n=F.col("n")).alias("s")),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    kind, n = F.col("s.kind"), F.col("s.n")
+    count = lambda outcome: F.coalesce(F.sum(F.when((kind == "outcome") & (F.col("s.outcome") == outcome), n)), F.lit(0)).alias(f"{outcome}_pages")
+    rules = F.array_sort(F.collect_list(F.when(kind == "rule", F.struct((-n).alias("less"), F.col("s.rule_id").alias("rule_id")))))
+    return every.agg(
+        *[count(x) for x in ("analyzed", "blocked", "skipped", "error")], F.coalesce(F.sum(F.when(kind == "words", n)), F.lit(0)).alias("total_words"),
+        F.array_sort(F.collect_list("s.type")).alias("schema_types"), F.array_sort(F.collect_list("s.term")).alias("section_terms"),
+        F.transform(rules, lambda r: F.struct(r["rule_id"].alias("rule_id"), (-r["less"]).alias("pages"))).alias("finding_counts"),
+    )
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

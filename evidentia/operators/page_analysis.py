@@ -37,9 +37,10 @@ def repeated(h: Column) -> Column:
 def analyze(parsed: DataFrame) -> DataFrame:
     """One wide row for each parsed page; retrieval columns default to a direct 200 where they are missing."""
     have = set(parsed.columns)
-    for name, default in (("status_code", 200), ("redirect_count", 0), ("robots_txt_available", True), ("sitemap_xml_available", True)):
+    for name, default in (("status_code", F.lit(200)), ("redirect_count", F.lit(0)), ("requested_url", F.col("url")), ("robots_txt_available", F.lit(True)), ("sitemap_xml_available", F.lit(True)),
+                          ("robots_txt_status_code", F.lit(None).cast("int")), ("sitemap_xml_status_code", F.lit(None).cast("int"))):
         if name not in have:
-            parsed = parsed.withColumn(name, F.lit(default))
+            parsed = parsed.withColumn(name, default)
     directives = F.array_distinct(F.filter(F.transform(F.flatten(F.transform(F.concat(meta("robots"), meta("googlebot")), lambda c: F.split(c, "[;,]"))), lambda d: F.lower(F.btrim(d))), lambda d: d != ""))
     has = lambda *xs: F.arrays_overlap("directives", F.array(*[F.lit(x) for x in xs]))
     canonical = (
@@ -76,7 +77,7 @@ def analyze(parsed: DataFrame) -> DataFrame:
         .withColumn("empty_anchor_count", F.size(F.filter("links", lambda x: x["text"] == "")))
         .withColumn("image_count", F.size("images")).withColumn("images_missing_alt", F.size(F.filter("images", lambda x: x["alt"].isNull() | (F.btrim(x["alt"]) == ""))))
         .withColumn("has_identity_type", F.exists("schema_types", lambda t: F.lower(t).isin(*IDENTITY_TYPES)))
-        .withColumn("is_home", F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+/?([^?#]*)", 1) == "")
+        .withColumn("is_home", F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+/*([^?#]*)", 1) == "")
     )
 
 

@@ -11,72 +11,93 @@ from evidentia.functions import text as T
 
 
 class Rule(NamedTuple):
-    """A finding where ``when`` holds; ``observed`` is its evidence as text."""
+    """A finding where ``when`` holds, with the ``evidence`` it rests on (made by ``_seen``)."""
 
     rule_id: str
     category: str
     priority: str
     effort: str
     when: Column
-    field: str
-    observed: Column
+    evidence: Column
     heuristic: bool = False
 
 
+def _seen(field: str, value: Column, selector: str | None = None, snippet: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(field).alias("field"), value.cast("string").alias("observed_value"), (F.lit(selector) if selector else none).alias("selector"), (none if snippet is None else snippet).alias("snippet"))
+
+
 def rules() -> list[Rule]:
-    """The 34 rules over a page analysis with coverage."""
+    """The 34 rules over a page analysis with coverage; faulty items (JSON-LD blocks, images, links) are one piece of evidence each."""
     c = F.col
     local = F.exists("schema_types", lambda t: F.lower(t).isin("localbusiness", "medicalbusiness", "dentist", "physician"))
     bread = F.exists("schema_types", lambda t: F.lower(t) == "breadcrumblist")
     some = lambda *kinds: F.greatest(*[c(f"{k}_count") for k in kinds]) > 0 if len(kinds) > 1 else c(f"{kinds[0]}_count") > 0
-    n = lambda name: c(name).cast("string")
-    title, desc = c("title_length"), c("meta_description_length")
+    title, desc, home = c("title_length"), c("meta_description_length"), c("is_home")
+    e = lambda *seen: F.array(*seen)
+    each = lambda items, bad, seen: F.transform(F.filter(items, bad), seen)
+    text = lambda name: F.to_json(c(name))
+    kinds = F.to_json(F.struct(*[F.struct((c(f"{k}_count") > 0).alias("present"), c(f"{k}_terms").alias("terms")).alias(k) for k in ("entity", "service", "location", "contact")]))
+    dimension = lambda k: e(_seen(f"coverage.{k}", F.to_json(F.struct((c(f"{k}_count") > 0).alias("present"), c(f"{k}_terms").alias("terms")))))
+    no_alt = lambda x: x["alt"].isNull() | (F.btrim(x["alt"]) == "")
+    alt_issue = lambda x: F.to_json(F.struct(x["src"].alias("src"), F.when(x["alt"].isNull(), "missing-attribute").otherwise("empty-value").alias("issue")))
+    heads, ld, canon, robots, desc_meta = "h1, h2, h3, h4, h5, h6", 'script[type="application/ld+json"]', 'link[rel="canonical"]', 'meta[name="robots"]', 'meta[name="description"]'
+    crawl, structure, data, links, answers, covers = "crawl-indexability", "heading-structure", "structured-data", "links-media", "answerability", "entity-coverage"
+    lengths = lambda name, n, column: e(_seen(f"{name}Length", n), _seen(name, c(column)))
     return [
-        Rule("HTTP_NON_2XX", "technical", "high", "medium", (c("status_code") < 200) | (c("status_code") >= 300), "statusCode", n("status_code")),
-        Rule("REDIRECT_OBSERVED", "technical", "medium", "low", c("redirect_count") > 0, "redirectCount", n("redirect_count")),
-        Rule("ROBOTS_TXT_MISSING", "technical", "medium", "low", ~c("robots_txt_available"), "robotsTxtAvailable", n("robots_txt_available")),
-        Rule("SITEMAP_XML_MISSING", "technical", "medium", "low", ~c("sitemap_xml_available"), "sitemapXmlAvailable", n("sitemap_xml_available")),
-        Rule("INDEXABILITY_NOINDEX", "technical", "high", "low", c("indexability") == "explicit-noindex", "indexability", c("indexability")),
-        Rule("CANONICAL_MISSING", "technical", "high", "low", c("canonical_status") == "missing", "canonicalStatus", c("canonical_status")),
-        Rule("CANONICAL_MISMATCH", "technical", "high", "low", c("canonical_status") == "mismatch", "canonicalUrl", c("canonical_href")),
-        Rule("CANONICAL_INVALID", "technical", "high", "low", c("canonical_status") == "invalid", "canonicalUrl", c("canonical_href")),
-        Rule("TITLE_MISSING", "metadata", "high", "low", title == 0, "title", c("title")),
-        Rule("TITLE_LENGTH_SHORT", "metadata", "low", "low", (title > 0) & (title < 30), "titleLength", n("title_length"), True),
-        Rule("TITLE_LENGTH_LONG", "metadata", "low", "low", title > 60, "titleLength", n("title_length"), True),
-        Rule("META_DESCRIPTION_MISSING", "metadata", "medium", "low", desc == 0, "metaDescription", c("meta_description")),
-        Rule("META_DESCRIPTION_LENGTH_SHORT", "metadata", "low", "low", (desc > 0) & (desc < 70), "metaDescriptionLength", n("meta_description_length"), True),
-        Rule("META_DESCRIPTION_LENGTH_LONG", "metadata", "low", "low", desc > 160, "metaDescriptionLength", n("meta_description_length"), True),
-        Rule("DOCUMENT_LANGUAGE_MISSING", "metadata", "medium", "low", c("document_language").isNull(), "documentLanguage", c("document_language")),
-        Rule("VIEWPORT_MISSING", "metadata", "medium", "low", ~c("viewport_present"), "viewportPresent", n("viewport_present")),
-        Rule("HEADING_MISSING_H1", "headings", "high", "low", c("h1_count") == 0, "h1Count", n("h1_count")),
-        Rule("HEADING_MULTIPLE_H1", "headings", "medium", "medium", c("h1_count") > 1, "h1Count", n("h1_count")),
-        Rule("HEADING_EMPTY", "headings", "medium", "low", c("empty_heading_count") > 0, "emptyHeadingCount", n("empty_heading_count")),
-        Rule("HEADING_LEVEL_JUMP", "headings", "medium", "low", F.size("level_jumps") > 0, "headingLevelJumps", F.size("level_jumps").cast("string")),
-        Rule("HEADING_REPEATED_TEXT", "headings", "low", "medium", F.size("repeated_headings") > 0, "repeatedHeadings", F.size("repeated_headings").cast("string")),
-        Rule("JSONLD_MISSING", "schema", "medium", "medium", F.size("json_ld") == 0, "jsonLdBlocks", F.lit("0")),
-        Rule("JSONLD_INVALID", "schema", "high", "low", c("jsonld_error_count") > 0, "jsonLdParseErrors", n("jsonld_error_count")),
-        Rule("IDENTITY_SCHEMA_MISSING", "schema", "medium", "medium", c("is_home") & some("entity", "service", "location", "contact") & ~c("has_identity_type"), "schemaTypes", F.array_join("schema_types", ","), True),
-        Rule("BREADCRUMB_SCHEMA_MISSING", "schema", "low", "medium", ~c("is_home") & (F.size("breadcrumbs") > 0) & ~bread, "schemaTypes", F.array_join("schema_types", ","), True),
-        Rule("INTERNAL_LINKS_MISSING", "links", "high", "medium", c("internal_link_count") == 0, "internalLinkCount", n("internal_link_count")),
-        Rule("INTERNAL_LINKS_LOW", "links", "low", "low", c("internal_link_count").between(1, 2), "internalLinkCount", n("internal_link_count"), True),
-        Rule("IMAGE_ALT_MISSING", "media", "medium", "low", c("images_missing_alt") > 0, "imagesMissingAlt", n("images_missing_alt")),
-        Rule("EMPTY_ANCHOR_TEXT", "links", "medium", "low", c("empty_anchor_count") > 0, "emptyAnchorCount", n("empty_anchor_count")),
-        Rule("DIRECT_ANSWER_MISSING", "content", "medium", "medium", (c("question_count") > 0) & (c("direct_answer_count") == 0), "directAnswerCount", n("direct_answer_count"), True),
-        Rule("ENTITY_COVERAGE_MISSING", "entities", "medium", "medium", some("service", "location", "contact") & ~some("entity"), "coverage.entity", n("entity_count"), True),
-        Rule("SERVICE_COVERAGE_MISSING", "entities", "medium", "medium", c("is_home") & (c("word_count") >= 100) & some("entity", "contact") & ~some("service"), "coverage.service", n("service_count"), True),
-        Rule("LOCATION_COVERAGE_MISSING", "entities", "medium", "low", local & ~some("location"), "coverage.location", n("location_count"), True),
-        Rule("CONTACT_SIGNALS_MISSING", "entities", "medium", "low", local & ~some("contact"), "coverage.contact", n("contact_count"), True),
+        Rule("HTTP_NON_2XX", crawl, "high", "medium", (c("status_code") < 200) | (c("status_code") >= 300), e(_seen("statusCode", c("status_code")))),
+        Rule("REDIRECT_OBSERVED", crawl, "medium", "low", c("redirect_count") > 0, e(_seen("normalizedUrl", c("requested_url")), _seen("finalUrl", c("url")), _seen("redirectCount", c("redirect_count")))),
+        Rule("ROBOTS_TXT_MISSING", crawl, "medium", "low", ~c("robots_txt_available"), e(_seen("robotsTxtStatusCode", c("robots_txt_status_code")))),
+        Rule("SITEMAP_XML_MISSING", crawl, "medium", "low", ~c("sitemap_xml_available"), e(_seen("sitemapXmlStatusCode", c("sitemap_xml_status_code")))),
+        Rule("INDEXABILITY_NOINDEX", crawl, "high", "low", c("indexability") == "explicit-noindex", e(_seen("robotsDirectives", text("directives"), robots, c("robots_meta")))),
+        Rule("CANONICAL_MISSING", crawl, "high", "low", c("canonical_status") == "missing", e(_seen("canonicalStatus", c("canonical_status"), canon))),
+        Rule("CANONICAL_MISMATCH", crawl, "high", "low", c("canonical_status") == "mismatch", e(_seen("canonicalResolvedUrl", c("canonical_url"), canon, c("canonical_href")), _seen("finalUrl", c("url")))),
+        Rule("CANONICAL_INVALID", crawl, "high", "low", c("canonical_status") == "invalid", e(_seen("canonicalUrl", c("canonical_href"), canon))),
+        Rule("TITLE_MISSING", "metadata", "high", "low", title == 0, e(_seen("title", c("title"), "title"))),
+        Rule("TITLE_LENGTH_SHORT", "metadata", "low", "low", (title > 0) & (title < 30), lengths("title", title, "title"), True),
+        Rule("TITLE_LENGTH_LONG", "metadata", "low", "low", title > 60, lengths("title", title, "title"), True),
+        Rule("META_DESCRIPTION_MISSING", "metadata", "medium", "low", desc == 0, e(_seen("metaDescription", c("meta_description"), desc_meta))),
+        Rule("META_DESCRIPTION_LENGTH_SHORT", "metadata", "low", "low", (desc > 0) & (desc < 70), lengths("metaDescription", desc, "meta_description"), True),
+        Rule("META_DESCRIPTION_LENGTH_LONG", "metadata", "low", "low", desc > 160, lengths("metaDescription", desc, "meta_description"), True),
+        Rule("DOCUMENT_LANGUAGE_MISSING", "metadata", "medium", "low", c("document_language").isNull(), e(_seen("documentLanguage", c("document_language"), "html"))),
+        Rule("VIEWPORT_MISSING", "metadata", "medium", "low", ~c("viewport_present"), e(_seen("viewportPresent", c("viewport_present"), 'meta[name="viewport"]'))),
+        Rule("HEADING_MISSING_H1", structure, "high", "low", c("h1_count") == 0, e(_seen("h1Count", c("h1_count"), "h1"))),
+        Rule("HEADING_MULTIPLE_H1", structure, "medium", "medium", c("h1_count") > 1, e(_seen("h1Text", text("h1_text"), "h1"))),
+        Rule("HEADING_EMPTY", structure, "medium", "low", c("empty_heading_count") > 0, e(_seen("emptyHeadingCount", c("empty_heading_count"), heads))),
+        Rule("HEADING_LEVEL_JUMP", structure, "medium", "low", F.size("level_jumps") > 0, e(_seen("headingLevelJumps", text("level_jumps"), heads))),
+        Rule("HEADING_REPEATED_TEXT", structure, "low", "medium", F.size("repeated_headings") > 0, e(_seen("repeatedHeadings", text("repeated_headings"), heads))),
+        Rule("JSONLD_MISSING", data, "medium", "medium", F.size("json_ld") == 0, e(_seen("jsonLdRawBlocks", F.lit("[]"), ld))),
+        Rule("JSONLD_INVALID", data, "high", "low", c("jsonld_error_count") > 0, each("json_ld", lambda b: ~b["valid"], lambda b: _seen("jsonLdParseErrors", b["raw"], ld, F.substring(b["raw"], 1, 240)))),
+        Rule("IDENTITY_SCHEMA_MISSING", data, "medium", "medium", home & some("entity", "service", "location", "contact") & ~c("has_identity_type"), e(_seen("schemaTypes", text("schema_types")), _seen("coverage", kinds)), True),
+        Rule("BREADCRUMB_SCHEMA_MISSING", data, "low", "medium", ~home & (F.size("breadcrumbs") > 0) & ~bread, e(_seen("breadcrumbIndicators", text("breadcrumbs")), _seen("schemaTypes", text("schema_types"))), True),
+        Rule("INTERNAL_LINKS_MISSING", links, "high", "medium", c("internal_link_count") == 0, e(_seen("internalLinkCount", c("internal_link_count"), "a[href]"))),
+        Rule("INTERNAL_LINKS_LOW", links, "low", "low", c("internal_link_count").between(1, 2), e(_seen("internalLinkCount", c("internal_link_count"), "a[href]")), True),
+        Rule("IMAGE_ALT_MISSING", links, "medium", "low", c("images_missing_alt") > 0, each("images", no_alt, lambda x: _seen("imageAltIssues", alt_issue(x), None, x["url"]))),
+        Rule("EMPTY_ANCHOR_TEXT", links, "medium", "low", c("empty_anchor_count") > 0, each("links", lambda x: x["text"] == "", lambda x: _seen("links", F.to_json(x), None, x["url"]))),
+        Rule("DIRECT_ANSWER_MISSING", answers, "medium", "medium", (c("question_count") > 0) & (c("direct_answer_count") == 0), e(_seen("detectedQuestions", text("detected_questions")), _seen("directAnswerCount", c("direct_answer_count"))), True),
+        Rule("ENTITY_COVERAGE_MISSING", covers, "medium", "medium", some("service", "location", "contact") & ~some("entity"), dimension("entity"), True),
+        Rule("SERVICE_COVERAGE_MISSING", covers, "medium", "medium", home & (c("word_count") >= 100) & some("entity", "contact") & ~some("service"), dimension("service"), True),
+        Rule("LOCATION_COVERAGE_MISSING", covers, "medium", "medium", local & ~some("location"), dimension("location"), True),
+        Rule("CONTACT_SIGNALS_MISSING", covers, "medium", "medium", local & ~some("contact"), dimension("contact"), True),
     ]
 
 
 def findings(analyses: DataFrame, key: str = "page_id", given: list[Rule] | None = None) -> DataFrame:
-    """One row for each rule that holds on each page; a single scan, whatever the number of rules."""
+    """One row for each rule that holds on each page, with its evidence, of which the first piece is also ``field`` and
+    ``observed_value``; a single scan, whatever the number of rules."""
     made = [
         F.when(r.when, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit("1.0.0").alias("rule_version"), F.lit(r.category).alias("category"), F.lit(r.priority).alias("priority"), F.lit(r.effort).alias("effort"),
-               F.lit("editorial-heuristic" if r.heuristic else "observation").alias("classification"), F.lit("medium" if r.heuristic else "high").alias("confidence"), F.lit(r.field).alias("field"), r.observed.alias("observed_value")))
+               F.lit("editorial-heuristic" if r.heuristic else "observation").alias("classification"), F.lit("medium" if r.heuristic else "high").alias("confidence"), r.evidence.alias("evidence")))
         for r in (given or rules())
     ]
-    return analyses.select(key, "url", F.explode(F.array_compact(F.array(*made))).alias("f")).select(key, "url", "f.*")
+    found = analyses.select(key, "url", F.explode(F.array_compact(F.array(*made))).alias("f")).select(key, "url", "f.*")
+    first = F.get("evidence", 0)
+    return found.select(*[c for c in found.columns if c != "evidence"], first["field"].alias("field"), first["observed_value"].alias("observed_value"), "evidence")
+
+
+def finding_ids(analyses: DataFrame, key: str = "page_id") -> DataFrame:
+    """``findings`` without evidence: the ids of the rules that hold, for counts."""
+    return analyses.select(key, F.explode(F.array_compact(F.array(*[F.when(r.when, F.lit(r.rule_id)) for r in rules()]))).alias("rule_id"))
 
 
 def rollup(found: DataFrame, key: str = "page_id") -> DataFrame:

@@ -53,7 +53,7 @@ def anchor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.rollup(rules.findings(_analyses(spark, sf_dir))).orderBy(F.desc("pages"), "rule_id")
+    return rules.rollup(rules.finding_ids(_analyses(spark, sf_dir))).orderBy(F.desc("pages"), "rule_id")
 
 
 def head_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,19 @@ def test_findings_and_observations(analysed):
     assert (got["TECH_STRUCTURED_DATA"], got["TECH_IMAGE_ALT"], got["CONTENT_DIRECT_ANSWERS"], got["TRUST_CITATIONS"]) == ("partially-observed", "partially-observed", "observed", "needs-human-review")
 
 
+def test_findings_have_evidence(analysed):
+    """One piece for each faulty item; the first is also the finding's field and observed value."""
+    rows = {(r["page_id"], r["rule_id"]): r for r in rules.findings(analysed).collect()}
+    title, invalid, alt, empty = (rows[1, x] for x in ("TITLE_LENGTH_SHORT", "JSONLD_INVALID", "IMAGE_ALT_MISSING", "EMPTY_ANCHOR_TEXT"))
+    assert [e["field"] for e in title["evidence"]] == ["titleLength", "title"] and title["observed_value"] == str(len(title["evidence"][1]["observed_value"]))
+    a = analysed.where("page_id = 1").first()
+    assert [e["snippet"] for e in invalid["evidence"]] == [b["raw"][:240] for b in a["json_ld"] if not b["valid"]]
+    assert len(alt["evidence"]) == a["images_missing_alt"] and len(empty["evidence"]) == a["empty_anchor_count"]
+    assert (invalid["category"], alt["category"], title["category"]) == ("structured-data", "links-media", "metadata")
+    same = {(r["page_id"], r["rule_id"]) for r in rules.finding_ids(analysed).collect()}
+    assert same == set(rows)
+
+
 def test_question_noise(spark):
     texts = ["&lt;b&gt;What is care ?", "Buy now?", "How " + "very " * 40 + "long?", "Is it safe?  Are you sure?", None]
     got = [r["q"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.questions(F.col("t")).alias("q")).collect()]
