@@ -46,16 +46,15 @@ SHARED = (
     ("SHARED_GAP_TRUST_SIGNALS", "hasTrustSignals", "medium"),
     ("SHARED_GAP_CONTACT_SIGNALS", "hasContactSignals", "medium"),
 )
-# Artifact by metric, and category by metric (technical where none is given).
+# Metrics by artifact, artifacts that a qualified professional has to review, and category by metric (technical where none is given).
 ARTIFACTS = {
-    "hasTitle": "title", "hasMetaDescription": "meta-description", "canonicalMatches": "canonical",
-    "h1StructureValid": "heading-structure", "totalHeadingCount": "heading-structure", "headingJumpCount": "heading-structure", "emptyHeadingCount": "heading-structure", "repeatedHeadingCount": "heading-structure",
-    "questionCount": "visible-faq-and-jsonld", "directAnswerCount": "visible-faq-and-jsonld", "faqIndicatorCount": "visible-faq-and-jsonld", "detectedQuestions": "visible-faq-and-jsonld",
-    "schemaTypes": "structured-data", "schemaTypeCount": "structured-data", "jsonLdParseErrorCount": "structured-data",
-    "hasIdentitySignals": "provider-or-reviewer-block", "hasTrustSignals": "provider-or-reviewer-block", "hasContactSignals": "trust-or-contact-block", "hasLocationSignals": "trust-or-contact-block", "locationTermCount": "trust-or-contact-block",
-    "internalLinkCount": "internal-links", "emptyAnchorCount": "internal-links", "imagesMissingAltCount": "image-alt-guidance",
-    "topicTerms": "page-brief", "serviceTermCount": "page-brief", "wordCount": "page-brief",
+    "title": ("hasTitle", "titleLength"), "meta-description": ("hasMetaDescription", "descriptionLength"), "canonical": ("canonicalMatches", "canonicalStatus"),
+    "heading-structure": ("h1Count", "h1StructureValid", "totalHeadingCount", "headingJumpCount", "emptyHeadingCount", "repeatedHeadingCount"),
+    "visible-faq-and-jsonld": ("questionCount", "faqIndicatorCount", "directAnswerCount", "detectedQuestions"), "structured-data": ("schemaTypes", "schemaTypeCount", "jsonLdParseErrorCount"),
+    "provider-or-reviewer-block": ("hasIdentitySignals", "hasTrustSignals"), "trust-or-contact-block": ("hasContactSignals", "hasLocationSignals", "locationTermCount"),
+    "internal-links": ("internalLinkCount", "uniqueInternalUrlCount", "emptyAnchorCount"), "image-alt-guidance": ("imagesMissingAltCount", "imageCount"), "page-brief": ("topicTerms", "topicTermCount", "serviceTermCount", "wordCount"),
 }
+PROFESSIONAL = ("provider-or-reviewer-block", "references-and-risk-section", "visible-faq-and-jsonld")
 CATEGORIES = {
     "schemaTypes": "schema", "schemaTypeCount": "schema", "jsonLdParseErrorCount": "schema",
     "questionCount": "answerability", "faqIndicatorCount": "answerability", "directAnswerCount": "answerability", "detectedQuestions": "answerability",
@@ -66,7 +65,9 @@ CATEGORIES = {
 
 
 def topics() -> Column:
-    return F.array_sort(F.array_distinct(F.concat("section_terms", "service_terms", "entity_terms", "location_terms")))
+    """Distinct terms of four dimensions in the order of a dictionary (a, A, b, B)."""
+    distinct = F.array_distinct(F.concat("section_terms", "service_terms", "entity_terms", "location_terms"))
+    return F.transform(F.array_sort(F.transform(distinct, lambda x: F.collate(x, "UNICODE"))), lambda x: F.collate(x, "UTF8_BINARY"))
 
 
 def metric_columns(columns: list[str] | None = None) -> dict[str, Column]:
@@ -85,7 +86,7 @@ def metric_columns(columns: list[str] | None = None) -> dict[str, Column]:
         "questionCount": c("question_count"), "faqIndicatorCount": size("faq_indicators"), "directAnswerCount": c("direct_answer_count"), "schemaTypeCount": size("schema_types"),
         "jsonLdParseErrorCount": c("jsonld_error_count"), "internalLinkCount": c("internal_link_count"), "uniqueInternalUrlCount": size("internal_urls"), "externalLinkCount": c("external_link_count"),
         "uniqueExternalDomainCount": size("external_domains"), "imageCount": c("image_count"), "imagesMissingAltCount": c("images_missing_alt"), "emptyAnchorCount": c("empty_anchor_count"),
-        "topicTermCount": size(topics()), "serviceTermCount": size("service_terms"), "locationTermCount": size("location_terms"),
+        "topicTermCount": size(F.array_distinct(F.concat("section_terms", "service_terms", "entity_terms", "location_terms"))), "serviceTermCount": size("service_terms"), "locationTermCount": size("location_terms"),
         "hasIdentitySignals": c("entity_count") > 0, "hasTrustSignals": c("trust_count") > 0, "hasContactSignals": c("contact_count") > 0, "hasLocationSignals": c("location_count") > 0,
     }
 
@@ -173,11 +174,12 @@ def competitor_only(values: DataFrame) -> DataFrame:
 
 
 def proposals(gaps: DataFrame) -> DataFrame:
-    """One artifact for each gap, typed by its metric."""
-    kind = F.lit("comparison-table")
-    for m, a in ARTIFACTS.items():
-        kind = F.when(F.col("metric") == m, F.lit(a)).otherwise(kind)
-    return gaps.where("kind = 'gap'").select("run_id", F.concat(F.lit("proposal:"), "rule_id").alias("artifact_id"), "rule_id", "metric", kind.alias("artifact_type"), "priority", "effort")
+    """One artifact for each gap, typed by its metric; ``review`` tells whether editors suffice or a qualified professional is needed."""
+    kind = F.when(category(F.col("metric")) == "trust", "references-and-risk-section").otherwise("comparison-table")
+    for artifact, metrics in ARTIFACTS.items():
+        kind = F.when(F.col("metric").isin(*metrics), artifact).otherwise(kind)
+    made = gaps.where("kind = 'gap'").select("run_id", F.concat(F.lit("PROPOSAL_"), "rule_id").alias("artifact_id"), F.lit("1.0.0").alias("artifact_version"), "rule_id", "metric", kind.alias("artifact_type"), F.lit("proposal").alias("status"), "priority", "effort")
+    return made.withColumn("review", F.when(F.col("artifact_type").isin(*PROFESSIONAL), "professional").otherwise("editorial"))
 
 
 def category(metric: Column) -> Column:
@@ -185,3 +187,9 @@ def category(metric: Column) -> Column:
     for m, c in CATEGORIES.items():
         out = F.when(metric == m, F.lit(c)).otherwise(out)
     return out
+
+
+def described(found: DataFrame) -> DataFrame:
+    """Conclusions with ``category``, and ``confidence``: medium where values that only competitors have were found, else high."""
+    sets = F.col("rule_id").isin(*COMPETITOR_ONLY.values())
+    return found.withColumns({"category": category(F.col("metric")), "confidence": F.when(sets, "medium").otherwise("high")})

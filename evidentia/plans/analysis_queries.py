@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators import crawl, page_analysis, rules
+from evidentia.operators import compare, crawl, page_analysis, rules
 
 _TYPES = ("[]", '["Organization"]', '["LocalBusiness", "Thing"]', '["BreadcrumbList"]', '["DENTIST", "breadcrumblist"]')
 
@@ -24,14 +24,14 @@ def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c % 2 = 0 AS is_home", "c % 2 AS entity_count", "c div 2 % 2 AS service_count", "c div 4 % 2 AS location_count", "c div 8 % 2 AS contact_count", "k div 2 % 5 AS internal_link_count", "c % 3 AS image_count",
         "least(c % 3, k % 3) AS images_missing_alt", "k % 3 AS empty_anchor_count", "k div 3 % 3 AS question_count", "array('q') AS detected_questions", "k div 2 % 2 AS direct_answer_count", f"{pick((0, 99, 100), 'k % 3')} AS word_count",
         "'' AS visible_text", "least(k % 3, c % 3) AS jsonld_error_count", f"from_json({pick(_TYPES, 'k div 7 % 5')}, 'array<string>') AS schema_types",
-        "filter(array('services', concat('topic ', c % 9)), x -> k % 2 = 0) AS section_terms", "k", "c",
+        "filter(array('services', concat('topic ', c % 9)), x -> k % 2 = 0) AS section_terms", "c div 5 % 2 AS trust_count", "c % 4 AS external_link_count", "k", "c",
     )
     terms = {f"{n}_terms": copies(f"'{n}'", f"{n}_count") for n in ("entity", "service", "location", "contact")}
     block, image = "named_struct('raw', 'x', 'valid', {})", "named_struct('src', 's', 'url', 'u', 'alt', {})"
     link = "named_struct('href', '/x', 'url', 'u', 'host', 'made.example', 'internal', true, 'text', '{}')"
     return made.withColumns(
         terms | {
-            "level_jumps": copies("1", "k div 3 % 2"), "repeated_headings": copies("1", "k div 5 % 2"), "breadcrumbs": copies("'b'", "c div 3 % 2"), "external_domains": copies("'d'", "k % 2"),
+            "level_jumps": copies("1", "k div 3 % 2"), "repeated_headings": copies("1", "k div 5 % 2"), "breadcrumbs": copies("'b'", "c div 3 % 2"), "external_domains": copies("'d'", "k % 2"), "faq_indicators": copies("'f'", "c % 4"), "internal_urls": copies("'u'", "c % 8"),
             "json_ld": F.concat(copies(block.format("false"), "jsonld_error_count"), copies(block.format("true"), "k % 3 - jsonld_error_count")),
             "images": F.concat(copies(image.format("' '"), "images_missing_alt"), copies(image.format("'a'"), "image_count - images_missing_alt")),
             "links": F.concat(copies(link.format(""), "empty_anchor_count"), copies(link.format("t"), "1")),
@@ -61,7 +61,29 @@ def crawl_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(joined)
 
 
-QUERIES = {f.__name__: f for f in (rule_findings, analyzer_statuses, crawl_rollup)}
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four sites by key; some can't be used."""
+    return _analyses(spark, sf_dir).selectExpr("*", "k div 4 AS run_id", "k % 4 AS input_order", "c % 7 <> 0 AS usable")
+
+
+def comparison_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 43 metrics: their sums over sites, and the distinct labels of text metrics."""
+    m = compare.long_metrics(_sites(spark, sf_dir))
+    return m.groupBy("metric").agg(F.count("*").alias("sites"), F.sum("number").cast("long").alias("total"), F.array_join(F.array_sort(F.collect_set("label")), "|").alias("labels"))
+
+
+def comparison_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scalar, boolean and shared rule, with category and confidence."""
+    found = compare.described(compare.conclusions(compare.long_metrics(_sites(spark, sf_dir))))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("target", "benchmark")})
+
+
+def comparison_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare.conclusions(compare.long_metrics(_sites(spark, sf_dir)))
+    return compare.proposals(found).select("run_id", "artifact_id", "metric", "artifact_type", "review", "status", "priority", "effort")
+
+
+QUERIES = {f.__name__: f for f in (rule_findings, analyzer_statuses, crawl_rollup, comparison_metrics, comparison_rules, comparison_proposals)}
 
 _MADE = """m AS (SELECT o_orderkey AS k, o_custkey AS c, [200, 199, 301, 404, 299][k % 5 + 1] AS status, ['missing', 'mismatch', 'invalid', 'match'][k % 4 + 1] AS canon, [0, 1, 29, 30, 60, 61, 90][k % 7 + 1] AS title,
  [0, 1, 69, 70, 160, 161][k % 6 + 1] AS des, k // 4 % 3 AS h1, c % 2 AS entity, c // 2 % 2 AS service, c // 4 % 2 AS location, c // 8 % 2 AS contact, k // 2 % 5 AS internal, least(c % 3, k % 3) AS bad, k // 3 % 3 AS questions,
@@ -136,7 +158,49 @@ _STATUSES = (
     ("retrieval-support", "RETRIEVAL_DEFINITIONS", "Definitions", "visibleText", _NOT),
 )
 _SEEN = " UNION ALL ".join(f"SELECT '{g}' AS \"group\", '{a}' AS analyzer_id, '{label}' AS label, '{f}' AS field, {s} AS status FROM m" for g, a, label, f, s in _STATUSES)
+#: Metrics by their number, then those that are labels.
+_NUMBERS = {
+    "statusCode": "status", "redirectCount": "k % 3", "indexable": "(status BETWEEN 200 AND 299 AND c % 3 <> 0)::INT", "robotsTxtAvailable": "(c % 4 <> 0)::INT", "robotsTxtStatusCode": "404", "sitemapXmlAvailable": "(c % 5 <> 0)::INT",
+    "sitemapXmlStatusCode": "500", "hasTitle": "(title > 0)::INT", "titleLength": "title", "hasMetaDescription": "(des > 0)::INT", "descriptionLength": "des", "canonicalMatches": "(canon = 'match')::INT", "hasLanguage": "(c % 6 <> 0)::INT",
+    "viewportPresent": "(c % 7 <> 0)::INT", "h1Count": "h1", "h1StructureValid": "(h1 = 1)::INT", "totalHeadingCount": "h1 + c % 2", "headingJumpCount": "k // 3 % 2", "emptyHeadingCount": "c % 2", "repeatedHeadingCount": "k // 5 % 2",
+    "wordCount": "words", "questionCount": "questions", "faqIndicatorCount": "c % 4", "directAnswerCount": "answers", "schemaTypeCount": "[0, 1, 2, 1, 2][t + 1]", "jsonLdParseErrorCount": "bad", "internalLinkCount": "internal",
+    "uniqueInternalUrlCount": "c % 8", "externalLinkCount": "c % 4", "uniqueExternalDomainCount": "k % 2", "imageCount": "c % 3", "imagesMissingAltCount": "bad", "emptyAnchorCount": "k % 3",
+    "topicTermCount": "CASE WHEN k % 2 = 0 THEN 2 ELSE 0 END + entity + service + location", "serviceTermCount": "service", "locationTermCount": "location", "hasIdentitySignals": "entity", "hasTrustSignals": "c // 5 % 2",
+    "hasContactSignals": "contact", "hasLocationSignals": "location",
+}
+_LABELS = {"indexabilityStatus": "['explicit-noindex', 'explicit-index', 'not-specified'][c % 3 + 1]", "canonicalStatus": "canon", "documentLanguage": "nullif((c % 6)::VARCHAR, '0')"}
+_METRICS = f"""{_MADE}, x AS (SELECT k, c, unnest([{', '.join(f"{{'m': '{n}', 'v': ({v})::BIGINT, 'l': NULL::VARCHAR}}" for n, v in _NUMBERS.items())}, {', '.join(f"{{'m': '{n}', 'v': NULL::BIGINT, 'l': {v}}}" for n, v in _LABELS.items())}]) AS x FROM m),
+mm AS (SELECT k // 4 AS run_id, k % 4 AS o, c % 7 <> 0 AS ok, x.m AS metric, x.v AS v, x.l AS l FROM x)"""
+#: Suffix of a gap and of an advantage, metric, least difference (negative: lower is better), priority, effort, category, artifact.
+_COMPARED = (
+    ("HEADING_COVERAGE", "", "totalHeadingCount", 2, _M, _M, "retrieval-support", "heading-structure"), ("CONTENT_BREADTH", "", "wordCount", 100, _M, _H, "content", "page-brief"),
+    ("QUESTION_COVERAGE", "", "questionCount", 1, _M, _M, "answerability", "visible-faq-and-jsonld"), ("DIRECT_ANSWERS", "", "directAnswerCount", 1, _M, _M, "answerability", "visible-faq-and-jsonld"),
+    ("INTERNAL_LINKS", "", "internalLinkCount", 3, _M, _L, "retrieval-support", "internal-links"), ("SERVICE_CLARITY", "", "serviceTermCount", 1, _M, _M, "content", "page-brief"),
+    ("LOCATION_CLARITY", "", "locationTermCount", 1, _M, _L, "entity", "trust-or-contact-block"), ("IMAGE_ALT", "", "imagesMissingAltCount", -1, _M, _L, "technical", "image-alt-guidance"),
+    ("HEADING_JUMPS", "", "headingJumpCount", -1, _L, _L, "technical", "heading-structure"), ("EMPTY_HEADINGS", "", "emptyHeadingCount", -1, _L, _L, "technical", "heading-structure"),
+    ("REPEATED_HEADINGS", "", "repeatedHeadingCount", -1, _L, _L, "technical", "heading-structure"), ("EMPTY_ANCHORS", "", "emptyAnchorCount", -1, _L, _L, "technical", "internal-links"),
+    ("JSONLD_ERRORS", "", "jsonLdParseErrorCount", -1, _H, _L, "schema", "structured-data"),
+    ("INDEXABILITY", "", "indexable", 1, _H, _M, "technical", "comparison-table"), ("TITLE_MISSING", "TITLE_PRESENT", "hasTitle", 1, _H, _M, "technical", "title"),
+    ("CANONICAL_MISMATCH", "CANONICAL_MATCH", "canonicalMatches", 1, _H, _M, "technical", "canonical"), ("IDENTITY_SIGNALS", "", "hasIdentitySignals", 1, _H, _M, "entity", "provider-or-reviewer-block"),
+    ("DESCRIPTION_MISSING", "DESCRIPTION_PRESENT", "hasMetaDescription", 1, _M, _M, "technical", "meta-description"), ("VIEWPORT_MISSING", "VIEWPORT_PRESENT", "viewportPresent", 1, _M, _M, "technical", "comparison-table"),
+    ("H1_STRUCTURE", "", "h1StructureValid", 1, _M, _M, "technical", "heading-structure"), ("FAQ_STRUCTURE", "", "faqIndicatorCount", 1, _M, _M, "answerability", "visible-faq-and-jsonld"),
+    ("TRUST_SIGNALS", "", "hasTrustSignals", 1, _M, _M, "trust", "provider-or-reviewer-block"), ("CONTACT_SIGNALS", "", "hasContactSignals", 1, _M, _M, "entity", "trust-or-contact-block"),
+    ("LOCATION_SIGNALS", "", "hasLocationSignals", 1, _M, _M, "entity", "trust-or-contact-block"), ("LANGUAGE_MISSING", "LANGUAGE_PRESENT", "hasLanguage", 1, _L, _M, "technical", "comparison-table"),
+)
+_COMMON = (("DESCRIPTION_MISSING", "hasMetaDescription", _M), ("IDENTITY_SIGNALS", "hasIdentitySignals", _H), ("TRUST_SIGNALS", "hasTrustSignals", _M), ("CONTACT_SIGNALS", "hasContactSignals", _M))
+_CONCLUSIONS = f"""{_METRICS}, rules(gap, adv, metric, least, priority, effort, category, artifact) AS (VALUES {', '.join(str((f'GAP_{g}', f'ADV_{a or g}', *rest)) for g, a, *rest in _COMPARED)}),
+common(rule_id, metric, priority) AS (VALUES {', '.join(str((f'SHARED_GAP_{r}', m, p)) for r, m, p in _COMMON)}),
+n AS (SELECT run_id, o, ok, metric, CASE WHEN metric = 'faqIndicatorCount' THEN (v > 0)::BIGINT ELSE v END AS v FROM mm),
+b AS (SELECT run_id, metric, max(v) FILTER (o = 0) AS target, max(v) FILTER (o > 0 AND ok) AS hi, min(v) FILTER (o > 0 AND ok) AS lo FROM n GROUP BY ALL HAVING bool_or(o = 0 AND ok) AND bool_or(o > 0 AND ok)),
+d AS (SELECT *, CASE WHEN least < 0 THEN lo ELSE hi END AS benchmark, CASE WHEN least < 0 THEN target - lo ELSE hi - target END AS diff FROM b JOIN rules USING (metric)),
+f AS (SELECT run_id, 'gap' AS kind, gap AS rule_id, metric, target, benchmark, priority, effort, category, artifact FROM d WHERE diff >= abs(least)
+ UNION ALL SELECT run_id, 'advantage', adv, metric, target, benchmark, 'low', 'low', category, artifact FROM d WHERE -diff >= abs(least)
+ UNION ALL SELECT run_id, 'shared', common.rule_id, metric, target, hi, common.priority, 'medium', rules.category, NULL FROM b JOIN common USING (metric) JOIN rules USING (metric) WHERE target = 0 AND hi = 0)"""
 ORACLE_SQL = {
+    "comparison_metrics": f"WITH {_METRICS} SELECT metric, count(*) AS sites, sum(v)::BIGINT AS total, coalesce(string_agg(DISTINCT l, '|' ORDER BY l), '') AS labels FROM mm GROUP BY 1",
+    "comparison_rules": f"WITH {_CONCLUSIONS} SELECT * EXCLUDE (artifact), 'high' AS confidence FROM f",
+    "comparison_proposals": f"""WITH {_CONCLUSIONS} SELECT run_id, 'PROPOSAL_' || rule_id AS artifact_id, metric, artifact AS artifact_type,
+ CASE WHEN artifact IN ('provider-or-reviewer-block', 'visible-faq-and-jsonld') THEN 'professional' ELSE 'editorial' END AS review, 'proposal' AS status, priority, effort FROM f WHERE kind = 'gap'""",
     "rule_findings": f"WITH {_MADE}, f AS ({_FOUND}) SELECT page_id, rule_id, category, priority, effort, CASE WHEN h = 1 THEN 'editorial-heuristic' ELSE 'observation' END AS classification, CASE WHEN h = 1 THEN 'medium' ELSE 'high' END AS confidence, fields FROM f",
     "analyzer_statuses": f"WITH {_MADE}, o AS ({_SEEN}) SELECT *, count(*) AS pages FROM o GROUP BY ALL",
     "crawl_rollup": f"""WITH {_MADE}, f AS ({_FOUND}), r AS (SELECT *, CASE WHEN k % 2 = 1 OR k % 4 = 0 THEN 'analyzed' ELSE ['blocked', 'skipped', 'error'][c % 3 + 1] END AS outcome FROM m), a AS (SELECT * FROM r WHERE outcome = 'analyzed'),
