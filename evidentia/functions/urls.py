@@ -88,8 +88,12 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
 
 
+def _no_default_port(place: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(place, "^(https://.*):443$", "$1"), "^(http://.*):80$", "$1")
+
+
 def origin(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+)", 1))
+    return _no_default_port(F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+)", 1)))
 
 
 def path_and_query(url: Column) -> Column:
@@ -101,7 +105,7 @@ def canonical(url: Column) -> Column:
     """``canonical_py`` for URLs whose parameters need no re-encoding, as an expression."""
     bare = F.regexp_replace(url, "#.*$", "")
     head, query = F.regexp_replace(bare, "\\?.*$", ""), F.regexp_extract(bare, "\\?(.*)$", 1)
-    place = F.lower(F.regexp_extract(head, "^([A-Za-z]+://[^/]+)", 1))
+    place = _no_default_port(F.lower(F.regexp_extract(head, "^([A-Za-z]+://[^/]+)", 1)))
     path = F.regexp_replace(head, "^[A-Za-z]+://[^/]+", "")
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike("^(utm_[^=]*|gclid|fbclid|msclkid)(=|$)"))
     ranked = F.transform(kept, lambda p, i: F.struct(F.regexp_replace(p, "=.*$", "").alias("k"), i.alias("i"), p.alias("p")))

@@ -110,3 +110,23 @@ def correlation(target_rank_changed: Column, target_changes: Column) -> Column:
         F.when(target_rank_changed & (target_changes > 0), "Observed page changes and a rank change occurred in the same interval; this does not establish a cause.")
         .when(target_rank_changed, "A rank change was observed without observed page changes.").otherwise("No comparable rank change was observed.")
     )
+
+
+def evidence_changes(diff: DataFrame) -> DataFrame:
+    """All changes of a run diff as verification lists them: those of each category, then those of competitors once more, so a
+    competitor's change counts twice."""
+    return diff.withColumn("listed", F.explode(F.when(F.col("scope") == "competitor", F.array(F.lit("category"), F.lit("competitor"))).otherwise(F.array(F.lit("category")))))
+
+
+def page_summary(sites: DataFrame, found: DataFrame, observed: DataFrame, key: str = "site_key") -> DataFrame:
+    """``sites`` (``key, role, input_order, eligibility``) with their numbers of findings and of analyzer observations."""
+    counts = [df.groupBy(key).agg(F.count("*").alias(n)) for df, n in ((found, "finding_count"), (observed, "observation_count"))]
+    out = sites.select(key, "role", "input_order", "eligibility").join(counts[0], key, "left").join(counts[1], key, "left")
+    return out.fillna(0, ["finding_count", "observation_count"])
+
+
+def verification_counts(sites: DataFrame, changes: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: compared pages, changed evidence records (as ``evidence_changes`` lists them) and resolved proposals."""
+    one = lambda df, name, n: df.agg(n.alias("n")).select(F.lit(name).alias("name"), "n")
+    every = one(sites, "pages", F.count("*")).unionByName(one(changes, "changes", F.count("*"))).unionByName(one(links, "resolved", F.count_if(F.col("change") == "resolved")))
+    return every.agg(*[F.sum(F.when(F.col("name") == name, F.col("n"))).alias(out) for name, out in (("pages", "compared_pages"), ("changes", "changed_evidence_records"), ("resolved", "resolved_artifacts"))])

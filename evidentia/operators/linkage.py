@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.functions import urls as U
+from evidentia.operators.history import latest
 
 # Public references and the analyzers they bear on.
 SOURCES = (
@@ -72,3 +73,17 @@ def visibility_violations(observations: DataFrame) -> DataFrame:
     ranked = F.coalesce(F.col("rank").between(1, 1000), F.lit(False))
     cited = F.coalesce(F.col("citation_url").startswith("http"), F.lit(False))
     return observations.where(~(ranked | cited) | (F.col("rank").isNotNull() & ~ranked))
+
+
+def visibility_list(observations: DataFrame, target: str | None = None) -> DataFrame:
+    """Manual visibility observations, of one target (a URL, normalized before it is compared) or all; newest first, then by id."""
+    if target is not None:
+        observations = observations.where(F.col("target_url") == F.lit(U.normalize_py(target)))
+    return observations.orderBy(F.desc("created_at"), "observation_id")
+
+
+def latest_run_metrics(projects: DataFrame, runs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """``project_id, run_id`` and the metrics of the newest run of each project's target; projects without a run have none."""
+    newest = latest(runs.select("run_id", "target_url", "created_at"), "target_url", "created_at", "run_id")
+    chosen = projects.select("project_id", "target_url").join(newest, "target_url").select("project_id", "run_id")
+    return chosen.join(metrics, "run_id").select("project_id", "run_id", *[c for c in metrics.columns if c not in ("project_id", "run_id")])

@@ -48,3 +48,28 @@ def evidence_items(findings: DataFrame, run: str = "page_id") -> DataFrame:
 def ungrounded(cited: DataFrame, evidence: DataFrame) -> DataFrame:
     """Cited ids that no supplied evidence has; an interpretation with any is refused."""
     return cited.join(evidence.select("evidence_id"), "evidence_id", "left_anti")
+
+
+def chosen(rows: DataFrame, **wanted: str | None) -> DataFrame:
+    """``rows`` where each given column has the given value (category, priority, status, project_id ...); None or "all" asks for nothing."""
+    for column, value in wanted.items():
+        if value not in (None, "", "all"):
+            rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def metric_cards(metrics: DataFrame) -> DataFrame:
+    """One row: records, distinct projects and imports, clicks and impressions; zeros for an empty table."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return metrics.agg(F.count("*").alias("records"), F.count_distinct("project_id").alias("projects"), F.count_distinct("import_id").alias("imports"), total("clicks"), total("impressions"))
+
+
+def opportunity_cards(opportunities: DataFrame) -> DataFrame:
+    """One row: opportunities, those of high priority, and new ones."""
+    return opportunities.agg(F.count("*").alias("opportunities"), F.count_if(F.col("priority") == "high").alias("high"), F.count_if(F.col("status") == "new").alias("new"))
+
+
+def inventory(found: DataFrame, sites: DataFrame, key: str = "site_key") -> DataFrame:
+    """``key, input_order, findings``: the number of findings of each site of a report, sites without any included."""
+    n = found.groupBy(key).agg(F.count("*").alias("findings"))
+    return sites.select(key, "input_order").join(n, key, "left").fillna(0, ["findings"])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
+from evidentia.functions import urls as U
 from evidentia.functions.html import parse_page, parse_pages
 from evidentia.functions.urls import UrlError, canonical_py, is_public_address, is_public_v4, normalize_py, resolve_py
 from evidentia.operators import coverage, eligibility, page_analysis, rules
@@ -114,3 +115,12 @@ def test_addresses(spark):
     assert got == table and {a: is_public_address(a) for a in table} == table
     for a, ok in (("2606:4700::1", True), ("::1", False), ("fc00::1", False), ("::ffff:10.0.0.1", False), ("::ffff:8.8.8.8", True), ("64:ff9b::a00:1", False), ("2002:0a00:0001::1", False), ("2001:db8::1", False)):
         assert is_public_address(a) is ok
+
+
+def test_canonical_expression_agrees_with_function(spark):
+    """Default ports go, others stay; both forms of the crawl's key agree."""
+    given = ["https://A.example:443/x?b=1&a=2#f", "http://a.example:80", "http://a.example:443/", "https://a.example:8443/y?utm_source=q&c=3", "https://a.example/?gclid=1"]
+    df = spark.createDataFrame([(u,) for u in given], "u string")
+    rows = df.select("u", U.canonical(df.u).alias("c"), U.origin(df.u).alias("o")).collect()
+    assert [r["c"] for r in rows] == [U.canonical_py(r["u"]) for r in rows]
+    assert [r["o"] for r in rows] == ["https://a.example", "http://a.example", "http://a.example:443", "https://a.example:8443", "https://a.example"]
