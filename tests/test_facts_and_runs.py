@@ -43,6 +43,29 @@ def test_bad_files(spark, tmp_path, body):
         load(spark, tmp_path, body)
 
 
+def test_preview_and_gate(spark, tmp_path):
+    import hashlib
+
+    path = tmp_path / "p.csv"
+    path.write_text("Query,Clicks\n" + "".join(f"q{i},{i}\n" for i in range(7)))
+    got = csv_facts.preview(spark, str(path), "search-console-csv")
+    assert got["sha256"] == hashlib.sha256(path.read_bytes()).hexdigest() and got["rows"] == 7 and [r["Query"] for r in got["sample"]] == ["q0", "q1", "q2", "q3", "q4"]
+    assert got["mapping"] == {"query": "Query", "clicks": "Clicks"} and got["warnings"][0].startswith("Map required field(s): page, date, impressions")
+    csv_facts.gate(" A.CSV ", "Text/CSV", 2 * 1024 * 1024)
+    for bad in (("a.txt", "text/csv"), ("a.csv", "image/png"), ("a.csv", "text/csv", 2 * 1024 * 1024 + 1)):
+        with pytest.raises(facts.ImportError_):
+            csv_facts.gate(*bad)
+    path.write_bytes(b"Query,Clicks\na\x00b,1\n")
+    with pytest.raises(facts.ImportError_):
+        csv_facts.read(spark, str(path))
+
+
+def test_formulas(spark):
+    given = {"=1": True, "\t+a": True, "@x": True, "-5": False, "-5.5%": False, "-1,5": False, "-1,234.5": True, "-a": True, "-5 ": True, "a-5": False, "": False}
+    df = spark.createDataFrame([(x,) for x in given], "v string")
+    assert {r["v"]: r["f"] for r in df.select("v", facts.is_formula(F.col("v")).alias("f")).collect()} == given
+
+
 def test_numbers(spark):
     got = spark.createDataFrame([("1,234",), ("4.0",), ("-3",), ("2",), ("50%",), ("150%",), ("1",), ("x",)], "v string").select(facts.integer(F.col("v")).alias("i"), facts.ratio(F.col("v")).alias("r"), facts.is_formula(F.col("v")).alias("f")).collect()
     assert [r["i"] for r in got] == [1234, 4, None, 2, None, None, 1, None]
