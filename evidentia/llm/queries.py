@@ -83,8 +83,31 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.periodic_runs import digests, find_runs, looped
+
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    return digests(find_runs(docs.select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.merkle import checked, manifest, row_digest
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = _documents(spark, sf_dir, *fields)
+    tampers = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    changed = row_digest([F.when(tampers, F.translate("text", "\n", "")).otherwise(F.col("text")) if c == "text" else F.col(c) for c in fields])
+    return checked(manifest(docs, fields, "source", "doc_id", presented=changed)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.embedding_join import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_line_dedup, op3_token_counts, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_chat_formatting, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring, op10_ngram_jaccard_join)
+    for f in (op1_quality_rules, op2_line_dedup, op3_token_counts, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_chat_formatting, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring, op10_ngram_jaccard_join, op11_periodic_runs, op12_merkle_manifest, op13_embedding_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
