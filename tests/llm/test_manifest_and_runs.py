@@ -153,3 +153,51 @@ def test_merkle_manifest_matches_brute_force(spark, tmp_path, part_rows, climb,
     assert manifest(df.limit(0), cols).count() == 0
     lone = checked(manifest(df.where("source = 'one'"), cols)).first()
     assert lone["root"] == lone["leaf"] and lone["verified"] and lone["proof_sha256"] == sha("")
+
+
+def vectors(seed=6, n=260, size=12):
+    """Unit-like vectors in near groups, chains, copies, scaled copies, odd rows, and one very common vector."""
+    rng = np.random.default_rng(seed)
+    out, centres = [], rng.normal(size=(8, size))
+    for i in range(n):
+        v = centres[i % 8] + rng.normal(size=size) * rng.choice([0.05, 0.3, 0.6]) if i % 3 else rng.normal(size=size)
+        out.append((i, v.astype(np.float32).tolist(), int(rng.integers(0, 3)) if i % 17 else None))
+    chain = [[float(np.cos(t)), float(np.sin(t))] + [0.0] * (size - 2) for t in np.arange(0, 3, 0.3)]
+    out += [(400 + k, v, 7) for k, v in enumerate(chain)] + [(500 + k, out[1][1], out[1][2]) for k in range(70)]
+    out += [(600, [3 * x for x in out[1][1]], out[1][2]), (601, None, 1), (602, [], 1), (603, [0.0] * size, 1), (604, [None] + [1.0] * (size - 1), 1), (605, [float("nan")] * size, 1), (606, [float("inf")] + [0.0] * (size - 1), 1)]
+    out += [(607, [1.0, 0.0], 1), (608, [2.0, 0.0], 1), (609, [1e-30, 1e-30], 1), (None, out[1][1], out[1][2]), (None, [9.0] * 5, 2), (out[2][0], out[2][1], out[2][2])]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block": 16, "stretch": 2, "dimensions": 3, "sample": 40}, {"block": 5, "stretch": 1, "dimensions": 1}])
+def test_embedding_join_matches_brute_force(spark, sizes, monkeypatch):
+    from evidentia.llm import embedding_join as e
+
+    if sizes:
+        monkeypatch.setattr(e, "LEAF", 4)
+        monkeypatch.setattr(e, "SMALL_BOXES", 0)
+    data = vectors()
+    ok = [v is not None and lab is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, lab in data]
+    n, near = len(data), collections.defaultdict(set)
+    unit = [np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) if good else None for (_, v, _), good in zip(data, ok, strict=True)]
+    for i in range(n):
+        for j in range(i + 1, n):
+            if ok[i] and ok[j] and data[i][2] == data[j][2] and len(unit[i]) == len(unit[j]) and float(unit[i] @ unit[j]) >= 0.93:
+                near[i].add(j)
+                near[j].add(i)
+    want, seen = collections.Counter(), {}
+    for i in range(n):
+        if i not in seen:
+            todo, part = [i], {i}
+            while todo:
+                for j in near[todo.pop()] - part:
+                    part.add(j)
+                    todo.append(j)
+            ids = [data[j][0] for j in part if data[j][0] is not None]
+            seen |= {j: min(ids, default=None) for j in part}
+        want[data[i][0], len(near[i]), seen[i], data[i][0] == seen[i]] += 1
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").withColumn("UID", F.lit(1)).withColumn("k1", F.lit("x")).repartition(4)
+    got = e.near_vectors(df, **sizes)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    assert collections.Counter(tuple(r) for r in got.collect()) == want
+    assert e.near_vectors(df.limit(0)).count() == 0
