@@ -67,8 +67,10 @@ class Model(NamedTuple):
     step: np.ndarray
     emit: list[np.ndarray]
 
-    def scores(self, features: list[np.ndarray]) -> np.ndarray:
-        return sum(e[:, f] for e, f in zip(self.emit, features, strict=True)).T
+    def scores(self, features: list[np.ndarray], given: np.ndarray) -> np.ndarray:
+        """Each line's score by role; a line whose row names its speaker can only be that one's."""
+        free = sum(e[:, f] for e, f in zip(self.emit, features, strict=True)).T
+        return np.where((given[:, None] == K) | (given[:, None] == np.arange(K)), free, -np.inf)
 
 
 _ROW = ["conv", "at", "text", "given"]
@@ -110,7 +112,7 @@ class _Block:
         opens[np.cumsum(count) - count] = True
         self.new = opens & new_row[self.row]
         self.opens_row = opens
-        given = np.asarray(self.table.column("given"))[self.row]
+        self.given = given = np.asarray(self.table.column("given"))[self.row]
         mark, self.cut = given.copy(), np.zeros(len(self.row), np.int64)
         for i in np.flatnonzero(given == K).tolist():
             mark[i], self.cut[i] = speaker(self.lines[i].as_py())
@@ -174,7 +176,7 @@ def _product(model: Model, scores: np.ndarray, kind: np.ndarray) -> np.ndarray:
 
 
 def sums_of(model: Model, b: _Block) -> Sums:
-    scores, cuts = model.scores(b.features), b.cuts
+    scores, cuts = model.scores(b.features, b.given), b.cuts
     head = _product(model, scores[: cuts[1]], b.kind[: cuts[1]])
     start = model.start + scores[cuts[-2]]
     tail = (start[:, None] + _product(model, scores[cuts[-2] + 1 :], b.kind[cuts[-2] + 1 :])).max(0)
@@ -338,7 +340,7 @@ def format_chats(
     def decode(group: pa.Table, about: pa.Table) -> pa.Table:
         b = _Block(group)
         before, last, ends = (about.column(c)[0].as_py() for c in ("before", "last", "ends"))
-        state = viterbi(fitted, fitted.scores(b.features), b.kind, b.cuts[:-1], before, last)
+        state = viterbi(fitted, fitted.scores(b.features, b.given), b.kind, b.cuts[:-1], before, last)
         past = np.concatenate([[-1 if before is None else before], state[:-1]])
         turn = b.new | (state != past)
         if before is not None:

@@ -99,33 +99,35 @@ def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, edges: list[np.ndar
     return paths, value
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float = 2e-3, steps: int = 600) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 24, depth: int = 3, penalty: float = 2e-3, steps: int = 600) -> Model:
     """Boosted trees give the rules; proximal gradient steps on the logistic loss with an L1 penalty weigh them.
 
-    Without rows, or with one class only, the model is a constant.
+    A row counts ``weight`` times. Without rows, or with one class only, the model is a constant.
     """
-    rate = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
+    n = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+    rate = float(np.clip(np.average(y, weights=n), 0.01, 0.99)) if len(y) else 0.5
     base = float(np.log(rate / (1 - rate)))
     if len(np.unique(y)) < 2:
         return Model(base, ())
+    share = n / n.sum()
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0.02, 0.98, 49))) for j in range(x.shape[1])]
     margin, seen = np.full(len(y), base), {}
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        paths, value = _grow(x, y - p, p * (1 - p), edges, depth)
+        paths, value = _grow(x, n * (y - p), n * p * (1 - p), edges, depth)
         margin += 0.3 * value
         for path in paths:
             seen.setdefault(tuple(sorted(path)), None)
     rules = list(seen)
     hits = np.stack([np.all([(x[:, j] > c) == above for j, above, c in r], axis=0) for r in rules], axis=1).astype(float)
-    keep = (hits.mean(0) > 0) & (hits.mean(0) < 1)
+    keep = (hits.min(0) == 0) & (hits.max(0) == 1)
     hits, rules = hits[:, keep], [r for r, k in zip(rules, keep, strict=True) if k]
     w, b, z, zb, t = np.zeros(len(rules)), base, np.zeros(len(rules)), base, 1.0
-    rate_of_step = 4 / (np.linalg.norm(np.column_stack([hits, np.ones(len(y))]), 2) ** 2 / len(y))
+    rate_of_step = 4 / np.linalg.norm(np.column_stack([hits, np.ones(len(y))]) * np.sqrt(share)[:, None], 2) ** 2
     for _ in range(steps):
-        r = 1 / (1 + np.exp(-(hits @ z + zb))) - y
-        to = z - rate_of_step * (hits.T @ r / len(y))
-        new, new_b = np.sign(to) * np.maximum(np.abs(to) - rate_of_step * penalty, 0), zb - rate_of_step * r.mean()
+        r = share * (1 / (1 + np.exp(-(hits @ z + zb))) - y)
+        to = z - rate_of_step * (hits.T @ r)
+        new, new_b = np.sign(to) * np.maximum(np.abs(to) - rate_of_step * penalty, 0), zb - rate_of_step * r.sum()
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = new + (t - 1) / t_next * (new - w), new_b + (t - 1) / t_next * (new_b - b)
         w, b, t = new, new_b, t_next
@@ -136,22 +138,20 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000) -> Model:
     """A model of ``label`` (0 or 1) from rows outside the held-out fold (crc32 of the id, mod 5, is 0).
 
-    At most about ``max_rows`` labelled rows are used, drawn by a hash of the id from all of them (twice that
-    where ids repeat; beyond, by a hash of the text); null labels and ids are left out, an id with both labels counts with both. The drawn ids are
-    bounded, so they are broadcast, and statistics are computed for their documents only.
+    Equal statistics with equal labels are one row of weight 1 + ln(times), so copies of a text are one draw, and a text that
+    is copied without end doesn't drown the others. ``max_rows`` labelled ids are drawn by a hash from all of them, and ``max_rows`` weighted rows
+    by a hash of their values from what their documents give; both bounds are exact, so the driver holds no more. Null labels
+    and ids are left out; an id with both labels, or with several documents, counts with each. The drawn ids
+    are bounded, so they are broadcast, and statistics are computed for their documents only.
     """
     number, y = fresh(docs.columns, "id"), fresh(docs.columns, "y")
     known = labels.select(F.col(doc_id).alias(number), F.col(label).cast("double").alias(y))
     known = known.where(F.col(number).isNotNull() & F.col(y).isin(0.0, 1.0) & (fold_of(F.col(number)) != 0)).distinct()
-    n = known.count()
-    if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64(number), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
-    rows = docs.join(F.broadcast(known), F.col(doc_id) == F.col(number)).select(F.col(text).alias("text"), F.col(y).alias("y"))
-    found = rows.count()
-    if found > 2 * max_rows:  # ids that repeat: their rows are drawn by a hash of the text
-        rows = rows.where(F.pmod(F.xxhash64("text", "y", F.lit(1)), F.lit(1 << 20)) < int(max_rows / found * (1 << 20)))
-    got = rows.select(features(F.col("text")).alias("x"), "y").select("x.*", "y").toPandas().sort_values([*FEATURES, "y"], ignore_index=True)
-    return fit(got[list(FEATURES)].to_numpy(float), got["y"].to_numpy(float))
+    known = known.orderBy(F.xxhash64(number), number, y).limit(max_rows)
+    rows = docs.join(F.broadcast(known), F.col(doc_id) == F.col(number)).select(features(F.col(text)).alias("x"), F.col(y).alias("y"))
+    rows = rows.groupBy("x", "y").agg((1 + F.log(F.count("*"))).alias("n")).orderBy(F.xxhash64("x", "y"), "x", "y").limit(max_rows)
+    got = rows.select("x.*", "y", "n").toPandas().sort_values([*FEATURES, "y"], ignore_index=True)
+    return fit(got[list(FEATURES)].to_numpy(float), got["y"].to_numpy(float), got["n"].to_numpy(float))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, prefix: str = "") -> DataFrame:

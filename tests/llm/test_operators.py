@@ -556,6 +556,61 @@ def test_quality_classifier_learns_and_compiles(spark, empty):
     assert train(docs, labels.limit(0)).rules == ()
 
 
+def test_quality_classifier_weighs_repeated_rows(spark):
+    """One labelled text 200,000 times is one weighted row: the model still learns both classes, whatever its hash."""
+    from evidentia.llm.quality_classifier import FEATURES, classify, fit, train
+
+    good = [(i, f"the report of {i} says that the work was done in time and that it is of use to all. " * 4, 1) for i in range(1, 400)]
+    bad = [(1000 + i, f"$$$ ### {i} $$$ %%% " * 9, 0) for i in range(400)]
+    rows = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
+    many = spark.range(200_000).select((F.col("id") + 10_000).alias("doc_id"), F.lit(good[0][1]).alias("text"), F.lit(1).alias("quality"))
+    every = rows.unionByName(many)
+    model = train(every.select("doc_id", "text"), every.select("doc_id", "quality"), max_rows=300_000)
+    got = classify(rows, model).collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.98
+    model = train(every.select("doc_id", "text"), every.select("doc_id", "quality"), max_rows=2_000)
+    again = train(every.repartition(7).select("doc_id", "text"), every.select("doc_id", "quality"), max_rows=2_000)
+    assert model == again
+    same_id = rows.select("doc_id", "text").unionByName(many.select(F.lit(1).cast("long").alias("doc_id"), "text"))
+    assert train(same_id, rows.select("doc_id", "quality"), max_rows=900).rules
+    got = classify(rows, train(same_id, rows.select("doc_id", "quality"), max_rows=900)).collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.98
+    # Few values, so that both forms have the same places to cut at.
+    x, y = np.random.default_rng(1).integers(0, 4, size=(300, len(FEATURES))).astype(float), np.arange(300) % 2
+    x[:, 0] += y
+    copies = np.arange(300) % 3 + 1
+    one, two = fit(x, y, copies), fit(np.repeat(x, copies, axis=0), np.repeat(y, copies))
+    chance = lambda m: 1 / (1 + np.exp(-m.intercept - sum(r.weight * np.all([(x[:, FEATURES.index(f)] > at) == up for f, up, at in r.terms], axis=0) for r in m.rules)))
+    assert one.rules and np.abs(chance(one) - chance(two)).max() < 0.02
+
+
+def test_compiled_scores_match_a_plain_version(spark):
+    """The compiled columns against rules evaluated in Python on the same statistics."""
+    from evidentia.llm.quality_classifier import classify, features, train
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.rules
+    for r in classify(docs.withColumn("x", features(F.col("text"))), model).collect():
+        total = model.intercept + sum(rule.weight for rule in model.rules if all((r["x"][n] > at) == above for n, above, at in rule.terms))
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9 and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_chat_roles_that_are_given_stay(spark):
+    """Whatever neighbours and features say: an alternating corpus, and conversations that go against it."""
+    from evidentia.llm.chat_format import format_chats
+
+    lines = [(c, t, ["user", "assistant"][t], ["short?", "a long answer " * 20][t]) for c in range(3000) for t in range(2)]
+    lines += [(9000, 0, "user", "short?"), (9000, 1, "user", "short?"), (9000, 2, "assistant", "a long answer " * 20)]
+    lines += [(9001, 0, "user", "a long answer " * 20), (9001, 1, "assistant", "short?\nand\nmore"), (9002, 0, "assistant", "x"), (9002, 1, None, "y"), (9002, 2, "user", "User: z")]
+    df = spark.createDataFrame(lines, "conv_id long, turn long, role string, text string").repartition(3)
+    got = collections.defaultdict(set)
+    for r in format_chats(df).collect():
+        got[r["conv"], r["at"]].add(r["role"])
+    assert all(got[c, t] == {role} for c, t, role, _ in lines if role)
+
+
 def _transcripts(df, **options):
     from evidentia.llm.chat_format import format_chats, parse
 
