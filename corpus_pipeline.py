@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import written
+from evidentia.llm.common import clear_prefix, written
 from evidentia.llm.decontamination import decontaminate
 from evidentia.llm.line_dedup import dedup_lines
 from evidentia.llm.near_duplicates import drop_near_duplicates
@@ -18,32 +18,39 @@ from evidentia.llm.quality_classifier import classify, train
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among them, rejects are dropped."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classify(docs, model, prefix="__").where("__predicted = 1").select(*docs.columns)
+    """Documents that the classifier, trained on the labelled ones among them, rejects are dropped.
+
+    Without labels outside the held-out fold, or with one class only, the model is a constant and rejects none or all by the
+    classes' rate. Null and empty texts are scored as texts without words; repeated rows go or stay together.
+    """
+    model, prefix = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), clear_prefix(docs.columns, ["score", "predicted"])
+    return classify(docs, model, prefix=prefix).where(F.col(f"{prefix}predicted") == 1).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines are cut from the texts; ``n_chars`` follows where a text has changed."""
-    out = dedup_lines(docs, prefix="__")
+    """Boilerplate lines are cut from the texts; ``n_chars`` follows where a text has changed. No row goes: a text of
+    boilerplate alone becomes empty, null texts stay null, a null source counts as one."""
+    prefix = clear_prefix(docs.columns, ["n_lines", "n_removed"])
+    out = dedup_lines(docs, prefix=prefix)
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = F.when(F.col(f"{prefix}n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed)
     return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the smallest id (a null id comes last); null and
+    empty texts link with nothing and all stay, of repeated rows one."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item are dropped."""
+    """Documents that leak a benchmark item are dropped; an empty benchmark drops none."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens: one row a piece. A null or empty text is its end token alone."""
     return pack(docs)
 
 

@@ -84,6 +84,21 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
+def refuse(columns: list[str], made: list[str]) -> None:
+    """An error where a new column is named like one there is, in any case (Spark folds it)."""
+    have = {c.lower() for c in columns}
+    if clash := sorted(c for c in made if c.lower() in have):
+        raise ValueError(f"columns exist already: {clash}; give a prefix")
+
+
+def clear_prefix(columns: list[str], made: list[str]) -> str:
+    """A prefix with which none of the new names clashes."""
+    prefix = "__"
+    while {c.lower() for c in columns} & {(prefix + c).lower() for c in made}:
+        prefix += "_"
+    return prefix
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import slices, words_of
+from evidentia.llm.common import SPACES, fresh, refuse, slices, words_of
 from evidentia.ship import ship
 
 CHUNK = 16
 EDGES = ".,;:!?\"'()[]"
-#: Items of one latent space, and such blocks that share a scan: they bound what is broadcast and what each task sums.
-BLOCK_ITEMS, BLOCKS_AT_ONCE = 500, 4
+#: Items and item words of one latent space, about, and such blocks that share a scan: they bound what is broadcast and what each
+#: task sums. An item of more words is a block with few others.
+BLOCK_ITEMS, BLOCK_WORDS, BLOCKS_AT_ONCE = 500, 20_000, 4
 #: Passages compared with all items at once.
 _ROWS = 4096
 RANK = 64
@@ -209,15 +210,18 @@ def _singular_vectors(docs: DataFrame, text: str, blocks: Blocks, weights: list[
 
 def _fold_in(u: np.ndarray, bench: Benchmark, weight: np.ndarray, least: float = 0.3) -> np.ndarray:
     """Directions are added for items of which the corpus' main directions hold less than ``least``, so none is out of reach."""
-    rows = np.zeros((len(bench.items), len(weight)))
-    for k, item in enumerate(bench.items):
-        np.add.at(rows[k], list(item.ids), weight[list(item.ids)])
-    norm = np.linalg.norm(rows, axis=1)
-    rows = rows[norm > 0] / norm[norm > 0, None]
-    poor = rows[np.linalg.norm(rows @ u, axis=1) < least]
+    poor = []
+    for item in bench.items:
+        words, times = np.unique(np.array(item.ids, np.int64), return_counts=True)
+        row = times * weight[words].astype(np.float64)
+        norm = np.linalg.norm(row)
+        if norm > 0 and np.linalg.norm(row @ u[words]) < least * norm:
+            poor.append(np.zeros(len(weight)))
+            poor[-1][words] = row / norm
     if not len(poor):
         return u
-    _, size, more = np.linalg.svd(poor - poor @ u @ u.T, full_matrices=False)
+    rest = np.array(poor)
+    _, size, more = np.linalg.svd(rest - rest @ u @ u.T, full_matrices=False)
     return np.concatenate([u, more[size > 1e-3].T], axis=1)
 
 
@@ -244,13 +248,13 @@ class _Bounds:
         items, n = bench.items, len(bench.words)
         self.spans = np.array([_span(len(x.ids)) for x in items], np.int64)
         self.least, self.need = np.zeros((2, len(items)), np.int64)
-        self.member = np.zeros((n + 1, len(items)), bool)  # the last row: words that aren't the benchmark's
+        self.member = np.zeros((n + 1, -(-len(items) // 8)), np.uint8)  # a bit for each item; the last row: words that aren't the benchmark's
         rare, told = [], []
         for k, x in enumerate(items):
             size = len(x.ids)
             m = min(size, max(1, math.ceil(enough * size)))
             self.least[k], self.need[k] = max(1, m // 4), m
-            self.member[list(x.ids), k] = True
+            self.member[list(x.ids), k // 8] |= 1 << k % 8
             by_rarity = sorted(x.ids, key=lambda w: (-idf[w], w))
             rare += [(w, k, 0) for w in dict.fromkeys(by_rarity[: size - m + int(self.least[k])])]
             told.append(max((idf[w], w, k, o) for o, w in enumerate(x.answer))[1:])
@@ -299,7 +303,7 @@ class _Bounds:
             which, lo, hi = part[:, 1], part[:, 2], part[:, 3]
             spots = lo[:, None] + np.arange((hi - lo).max() + 1)
             words = np.where(spots < hi[:, None], ids[np.minimum(spots, len(ids) - 1)], -1)
-            many = np.cumsum(self.member[words, which[:, None]], axis=1)
+            many = np.cumsum(self.member[words, which[:, None] // 8] >> (which[:, None] % 8).astype(np.uint8) & 1, axis=1)
             ends = np.minimum(np.arange(many.shape[1]) + self.spans[which][:, None], many.shape[1] - 1)
             inside = np.take_along_axis(many, ends, axis=1) - many
             most = np.maximum(inside.max(axis=1), np.take_along_axis(many, np.minimum(self.spans[which][:, None] - 1, many.shape[1] - 1), axis=1)[:, 0])
@@ -335,21 +339,21 @@ class Searcher:
     def __init__(self, bench: Benchmark, weight: np.ndarray, idf: np.ndarray, vectors: np.ndarray, cosine: float, enough: float, with_answer: float):
         self.bench, self.cosine, self.enough, self.with_answer = bench, cosine, enough, with_answer
         self.weight, self.project = weight, vectors * weight[:, None]
-        rows, owner, shares = [], [], []
+        rows, owner, words, shares = [], [], [], []
         for k, item in enumerate(bench.items):
             ids = np.array(item.ids)
             for at in range(0, max(1, len(ids) - CHUNK), CHUNK):
                 part = ids[at : at + 2 * CHUNK]
                 rows.append(self.project[part].sum(0))
                 owner.append(k)
-                share = np.zeros(len(idf) + 1, np.float32)
-                share[part] = idf[part]
-                shares.append(share / max(share.sum(), 1e-9))
+                part = np.unique(part)
+                words.append(np.pad(part, (0, 2 * CHUNK - len(part)), constant_values=-2))
+                shares.append(np.pad(idf[part] / max(idf[part].sum(), 1e-9), (0, 2 * CHUNK - len(part))))
         z = np.array(rows, np.float32).reshape(len(rows), vectors.shape[1])
         size = np.linalg.norm(z, axis=1, keepdims=True)
         self.items, self.sizes, self.owner = z / np.where(size > 0, size, 1), size.ravel(), np.array(owner)
-        #: Of each item window, what each word brings (the last column: words outside the vocabulary).
-        self.shares = np.array(shares, np.float32).reshape(len(rows), len(idf) + 1)
+        #: Of each item window, its words and what each brings: two rows of a window's length, whatever the vocabulary.
+        self.words, self.shares = np.array(words, np.int32).reshape(len(rows), 2 * CHUNK), np.array(shares, np.float32).reshape(len(rows), 2 * CHUNK)
         self.bounds = _Bounds(bench, idf, enough)
         self.masks: list[dict[int, int]] = []
         for item in bench.items:
@@ -358,6 +362,15 @@ class Searcher:
                 masks[x] = masks.get(x, 0) | 1 << k
             self.masks.append(masks)
 
+    def _brought(self, passages: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """What each passage's words bring of its window."""
+        out = np.empty(len(windows), np.float32)
+        for block in range(0, len(windows), 1024):
+            mine = windows[block : block + 1024]
+            met = (passages[block : block + 1024, :, None] == self.words[mine][:, None, :]).sum(1)
+            out[block : block + 1024] = (met * self.shares[mine]).sum(1)
+        return out
+
     def settle(self, k: int, ids: np.ndarray, lo: int, hi: int) -> tuple[int, bool] | None:
         """The best common subsequence within 1.5 item lengths inside ids[lo:hi], if it is enough."""
         item, size = self.bench.items[k], len(self.bench.items[k].ids)
@@ -410,8 +423,7 @@ class Searcher:
                 starts = at[doc[block : block + _ROWS]] + (own[block : block + _ROWS] - first[doc[block : block + _ROWS]]) * CHUNK
                 spots = starts[where[0]][:, None] + np.arange(2 * CHUNK)
                 spots = np.where(spots < at[doc[block + where[0]] + 1][:, None], spots, len(ids))
-                brought = self.shares[where[1][:, None], padded[spots]].sum(1)
-                sure = np.flatnonzero(brought >= OVERLAP)
+                sure = np.flatnonzero(self._brought(padded[spots].astype(np.int32), where[1]) >= OVERLAP)
                 for r, c, s in zip(where[0][sure].tolist(), where[1][sure].tolist(), score[sure].tolist(), strict=True):
                     d, k = int(doc[block + r]), int(self.owner[c])
                     if k in out[d]:
@@ -444,15 +456,15 @@ def find_leaks(
     Words compare lower-cased A-Z and without marks at their ends. All whole texts are searched. Rows
     stay (nulls, repeated ids, empty texts have no leaks of their own), extra columns stay, and a column
     named like ``column`` is an error. Items without words, or with a null id or text, are left out;
-    repeated items count once. The benchmark is worked on in blocks of ``BLOCK_ITEMS``, ``BLOCKS_AT_ONCE`` a
-    scan, which bounds all that is broadcast.
+    repeated items count once. The benchmark is worked on in blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words,
+    ``BLOCKS_AT_ONCE`` a scan, which bounds all that is broadcast, however long items are (a single one is not cut).
     """
     ship(docs.sparkSession)
-    if column in docs.columns:
-        raise ValueError(f"column {column} exists already; give another name")
+    refuse(docs.columns, [column])
     picked = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a"))
     picked = picked.where(F.col("i").isNotNull() & F.col("t").isNotNull())
-    blocks = max(1, -(-picked.count() // BLOCK_ITEMS))
+    size = picked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.split(F.trim("t"), SPACES))), F.lit(0)).alias("words")).first()
+    blocks = int(max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["words"] // BLOCK_WORDS)))
     block = F.pmod(F.xxhash64("i"), F.lit(blocks))
     out = docs.withColumn(column, F.array().cast(LEAKS))
     for b in range(0, blocks, BLOCKS_AT_ONCE):
@@ -500,5 +512,5 @@ def _search(docs: DataFrame, blocks: Blocks, searchers: list[Searcher], text: st
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: Any) -> DataFrame:
     """``docs`` without the rows that leak an item; the same columns, all other rows."""
-    column = "__leaks"
+    column = fresh(docs.columns, "leaks")
     return find_leaks(docs, benchmark, column=column, **options).where(F.size(column) == 0).drop(column)

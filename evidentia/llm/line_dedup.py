@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import fresh, let, split_join, written
+from evidentia.llm.common import fresh, let, refuse, split_join, written
 
 _BLANK = " \t\n\x0b\x0c\r"
 #: Places of lines to be cut (ints, three more for each text) up to which they are broadcast: about 16 MB.
@@ -82,8 +82,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_s
     counts as one site, an empty table stays empty, and extra columns stay, whatever their names (clashing new names are
     an error; use ``prefix``). One very long text is one row's work; its lines spread over tasks.
     """
-    if clash := {prefix + "n_lines", prefix + "n_removed"} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}; give a prefix")
+    refuse(docs.columns, [prefix + "n_lines", prefix + "n_removed"])
     spread = written(spread_lines(docs, text, site, min_sites))
     # Copies of a text give the same places: they are combined before the shuffle, so each text has each place once.
     hits = split_join(_lines(docs, text, None), spread, ["h1", "h2"])

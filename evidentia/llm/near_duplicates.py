@@ -60,7 +60,7 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(0, len(h) - size + 1), np.uint64)
         for k in range(size):
-            rolled += h[k : len(h) - size + 1 + k] * _STEP[k % 5] + np.uint64(k)
+            rolled += h[k : k + len(rolled)] * _STEP[k % 5] + np.uint64(k)
         rolled = mix(rolled)
         out = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import SPACES, let, slices, words_of
+from evidentia.llm.common import SPACES, let, refuse, slices, words_of
 from evidentia.ship import ship
 
 #: A run holds its period so often at least, and so many words at least.
@@ -137,8 +137,7 @@ def find_runs(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFram
     """
     ship(docs.sparkSession)
     new = [prefix + c for c in ("n_words", "runs", "collapsed")]
-    if {c.lower() for c in docs.columns} & {c.lower() for c in new}:
-        raise ValueError(f"a column is named like one of {new}: give a prefix")
+    refuse(docs.columns, new)
     item = T.StructType([T.StructField(c, T.LongType(), False) for c in ("start", "length", "period")])
     schema = T.StructType([*docs.schema, T.StructField(new[0], T.LongType()), T.StructField(new[1], T.ArrayType(item, False)), T.StructField(new[2], T.StringType())])
     place = docs.columns.index(text)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import SPACES, fold_of, fresh, let
+from evidentia.llm.common import SPACES, fold_of, fresh, let, refuse
 from evidentia.llm.quality_rules import stop_words
 
 _BLANK = " \t\n\x0b\x0c\r"
@@ -160,8 +160,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float
     Every row is scored, null and empty texts too; repeated rows and extra columns stay, an empty table
     stays empty, and new names that exist already are an error (use ``prefix``).
     """
-    if clash := {prefix + "score", prefix + "predicted"} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}; give a prefix")
+    refuse(docs.columns, [prefix + "score", prefix + "predicted"])
     x = fresh(docs.columns, "features")
     scored = docs.withColumn(x, features(F.col(text))).withColumn(prefix + "score", model.score(F.col(x))).drop(x)
     return scored.withColumn(prefix + "predicted", (F.col(prefix + "score") >= threshold).cast("int"))

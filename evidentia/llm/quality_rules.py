@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import SPACES, fresh, let
+from evidentia.llm.common import SPACES, fresh, let, refuse
 
 # Frequent words of English, French, Spanish and German.
 STOP_WORDS = (
@@ -125,8 +125,7 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     row-local: nothing is shuffled, so hot sources or groups of copies have no effect.
     """
     made = [*(f for f in _FIELDS), "base_failed", "failed_rules", "kept"]
-    if clash := {prefix + x for x in made} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}; give a prefix")
+    refuse(docs.columns, [prefix + x for x in made])
     hidden = fresh(docs.columns, "stats")
     with_stats = docs.withColumn(hidden, statistics(F.col(text)))
     s = F.col(hidden)

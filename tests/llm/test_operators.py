@@ -747,6 +747,43 @@ def test_pipeline_stages_keep_columns(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_near_duplicates_of_few_words(spark, n):
+    """A task with fewer words in all than a shingle has."""
+    from evidentia.llm.near_duplicates import near_duplicates
+
+    df = spark.createDataFrame([(1, " ".join("abcdefg"[:n])), (2, None)], "doc_id long, text string").coalesce(1)
+    assert sorted(rows(near_duplicates(df).select("doc_id", "n_shingles", "component_id"))) == [(1, 0 if not n else max(1, n - 4), 1), (2, 0, 2)]
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, columns named like the stages' own, and empty tables: every decision against a plain one."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (None, "a b c", None, "s", 5), (9003, "same words here", "en", "s", 15), (9003, "same words here", "en", "s", 15)], base.schema)
+    docs = base.unionByName(odd).withColumns({"__score": F.lit(1), "__N_removed": F.lit(2), "__leaks": F.lit(3), "__predicted": F.lit("x")})
+    stages = dict(p.STAGES)
+    kept = stages["quality_classifier"](spark, docs, sf)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    lines = stages["line_dedup"](spark, docs, sf)
+    assert lines.columns == docs.columns and lines.count() == docs.count() and lines.where("doc_id = 9001 and text is null").count() == 1
+    near = stages["ngram_jaccard_join"](spark, docs, sf)
+    texts = collections.Counter(r["text"] for r in near.collect())
+    assert near.columns == docs.columns and texts["same words here"] == 1 and texts[None] == 1 and texts[""] == 1 and max(texts.values()) == 1
+    clean = stages["benchmark_decontamination"](spark, docs, sf)
+    assert clean.columns == docs.columns and {9001, 9002, 9003} <= {r["doc_id"] for r in clean.select("doc_id").collect()}
+    pieces = collections.Counter((r["doc_id"], r["length"]) for r in stages["best_fit_packing"](spark, odd, sf).collect())
+    assert pieces[9001, 1] == pieces[9002, 1] == 1 and sum(pieces.values()) == 5
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert stages["benchmark_decontamination"](spark, docs, str(tmp_path)).count() == docs.count()
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        assert stage(spark, docs, str(tmp_path)).columns, name
+
+
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op2_line_dedup"])
 def test_sql_agrees(spark, name):
     import duckdb
@@ -759,3 +796,28 @@ def test_sql_agrees(spark, name):
     a, b = QUERIES[name](spark, sf).toPandas(), con.execute(ORACLE_SQL[name]).df()
     key = lambda d: sorted(map(str, d[sorted(d.columns)].itertuples(index=False)))
     assert sorted(a.columns) == sorted(b.columns) and key(a) == key(b)
+
+
+def test_decontamination_of_long_items_is_bounded(spark, monkeypatch):
+    """100 items of 800 words: what a scan broadcasts stays under 100 MB, and their copies and paraphrases are found."""
+    import pickle
+
+    from evidentia.llm import decontamination as d
+
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(60_000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(800))) for i in range(100)]
+    cut = lambda t: " ".join("x" if k % 4 == 0 else w for k, w in enumerate(t.split()))
+    docs = [(i, f"some words before {t} and after") for i, t in items[:20]] + [(100 + i, cut(t)) for i, t in items[20:30]] + [(200 + i, " ".join(rng.choice(vocab) for _ in range(900))) for i in range(20)]
+    sizes = []
+    search = d._search
+
+    def measured(out, shared, searchers, *more):
+        sizes.append(len(pickle.dumps((shared.words, shared.local, searchers))))
+        return search(out, shared, searchers, *more)
+
+    monkeypatch.setattr(d, "_search", measured)
+    found = d.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in found.collect()}
+    assert got == {i: [i] for i in range(20)} | {120 + i: [20 + i] for i in range(10)} | {200 + i: [] for i in range(20)}
+    assert max(sizes) < 100e6, sizes
