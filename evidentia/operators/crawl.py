@@ -1,16 +1,14 @@
-"""Robots rules and the bounded same-origin crawl over a table of pages."""
+"""Robots rules, the bounded crawl of one site, and crawl rollups."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import urls as U
-
-MOST_PAGES, MOST_DEPTH = 50, 5
+from evidentia.operators import frontier
 
 
 def robots_rules(text: str) -> list[tuple[str, bool]]:
@@ -47,65 +45,19 @@ class CrawlResult(NamedTuple):
     truncated: bool
 
 
-def crawl(spark: SparkSession, target: str, pages: DataFrame, links: DataFrame, robots: str = "", sitemap: tuple[str, ...] = (), max_pages: int = 10, max_depth: int = 2, keep: Callable[[DataFrame], DataFrame] | None = None) -> CrawlResult:
-    """Breadth-first records of one site: ``ordinal, url, depth, outcome``.
-
-    ``pages`` maps ``url`` to ``final_url`` (null: the page fails); ``links`` has ``url, target, ordinal``; all
-    canonical. Seeds are the target, then sorted sitemap URLs. Blocked, skipped and failed records use up
-    ``max_pages``. One join per depth finds the next frontier; at most ``max_pages`` rows reach the driver.
-    """
-    if not (1 <= max_pages <= MOST_PAGES and 0 <= max_depth <= MOST_DEPTH):
-        raise ValueError("crawl bounds are out of range")
+def crawl(spark: SparkSession, target: str, pages: DataFrame, links: DataFrame, robots: str = "", sitemap: tuple[str, ...] = (), max_pages: int = 10, max_depth: int = 2) -> CrawlResult:
+    """Breadth-first records of one site, ``ordinal, url, depth, outcome``: ``frontier.crawl_sites`` for one target, whose
+    robots text and sitemap URLs are given."""
     start = U.canonical_py(target)
-    home = start.split("/", 3)[:3]
-    queue = [(u, 0) for u in [start, *sorted({U.canonical_py(u, start) for u in sitemap if U.canonical_py(u, start).split("/", 3)[:3] == home})]]
-    rules = robots_rules(robots)
-    fits = lambda u: _path_allowed("/" + (u.split("/", 3) + [""])[3], rules)
-    queued, visited, out, level, at = {u for u, _ in queue}, set(), [], 0, 0
-    truncated = False
-    while at < len(queue):
-        wave = []
-        while at < len(queue) and queue[at][1] == level:
-            wave.append(queue[at][0])
-            at += 1
-        asked = spark.createDataFrame([(u,) for u in dict.fromkeys(wave)], "url string")
-        # One row for each asked URL, however often it stands in ``pages``.
-        known = {r["url"]: r["final_url"] for r in pages.join(F.broadcast(asked), "url", "left_semi").groupBy("url").agg(F.min("final_url").alias("final_url")).collect()}
-        done = []
-        for u in wave:
-            if len(out) >= max_pages:
-                truncated = True
-                break
-            if not fits(u):
-                out.append((len(out), u, level, "blocked"))
-            elif u not in known or known[u] is None:
-                out.append((len(out), u, level, "error"))
-            elif known[u] in visited:
-                out.append((len(out), u, level, "skipped-redirect-duplicate"))
-            else:
-                visited.add(known[u])
-                out.append((len(out), u, level, "analyzed"))
-                done.append((len(done), u))
-        if len(out) >= max_pages:
-            truncated = truncated or at < len(queue)
-        if level < max_depth and done and len(out) < max_pages:
-            parents = spark.createDataFrame(done, "parent int, url string")
-            found = links.join(F.broadcast(parents), "url").where(F.col("target").startswith("/".join(home) + "/")).groupBy("target").agg(F.min(F.struct("parent", "ordinal")).alias("first"))
-            # More than max_pages unseen links can't be used by this crawl.
-            unseen = found.join(F.broadcast(spark.createDataFrame([(u,) for u in queued], "target string")), "target", "left_anti")
-            nxt = [r["target"] for r in unseen.orderBy("first").limit(max_pages + 1).collect()]
-            queue += [(u, level + 1) for u in nxt]
-            queued.update(nxt)
-        elif done and len(out) >= max_pages and level < max_depth:
-            truncated = True
-        level += 1
-    partial = truncated or any(o[3] != "analyzed" for o in out)
-    return CrawlResult(spark.createDataFrame(out, "ordinal int, url string, depth int, outcome string"), "partial" if partial else "complete", truncated)
-
-
-def _path_allowed(path: str, rules: list[tuple[str, bool]]) -> bool:
-    best = max(((len(p), ok) for p, ok in rules if path.startswith(p)), default=(0, True))
-    return best[1]
+    home = U.canonical_py(start).split("/", 3)[:3]
+    listed = {u for u in (U.canonical_py(u, start) for u in sitemap) if u.split("/", 3)[:3] == home}
+    origin = "/".join(home)
+    rules = spark.createDataFrame([(origin, p, ok) for p, ok in robots_rules(robots)], "origin string, prefix string, allow boolean")
+    maps = spark.createDataFrame([(origin, u) for u in listed], "origin string, url string")
+    found = frontier.crawl_sites(spark.createDataFrame([(start,)], "url string"), pages, links, rules, maps, max_pages, max_depth)
+    outcome = F.when(F.col("outcome") == "skipped", "skipped-redirect-duplicate").otherwise(F.col("outcome"))
+    said = found.sites.first()
+    return CrawlResult(found.records.select("ordinal", "url", "depth", outcome.alias("outcome")), said["status"], said["truncated"])
 
 
 def aggregate(records: DataFrame, analyses: DataFrame, found: DataFrame, key: str = "page_id") -> DataFrame:
