@@ -11,14 +11,15 @@ from evidentia.sources.store import TableStore, eligibility_violations, orphans
 TABLES = ("runs", "run_sites", "run_metrics", "run_conclusions", "run_proposals")
 
 
-def save(store: TableStore, run: DataFrame, sites: DataFrame, metrics: DataFrame, conclusions: DataFrame, proposals: DataFrame) -> None:
-    """``run`` has ``run_id, target_url, created_at`` (and a label); it is appended last, so a reader that starts from
-    ``runs`` never sees half a run. A run id that exists already is refused."""
+def save(store: TableStore, run: DataFrame, sites: DataFrame, metrics: DataFrame, conclusions: DataFrame, proposals: DataFrame, more: dict[str, DataFrame] | None = None) -> None:
+    """``run`` has ``run_id, target_url, created_at`` (and a label). All tables are published at once, with ``more`` ones (pages, findings,
+    evidence, verification), so no reader sees half a run and a crash leaves none. A run id that exists already is refused."""
     if store.exists("runs") and not store.read("runs").join(run.select("run_id"), "run_id", "left_semi").isEmpty():
         raise ValueError("the run is saved already")
-    for name, df in zip(TABLES[1:], (sites, metrics, conclusions, proposals), strict=True):
-        store.append(name, df)
-    store.append("runs", run)
+    ids = sorted(str(r["run_id"]) for r in run.select("run_id").distinct().collect())  # of the runs that are saved now
+    with store.save(tag="runs:" + ",".join(ids)) as s:
+        for name, df in (*zip(TABLES, (run, sites, metrics, conclusions, proposals), strict=True), *(more or {}).items()):
+            s.append(name, df)
 
 
 def latest(store: TableStore, exclude: str | None = None) -> DataFrame:

@@ -43,16 +43,16 @@ def test_store_appends_without_rewriting(spark, tmp_path):
         store.read("t")
     store.append("t", rows(1, 2), tag="b0")
     before = store.read("t")
-    parts = store._current("t")[1]["parts"]
+    parts = [p["path"] for p in store.parts("t")]
     store.append("t", rows(3), tag="b1")
     store.append("t", rows(3), tag="b1")
-    assert store._current("t")[1]["parts"][:1] == parts and values(before) == [1, 2] and values(store.read("t")) == [1, 2, 3]
-    number, said = store._current("t")
+    assert [p["path"] for p in store.parts("t")][:1] == parts and values(before) == [1, 2] and values(store.read("t")) == [1, 2, 3]
+    number, said = store._current()
     store.append("t", rows(4))
     with pytest.raises(Conflict):
-        store._publish("t", number, said)
+        store._publish(number, said)
     assert values(store.read("t")) == [1, 2, 3, 4]
-    store._write("t", rows(9), ())  # a writer that dies before it publishes
+    store.save()._write("t", rows(9), ())  # a writer that dies before it publishes
     assert values(store.read("t")) == [1, 2, 3, 4]
     store.replace("t", rows(7))
     store.append("t", spark.createDataFrame([(8, "new")], "x long, y string"))
