@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.html import parse_pages
 from evidentia.operators import compare as C
-from evidentia.operators import coverage, eligibility, facts, opportunities, page_analysis, rules
+from evidentia.operators import artifacts, coverage, eligibility, evidence, facts, opportunities, page_analysis, rules
 from evidentia.sources import csv_facts
 
 
@@ -21,7 +21,7 @@ class Analysis(NamedTuple):
 
 def analyze(pages: DataFrame, key: str = "page_id") -> Analysis:
     """``pages`` has ``key, url, html`` and optional retrieval columns; parsed once and kept for all three results."""
-    extra = tuple(c for c in ("status_code", "redirect_count", "robots_txt_available", "sitemap_xml_available", "run_id", "input_order") if c in pages.columns)
+    extra = tuple(c for c in ("status_code", "redirect_count", "robots_txt_available", "sitemap_xml_available", "robots_txt_status_code", "sitemap_xml_status_code", "run_id", "input_order") if c in pages.columns)
     wide = coverage.with_coverage(page_analysis.analyze(parse_pages(pages, keep=(key, *extra)).persist()), key)
     return Analysis(wide, rules.findings(wide, key), rules.observations(wide, key))
 
@@ -32,14 +32,16 @@ class Comparison(NamedTuple):
     conclusions: DataFrame
     proposals: DataFrame
     status: DataFrame
+    evidence: DataFrame
 
 
 def compare(pages: DataFrame) -> Comparison:
-    """``pages`` also has ``run_id`` and ``input_order`` (0: the target)."""
+    """``pages`` also has ``run_id`` and ``input_order`` (0: the target). Conclusions hold numbers, flags, shared gaps and values that only
+    competitors have, with category and confidence; ``evidence`` has the bundles behind each, ``proposals`` a draft for each gap."""
     sites = analyze(pages).pages.withColumn("e", eligibility.of_analysis()).withColumns({"usable": F.col("e.usable"), "eligibility": F.col("e.status")})
     metrics = C.long_metrics(sites)
-    found = C.conclusions(metrics)
-    return Comparison(sites, metrics, found, C.proposals(found), C.status(sites))
+    found = C.every_conclusion(sites, metrics)
+    return Comparison(sites, metrics, found, artifacts.written(C.proposals(found), found), C.status(sites), evidence.bundles(found, evidence.with_signals(sites)))
 
 
 class Import(NamedTuple):
@@ -50,6 +52,7 @@ class Import(NamedTuple):
 
 
 def import_csv(spark: SparkSession, path: str, connector: str, project_id: str, label: str, import_id: str, mapping: dict[str, str] | None = None, stored: DataFrame | None = None) -> Import:
+    csv_facts.gate(spark, path)
     rows = csv_facts.read(spark, path)
     headers = [c for c in rows.columns if c != "row_number"]
     mapping = mapping or facts.suggest_mapping(headers, connector)

@@ -248,20 +248,31 @@ _list = lambda **f: pa.list_(pa.struct(list(f.items())))
 FIELDS = pa.schema(
     [
         ("title", _S), ("metas", _list(name=_S, content=_S)), ("open_graph", pa.map_(_S, _S)), ("twitter", pa.map_(_S, _S)), ("canonical_count", _I), ("canonical_href", _S),
-        ("canonical_url", _S), ("document_language", _S), ("viewport_present", _B), ("viewport", _S), ("headings", _list(level=_I, text=_S)), ("visible_text", _S),
-        ("json_ld", _list(raw=_S, valid=_B)), ("schema_types", pa.list_(_S)), ("ld_signals", _list(kind=_S, term=_S, field=_S)),
-        ("links", _list(href=_S, url=_S, host=_S, internal=_B, text=_S)), ("hrefs", _list(href=_S, text=_S)), ("images", _list(src=_S, url=_S, alt=_S)), ("breadcrumbs", pa.list_(_S)), ("answers", _list(question=_S, answer=_S, source=_S)),
+        ("canonical_url", _S), ("document_language", _S), ("viewport_present", _B), ("viewport", _S), ("headings", _list(level=_I, text=_S, selector=_S)), ("visible_text", _S),
+        ("json_ld", _list(raw=_S, valid=_B, selector=_S, error=_S)), ("schema_types", pa.list_(_S)), ("ld_signals", _list(kind=_S, term=_S, field=_S)),
+        ("links", _list(href=_S, url=_S, host=_S, internal=_B, text=_S)), ("hrefs", _list(href=_S, text=_S)), ("images", _list(src=_S, url=_S, alt=_S, selector=_S)), ("breadcrumbs", pa.list_(_S)), ("answers", _list(question=_S, answer=_S, source=_S)),
     ]
 )
 DDL = (
     "title string, metas array<struct<name:string,content:string>>, open_graph map<string,string>, twitter map<string,string>, canonical_count int, canonical_href string, "
-    "canonical_url string, document_language string, viewport_present boolean, viewport string, headings array<struct<level:int,text:string>>, visible_text string, "
-    "json_ld array<struct<raw:string,valid:boolean>>, schema_types array<string>, ld_signals array<struct<kind:string,term:string,field:string>>, "
-    "links array<struct<href:string,url:string,host:string,internal:boolean,text:string>>, hrefs array<struct<href:string,text:string>>, images array<struct<src:string,url:string,alt:string>>, "
+    "canonical_url string, document_language string, viewport_present boolean, viewport string, headings array<struct<level:int,text:string,selector:string>>, visible_text string, "
+    "json_ld array<struct<raw:string,valid:boolean,selector:string,error:string>>, schema_types array<string>, ld_signals array<struct<kind:string,term:string,field:string>>, "
+    "links array<struct<href:string,url:string,host:string,internal:boolean,text:string>>, hrefs array<struct<href:string,text:string>>, images array<struct<src:string,url:string,alt:string,selector:string>>, "
     "breadcrumbs array<string>, answers array<struct<question:string,answer:string,source:string>>"
 )
 
 
+def _places(nodes: list[Node]) -> dict[int, int]:
+    """The place of each heading among its siblings of one tag, from 1: each parent's children are counted once."""
+    out: dict[int, int] = {}
+    for n in nodes:
+        seen: dict[str, int] = {}
+        for k in n.kids:
+            if isinstance(k, Node) and k.tag in HEADINGS:
+                out[id(k)] = seen[k.tag] = seen.get(k.tag, 0) + 1
+    return out
+
+
 def parse_page(html: str | None, url: str | None) -> dict[str, Any]:
     """Everything that needs the tree of one page; a null page or URL is empty."""
     root, url = parse_tree(html or ""), url or ""
@@ -281,11 +292,14 @@ def parse_page(html: str | None, url: str | None) -> dict[str, Any]:
     for n in nodes:
         if n.tag == "script" and n.attrs.get("type", "").strip().lower() == "application/ld+json":
             raw = n.text().strip()
+            block = {"raw": raw, "valid": True, "selector": f'script[type="application/ld+json"]:nth-of-type({len(blocks) + 1})'}
             try:
                 values.append(json.loads(raw))
-                blocks.append({"raw": raw, "valid": True})
-            except ValueError:
-                blocks.append({"raw": raw, "valid": False})
+            except json.JSONDecodeError as e:
+                block |= {"valid": False, "error": f"{e.msg} at line {e.lineno}, column {e.colno}" if raw else "the block is empty"}
+            except RecursionError:
+                block |= {"valid": False, "error": "the block is nested too deeply"}
+            blocks.append(block)
     own = (urlsplit(url).hostname or "").lower()
     anchors = [n for n in nodes if n.tag == "a" and "href" in n.attrs]
     links = []
@@ -304,16 +318,17 @@ def parse_page(html: str | None, url: str | None) -> dict[str, Any]:
                 crumbs.append(t)
     types = list(dict.fromkeys(t for v in values for t in _types(v)))
     title = first("title")
+    places = _places(nodes)
     views = [n.attrs.get("content", "").strip() for n in metas if n.attrs.get("name", "").strip().lower() == "viewport"]
     lang = next((n.attrs["lang"].strip() for n in nodes if n.tag == "html" and "lang" in n.attrs), "")
     return {
         "title": (squeeze(title.text()) or None) if title else None, "metas": [m for m in named if m["content"]], "open_graph": og, "twitter": tw,
         "canonical_count": len(canon), "canonical_href": canon[0] if canon else None, "canonical_url": resolve_py(url, canon[0]) if canon and canon[0] else None,
         "document_language": lang or None, "viewport_present": bool(views), "viewport": next((v for v in views if v), None),
-        "headings": [{"level": int(n.tag[1]), "text": squeeze(n.text())} for n in nodes if n.tag in HEADINGS], "visible_text": visible_text(root),
+        "headings": [{"level": int(n.tag[1]), "text": squeeze(n.text()), "selector": f"{n.tag}:nth-of-type({places[id(n)]})"} for n in nodes if n.tag in HEADINGS], "visible_text": visible_text(root),
         "json_ld": blocks, "schema_types": types, "ld_signals": [s for i, v in enumerate(values) for s in ld_signals(v, f"jsonLdBlocks[{i}]")],
         "links": links, "hrefs": [{"href": n.attrs["href"].strip(), "text": squeeze(n.text())} for n in anchors],
-        "images": [{"src": n.attrs.get("src", "").strip(), "url": resolve_py(url, n.attrs["src"]) if n.attrs.get("src", "").strip() else None, "alt": n.attrs.get("alt")} for n in nodes if n.tag == "img"],
+        "images": [{"src": n.attrs.get("src", "").strip(), "url": resolve_py(url, n.attrs["src"]) if n.attrs.get("src", "").strip() else None, "alt": n.attrs.get("alt"), "selector": f"img:nth-of-type({i})"} for i, n in enumerate((n for n in nodes if n.tag == "img"), 1)],
         "breadcrumbs": crumbs, "answers": _html_answers(root) + [a for v in values for a in _ld_answers(v)],
     }
 

@@ -173,6 +173,12 @@ def competitor_only(values: DataFrame) -> DataFrame:
     return found.select("run_id", F.lit("gap").alias("kind"), rule[F.col("metric")].alias("rule_id"), "metric", "missing", F.lit("medium").alias("priority"), F.lit("medium").alias("effort"))
 
 
+def every_conclusion(sites: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """All conclusions of analysed sites, gaps of values that only competitors have among them, with ``category``, ``confidence`` and ``missing`` values."""
+    plain = conclusions(long_metrics(sites) if metrics is None else metrics)
+    return described(plain.unionByName(competitor_only(site_values(sites)), allowMissingColumns=True))
+
+
 def proposals(gaps: DataFrame) -> DataFrame:
     """One artifact for each gap, typed by its metric; ``review`` tells whether editors suffice or a qualified professional is needed."""
     kind = F.when(category(F.col("metric")) == "trust", "references-and-risk-section").otherwise("comparison-table")

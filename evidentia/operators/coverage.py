@@ -33,39 +33,67 @@ def _word(alternatives: str) -> str:
     return f"(?i)\\b({alternatives})\\b"
 
 
-def _found(source: Column, kind: str, pattern: str, method: str, heuristic: bool, group: int = 1) -> Column:
-    hits = F.regexp_extract_all(source["text"], F.lit(pattern), F.lit(group))
-    return F.transform(hits, lambda h: F.struct(F.lit(kind).alias("kind"), T.collapse(h).alias("term"), source["field"].alias("field"), F.lit(method).alias("method"), F.lit(heuristic).alias("heuristic")))
+AROUND = 45
+_SIGNAL = "array<struct<kind:string,term:string,field:string,method:string,heuristic:boolean,selector:string,snippet:string>>"
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """``start, text`` (from 0) of each match in order, from one scan: matches are fenced by a mark, and places are sums of what stands before."""
+    marked = F.regexp_replace(F.translate(text, "\x01", " "), f"({pattern})", "\x01$1\x01")
+    pieces = F.split(marked, "\x01")
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("found"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x["p"])).alias("at"), F.when(x["i"] % 2 == 1, F.concat(s["found"], F.array(F.struct(s["at"].alias("start"), x["p"].alias("text"))))).otherwise(s["found"]).alias("found"))
+    counted = F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    return F.when(F.size(pieces) > 1, F.aggregate(counted, empty, step)["found"]).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
+
+
+def snippet(text: Column, start: Column, length: Column) -> Column:
+    """What stands up to ``AROUND`` characters around a span, its white space collapsed."""
+    begin = F.greatest(F.lit(0), start - AROUND)
+    return T.collapse(F.substr(text, begin + 1, start + length + AROUND - begin))
+
+
+def _signal(kind: str | Column, term: Column, field: Column, method: str, heuristic: bool, selector: Column, shown: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), term.alias("term"), field.alias("field"), F.lit(method).alias("method"), F.lit(heuristic).alias("heuristic"), selector.alias("selector"), shown.alias("snippet"))
+
+
+def _found(source: Column, kind: str, pattern: str, heuristic: bool, inner: str | None = None) -> Column:
+    """Signals of the matches; where the term is a part of a match, ``inner`` picks it and the character before the match isn't its own."""
+    text = source["text"]
+    term = lambda m: T.collapse(m["text"] if inner is None else F.regexp_extract(m["text"], inner, 1))
+    lead = lambda m: F.when(m["text"].rlike("^[^A-Za-z0-9_]"), 1).otherwise(0) if inner else F.lit(0)
+    return F.transform(spans(text, pattern), lambda m: _signal(kind, term(m), source["field"], "text-pattern", heuristic, source["selector"], snippet(text, m["start"] + lead(m), F.length(m["text"]) - lead(m))))
 
 
 def text_signals(source: Column) -> Column:
-    """All signals of one (field, text) struct."""
-    og = F.when((source["field"] == "openGraph.og:site_name") & (source["text"] != ""), F.array(F.struct(F.lit("entity").alias("kind"), source["text"].alias("term"), source["field"].alias("field"), F.lit("metadata").alias("method"), F.lit(False).alias("heuristic"))))
+    """All signals of one (field, text, selector) struct."""
+    og = F.when((source["field"] == "openGraph.og:site_name") & (source["text"] != ""), F.array(_signal("entity", source["text"], source["field"], "metadata", False, source["selector"], source["text"])))
     sections = F.array_compact(
-        F.array(*[F.when((source["field"] == "headings") & source["text"].rlike(_word(p)), F.struct(F.lit("content-section").alias("kind"), F.lit(k).alias("term"), source["field"].alias("field"), F.lit("heading-pattern").alias("method"), F.lit(True).alias("heuristic"))) for k, p in SECTIONS.items()])
+        F.array(*[F.when((source["field"] == "headings") & source["text"].rlike(_word(p)), _signal("content-section", F.lit(k), source["field"], "heading-pattern", True, source["selector"], source["text"])) for k, p in SECTIONS.items()])
     )
-    none = F.array().cast("array<struct<kind:string,term:string,field:string,method:string,heuristic:boolean>>")
     return F.concat(
-        _found(source, "service", _word(SERVICE), "text-pattern", True), _found(source, "trust", _word(TRUST), "text-pattern", True),
-        _found(source, "contact", _word(CONTACT), "text-pattern", True), _found(source, "contact", f"\\b({EMAIL})\\b", "text-pattern", False),
-        _found(source, "contact", f"({PHONE})", "text-pattern", True), _found(source, "location", LOCATION, "text-pattern", True), sections, F.coalesce(og, none),
+        _found(source, "service", _word(SERVICE), True), _found(source, "trust", _word(TRUST), True), _found(source, "contact", _word(CONTACT), True), _found(source, "contact", f"\\b({EMAIL})\\b", False),
+        _found(source, "contact", f"({PHONE})", True), _found(source, "location", LOCATION, True, LOCATION), sections, F.coalesce(og, F.array().cast(_SIGNAL)),
     )
 
 
 def sources() -> Column:
     """The texts of a page that carry signals, in order."""
-    s = lambda field, x: F.struct(F.lit(field).alias("field"), x.alias("text"))
-    single = F.array(s("title", F.col("title")), s("metaDescription", F.get(F.transform(F.filter("metas", lambda m: m["name"] == "description"), lambda m: m["content"]), 0)))
-    heads = F.transform(F.filter("headings", lambda h: h["text"] != ""), lambda h: s("headings", h["text"]))
-    rest = F.array(s("visibleText", F.col("visible_text")), s("openGraph.og:site_name", F.element_at("open_graph", "og:site_name")))
+    s = lambda field, x, at: F.struct(F.lit(field).alias("field"), x.alias("text"), (F.lit(at) if isinstance(at, str) else at).alias("selector"))
+    single = F.array(s("title", F.col("title"), "title"), s("metaDescription", F.get(F.transform(F.filter("metas", lambda m: m["name"] == "description"), lambda m: m["content"]), 0), 'meta[name="description"]'))
+    heads = F.transform(F.filter("headings", lambda h: h["text"] != ""), lambda h: s("headings", h["text"], h["selector"]))
+    rest = F.array(s("visibleText", F.col("visible_text"), "body"), s("openGraph.og:site_name", F.element_at("open_graph", "og:site_name"), 'meta[property="og:site_name"]'))
     return F.filter(F.concat(single, heads, rest), lambda x: F.coalesce(x["text"], F.lit("")) != "")
 
 
 def signals(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """One row for each kept signal: JSON-LD first, then texts, then mailto: and tel: links; first of a term wins."""
-    ld = F.transform("ld_signals", lambda x: F.struct(x["kind"].alias("kind"), T.collapse(x["term"]).alias("term"), x["field"].alias("field"), F.lit("json-ld").alias("method"), F.lit(False).alias("heuristic")))
-    protocol = F.filter("hrefs", lambda h: F.lower(h["href"]).rlike("^(mailto|tel):"))
-    links = F.transform(protocol, lambda h: F.struct(F.lit("contact").alias("kind"), F.regexp_replace(F.regexp_replace(h["href"], "^[A-Za-z]+:", ""), "\\?.*$", "").alias("term"), F.lit("links").alias("field"), F.lit("link-protocol").alias("method"), F.lit(False).alias("heuristic")))
+    block = lambda x: F.concat(F.lit('script[type="application/ld+json"]:nth-of-type('), (F.regexp_extract(x["field"], "\\[(\\d+)\\]", 1).cast("int") + 1).cast("string"), F.lit(")"))
+    ld = F.transform("ld_signals", lambda x: _signal(x["kind"], T.collapse(x["term"]), x["field"], "json-ld", False, block(x), x["term"]))
+    href = lambda h: F.regexp_replace(F.regexp_replace(h["href"], "^[A-Za-z]+:", ""), "\\?.*$", "")
+    placed = F.transform("hrefs", lambda h, i: F.struct(h["href"].alias("href"), h["text"].alias("text"), i.alias("i")))
+    protocol = F.filter(placed, lambda h: F.lower(h["href"]).rlike("^(mailto|tel):"))
+    links = F.transform(protocol, lambda h: _signal("contact", href(h), F.lit("links"), "link-protocol", False, F.concat(F.lit("a[href]:nth-of-type("), (h["i"] + 1).cast("string"), F.lit(")")), F.coalesce(F.nullif(h["text"], F.lit("")), h["href"])))
     every = F.concat(ld, F.flatten(F.transform(sources(), text_signals)), links)
     rows = pages.select(key, F.posexplode(every).alias("ordinal", "s")).select(key, "ordinal", "s.*").withColumn("folded", F.lower("term"))
     spaced = F.regexp_replace("folded", "[_-]", " ")

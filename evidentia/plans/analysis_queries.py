@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators import compare, crawl, page_analysis, rules
+from evidentia.operators import artifacts, compare, crawl, evidence, page_analysis, rules
 
 _TYPES = ("[]", '["Organization"]', '["LocalBusiness", "Thing"]', '["BreadcrumbList"]', '["DENTIST", "breadcrumblist"]')
 
@@ -73,9 +73,11 @@ def comparison_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comparison_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every scalar, boolean and shared rule, with category and confidence."""
+    """Every scalar, boolean and shared rule, with category and confidence: how often it holds, and sums over runs that tell which."""
     found = compare.described(compare.conclusions(compare.long_metrics(_sites(spark, sf_dir))))
-    return found.withColumns({c: F.col(c).cast("long") for c in ("target", "benchmark")})
+    total = lambda x, name: F.sum(x).cast("long").alias(name)
+    by = found.groupBy("kind", "rule_id", "metric", "priority", "effort", "category", "confidence")
+    return by.agg(F.count("*").alias("runs"), total("target", "targets"), total("benchmark", "benchmarks"), total("run_id", "ids"), total(F.col("run_id") * (1 + F.col("target") + 100 * F.col("benchmark")), "weighted"))
 
 
 def comparison_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +85,36 @@ def comparison_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.proposals(found).select("run_id", "artifact_id", "metric", "artifact_type", "review", "status", "priority", "effort")
 
 
-QUERIES = {f.__name__: f for f in (rule_findings, analyzer_statuses, crawl_rollup, comparison_metrics, comparison_rules, comparison_proposals)}
+def gap_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bundles of each conclusion: who stands in them, what was seen there, and which are benchmarks."""
+    sites = _sites(spark, sf_dir)
+    found = compare.conclusions(compare.long_metrics(sites)).withColumn("missing", F.lit(None).cast("array<string>"))
+    out = evidence.bundles(found, sites)
+    seen = lambda f: F.array_join(F.transform("competitors", f), ",")
+    return out.select(
+        "run_id", "kind", "rule_id", F.get("target_evidence", 0)["value"].alias("target"), F.get("target_evidence", 0)["selector"].alias("selector"), seen(lambda b: b["input_order"].cast("string")).alias("orders"),
+        seen(lambda b: b["observed_value"]).alias("observed"), seen(lambda b: b["benchmark"].cast("string")).alias("benchmarks"),
+    )
+
+
+def evidence_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles that don't hold, after some were tampered with: of runs that 10 divides the first competitor's is lost, of others that 15 divides no benchmark is marked."""
+    sites = _sites(spark, sf_dir)
+    found = compare.conclusions(compare.long_metrics(sites)).withColumn("missing", F.lit(None).cast("array<string>"))
+    plain = F.transform("competitors", lambda b: b.withField("benchmark", F.lit(False)))
+    lost = F.when(F.col("run_id") % 10 == 0, F.slice("competitors", 2, 10)).when(F.col("run_id") % 15 == 5, plain).otherwise(F.col("competitors"))
+    return evidence.incomplete(evidence.bundles(found, sites).withColumn("competitors", lost), sites).groupBy("rule_id", "problem").agg(F.count("*").alias("runs"))
+
+
+def proposal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare.conclusions(compare.long_metrics(_sites(spark, sf_dir)))
+    made = artifacts.written(compare.proposals(found), found)
+    told = F.regexp_extract("draft", "Seen: ([^\n]*)", 1)
+    by = made.groupBy("artifact_type", "review", F.size("facts_to_confirm").cast("long").alias("facts"), told.alias("difference"))
+    return by.agg(F.count("*").alias("proposals"), F.count_if(F.col("draft").contains("{") & (F.col("artifact_type") == "page-brief")).alias("open"))
+
+
+QUERIES = {f.__name__: f for f in (rule_findings, analyzer_statuses, crawl_rollup, comparison_metrics, comparison_rules, comparison_proposals, gap_evidence, evidence_problems, proposal_texts)}
 
 _MADE = """m AS (SELECT o_orderkey AS k, o_custkey AS c, [200, 199, 301, 404, 299][k % 5 + 1] AS status, ['missing', 'mismatch', 'invalid', 'match'][k % 4 + 1] AS canon, [0, 1, 29, 30, 60, 61, 90][k % 7 + 1] AS title,
  [0, 1, 69, 70, 160, 161][k % 6 + 1] AS des, k // 4 % 3 AS h1, c % 2 AS entity, c // 2 % 2 AS service, c // 4 % 2 AS location, c // 8 % 2 AS contact, k // 2 % 5 AS internal, least(c % 3, k % 3) AS bad, k // 3 % 3 AS questions,
@@ -196,9 +227,24 @@ d AS (SELECT *, CASE WHEN least < 0 THEN lo ELSE hi END AS benchmark, CASE WHEN
 f AS (SELECT run_id, 'gap' AS kind, gap AS rule_id, metric, target, benchmark, priority, effort, category, artifact FROM d WHERE diff >= abs(least)
  UNION ALL SELECT run_id, 'advantage', adv, metric, target, benchmark, 'low', 'low', category, artifact FROM d WHERE -diff >= abs(least)
  UNION ALL SELECT run_id, 'shared', common.rule_id, metric, target, hi, common.priority, 'medium', rules.category, NULL FROM b JOIN common USING (metric) JOIN rules USING (metric) WHERE target = 0 AND hi = 0)"""
+_FLAGS = "('indexable', 'robotsTxtAvailable', 'sitemapXmlAvailable', 'hasTitle', 'hasMetaDescription', 'canonicalMatches', 'hasLanguage', 'viewportPresent', 'h1StructureValid', 'hasIdentitySignals', 'hasTrustSignals', 'hasContactSignals', 'hasLocationSignals')"
+#: Selector of each metric that a rule names.
+_SELECTED = {
+    "title": ("hasTitle",), 'meta[name="description"]': ("hasMetaDescription",), 'link[rel="canonical"]': ("canonicalMatches",), "html": ("hasLanguage",), 'meta[name="viewport"]': ("viewportPresent",), "h1": ("h1StructureValid",), "img": ("imagesMissingAltCount",),
+    "h1, h2, h3, h4, h5, h6": ("totalHeadingCount", "headingJumpCount", "emptyHeadingCount", "repeatedHeadingCount"), "a[href]": ("internalLinkCount", "emptyAnchorCount"), 'script[type="application/ld+json"]': ("jsonLdParseErrorCount",),
+    "body": ("wordCount", "questionCount", "faqIndicatorCount", "directAnswerCount", "serviceTermCount", "locationTermCount"),
+}
+_EVIDENCE = f"""{_CONCLUSIONS}, said AS (SELECT mm.run_id, mm.o, mm.ok, metric, CASE WHEN metric IN {_FLAGS} THEN (mm.v = 1)::VARCHAR ELSE mm.v::VARCHAR END AS seen, n.v FROM mm JOIN n USING (run_id, o, metric)),
+bundles AS (SELECT f.run_id, f.kind, f.rule_id, f.metric, max(seen) FILTER (o = 0) AS target, string_agg(o::VARCHAR, ',' ORDER BY o) FILTER (o > 0 AND ok) AS orders, string_agg(seen, ',' ORDER BY o) FILTER (o > 0 AND ok) AS observed,
+ string_agg((s.v = f.benchmark)::VARCHAR, ',' ORDER BY o) FILTER (o > 0 AND ok) AS benchmarks FROM f JOIN said s ON s.run_id = f.run_id AND s.metric = f.metric GROUP BY ALL)"""
 ORACLE_SQL = {
+    "gap_evidence": f"WITH {_EVIDENCE} SELECT run_id, kind, rule_id, target, CASE {' '.join(f'WHEN metric IN ({", ".join(repr(m) for m in ms)}) THEN {chr(39)}{s}{chr(39)}' for s, ms in _SELECTED.items())} END AS selector, orders, observed, benchmarks FROM bundles",
+    "evidence_problems": f"""WITH {_EVIDENCE} SELECT rule_id, CASE WHEN run_id % 10 = 0 THEN 'not one bundle for each usable competitor' ELSE 'no benchmark' END AS problem, count(*) AS runs FROM bundles WHERE run_id % 10 = 0 OR run_id % 15 = 5 GROUP BY ALL""",
+    "proposal_texts": f"""WITH {_CONCLUSIONS} SELECT artifact AS artifact_type, CASE WHEN artifact IN ('provider-or-reviewer-block', 'visible-faq-and-jsonld') THEN 'professional' ELSE 'editorial' END AS review,
+ CASE WHEN artifact IN ('canonical', 'provider-or-reviewer-block', 'visible-faq-and-jsonld', 'structured-data', 'trust-or-contact-block') THEN 2 ELSE 1 END::BIGINT AS facts,
+ CASE WHEN artifact = 'page-brief' THEN 'the target has ' || target || ', the benchmark ' || benchmark ELSE '' END AS difference, count(*) AS proposals, 0::BIGINT AS open FROM f WHERE kind = 'gap' GROUP BY ALL""",
     "comparison_metrics": f"WITH {_METRICS} SELECT metric, count(*) AS sites, sum(v)::BIGINT AS total, coalesce(string_agg(DISTINCT l, '|' ORDER BY l), '') AS labels FROM mm GROUP BY 1",
-    "comparison_rules": f"WITH {_CONCLUSIONS} SELECT * EXCLUDE (artifact), 'high' AS confidence FROM f",
+    "comparison_rules": f"WITH {_CONCLUSIONS} SELECT kind, rule_id, metric, priority, effort, category, 'high' AS confidence, count(*) AS runs, sum(target)::BIGINT AS targets, sum(benchmark)::BIGINT AS benchmarks, sum(run_id)::BIGINT AS ids, sum(run_id * (1 + target + 100 * benchmark))::BIGINT AS weighted FROM f GROUP BY ALL",
     "comparison_proposals": f"""WITH {_CONCLUSIONS} SELECT run_id, 'PROPOSAL_' || rule_id AS artifact_id, metric, artifact AS artifact_type,
  CASE WHEN artifact IN ('provider-or-reviewer-block', 'visible-faq-and-jsonld') THEN 'professional' ELSE 'editorial' END AS review, 'proposal' AS status, priority, effort FROM f WHERE kind = 'gap'""",
     "rule_findings": f"WITH {_MADE}, f AS ({_FOUND}) SELECT page_id, rule_id, category, priority, effort, CASE WHEN h = 1 THEN 'editorial-heuristic' ELSE 'observation' END AS classification, CASE WHEN h = 1 THEN 'medium' ELSE 'high' END AS confidence, fields FROM f",
