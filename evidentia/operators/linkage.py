@@ -12,8 +12,8 @@ from evidentia.operators.history import latest
 # Public references and the analyzers they bear on.
 SOURCES = (
     ("RFC-9309", "internet-standard", "https://www.rfc-editor.org/rfc/rfc9309", ("TECH_INDEXABILITY",)),
-    ("ROBOTS-META", "official-guidance", "https://developers.google.com/search/docs/crawling-indexing/robots-meta-tag", ("TECH_INDEXABILITY",)),
-    ("STRUCTURED-DATA", "official-guidance", "https://developers.google.com/search/docs/appearance/structured-data/intro-structured-data", ("TECH_STRUCTURED_DATA", "ENTITY_SCHEMA_VISIBLE_CONSISTENCY")),
+    ("GOOGLE-ROBOTS-META", "official-guidance", "https://developers.google.com/search/docs/crawling-indexing/robots-meta-tag", ("TECH_INDEXABILITY",)),
+    ("GOOGLE-STRUCTURED-DATA", "official-guidance", "https://developers.google.com/search/docs/appearance/structured-data/intro-structured-data", ("TECH_STRUCTURED_DATA", "ENTITY_SCHEMA_VISIBLE_CONSISTENCY")),
     ("SCHEMA-ORG-ORGANIZATION", "schema-vocabulary", "https://schema.org/Organization", ("ENTITY_ORGANIZATION", "ENTITY_LOCATION", "ENTITY_CONTACT", "ENTITY_PROVIDER", "ENTITY_SCHEMA_VISIBLE_CONSISTENCY")),
     ("SCHEMA-ORG-FAQPAGE", "schema-vocabulary", "https://schema.org/FAQPage", ("CONTENT_QUESTIONS", "CONTENT_DIRECT_ANSWERS", "RETRIEVAL_EXTRACTABLE_ANSWERS")),
     ("WCAG-22-NON-TEXT", "accessibility-guidance", "https://www.w3.org/WAI/WCAG22/Understanding/non-text-content.html", ("TECH_IMAGE_ALT",)),
