@@ -38,13 +38,14 @@ _SIGNAL = "array<struct<kind:string,term:string,field:string,method:string,heuri
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """``start, text`` (from 0) of each match in order, from one scan: matches are fenced by a mark, and places are sums of what stands before."""
+    """``start, text`` (from 0) of each match in order, matches are fenced by a mark, and places are sums of what stands before."""
     marked = F.regexp_replace(F.translate(text, "\x01", " "), f"({pattern})", "\x01$1\x01")
     pieces = F.split(marked, "\x01")
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("found"))
     step = lambda s, x: F.struct((s["at"] + F.length(x["p"])).alias("at"), F.when(x["i"] % 2 == 1, F.concat(s["found"], F.array(F.struct(s["at"].alias("start"), x["p"].alias("text"))))).otherwise(s["found"]).alias("found"))
-    counted = F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    return F.when(F.size(pieces) > 1, F.aggregate(counted, empty, step)["found"]).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
+    counted = lambda ps: F.transform(ps, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    # Most texts have no match: they are scanned once and nothing is made of them.
+    return F.when(text.rlike(pattern), F.aggregate(counted(pieces), empty, step)["found"]).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
 
 
 def snippet(text: Column, start: Column, length: Column) -> Column:
@@ -95,7 +96,8 @@ def signals(pages: DataFrame, key: str = "page_id") -> DataFrame:
     protocol = F.filter(placed, lambda h: F.lower(h["href"]).rlike("^(mailto|tel):"))
     links = F.transform(protocol, lambda h: _signal("contact", href(h), F.lit("links"), "link-protocol", False, F.concat(F.lit("a[href]:nth-of-type("), (h["i"] + 1).cast("string"), F.lit(")")), F.coalesce(F.nullif(h["text"], F.lit("")), h["href"])))
     every = F.concat(ld, F.flatten(F.transform(sources(), text_signals)), links)
-    rows = pages.select(key, F.posexplode(every).alias("ordinal", "s")).select(key, "ordinal", "s.*").withColumn("folded", F.lower("term"))
+    # Dealt by page once: the window and every grouping by page that follows need no shuffle of their own.
+    rows = pages.select(key, F.posexplode(every).alias("ordinal", "s")).select(key, "ordinal", "s.*").repartition(F.col(key)).withColumn("folded", F.lower("term"))
     spaced = F.regexp_replace("folded", "[_-]", " ")
     dangling = (F.col("kind") == "location") & F.col("folded").rlike(DANGLING)
     rows = rows.where((F.col("term") != "") & ~spaced.rlike(PLACEHOLDER) & ~dangling)

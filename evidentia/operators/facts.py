@@ -70,8 +70,8 @@ def check_mapping(mapping: dict[str, str], headers: list[str], connector: str) -
 
 def is_formula(x: Column) -> Column:
     """What a spreadsheet would run: after leading white space an =, + or @, or a minus that isn't followed by a plain number or percentage."""
-    t = F.regexp_replace(F.coalesce(x, F.lit("")), f"^[{T.SPACES}]+", "")
-    return t.rlike("^[=+@]") | (t.startswith("-") & ~t.rlike("^-[0-9]+(?:[.,][0-9]+)?%?\\z"))
+    # One anchored pattern: most cells fail at their first character.
+    return F.coalesce(x, F.lit("")).rlike(f"^[{T.SPACES}]*(?:[=+@]|-(?![0-9]+(?:[.,][0-9]+)?%?\\z))")
 
 
 def number(x: Column) -> Column:
