@@ -52,7 +52,7 @@ class Import(NamedTuple):
 
 
 def import_csv(spark: SparkSession, path: str, connector: str, project_id: str, label: str, import_id: str, mapping: dict[str, str] | None = None, stored: DataFrame | None = None) -> Import:
-    csv_facts.gate(spark, path)
+    csv_facts.gate(path.rstrip("/").split("/")[-1], "text/csv")
     rows = csv_facts.read(spark, path)
     headers = [c for c in rows.columns if c != "row_number"]
     mapping = mapping or facts.suggest_mapping(headers, connector)

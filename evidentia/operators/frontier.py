@@ -64,7 +64,7 @@ def crawl_sites(targets: DataFrame, pages: DataFrame, links: DataFrame, rules: D
     """One crawl for each site (origin) of ``targets`` (``url``; a site with several starts at the smallest).
 
     ``pages`` maps ``url`` to ``final_url`` (null, or no row: the page fails; several rows: the smallest), ``links`` has ``url, target, ordinal``, all
-    canonical; ``rules`` is ``robots_table``'s, ``sitemaps`` has ``origin, url``. Seeds are the target, then the site's sitemap URLs in order, which
+    canonical (links of one place, as of a page that was read twice, go by target); ``rules`` is ``robots_table``'s, ``sitemaps`` has ``origin, url``. Seeds are the target, then the site's sitemap URLs in order, which
     are not compared with the target. Blocked, skipped and failed records use up ``max_pages`` too; a crawl is
     ``partial`` where some record isn't ``analyzed`` or URLs were left in its queue. Null and non-http urls give no site; no targets, no rows.
     """
@@ -100,7 +100,7 @@ def crawl_sites(targets: DataFrame, pages: DataFrame, links: DataFrame, rules: D
         found = parents.join(edges, "parent_url").where(F.col("target").startswith(F.concat("site", F.lit("/"))))
         found = found.groupBy("site", "target").agg(F.min(F.struct("parent", "link", "parent_url")).alias("first")).join(seen, ["site", "target"], "left_anti")
         used = now.groupBy("site").agg((F.max("ordinal") + 1).alias("used"))
-        nxt = _ranked(found, [F.col("first")], max_pages + 1).join(used, "site")
+        nxt = _ranked(found, [F.col("first"), F.col("target")], max_pages + 1).join(used, "site")
         wave = settled(nxt.select("site", F.col("target").alias("url"), "n", F.col("first.parent_url").alias("discovered_from"), "used"))
         if wave.isEmpty():
             break

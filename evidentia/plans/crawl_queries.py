@@ -80,7 +80,7 @@ def _crawl_sql(inputs: str, most: int, depth: int) -> str:
  CASE WHEN NOT fits THEN 'blocked' WHEN final_url IS NULL THEN 'error' WHEN (site, final_url) IN ({before}) OR min(n) FILTER (WHERE fits) OVER (PARTITION BY site, final_url) < n THEN 'skipped' ELSE 'analyzed' END AS outcome FROM t{d}))""")
         if d < depth:
             queued = " UNION ALL ".join(f"SELECT site, url FROM w{k}" for k in range(d + 1))
-            steps.append(f"""w{d + 1} AS (SELECT * FROM (SELECT c.site, c.target AS url, row_number() OVER (PARTITION BY c.site ORDER BY c.first.a, c.first.b) AS n, c.first.u AS discovered_from, u.used
+            steps.append(f"""w{d + 1} AS (SELECT * FROM (SELECT c.site, c.target AS url, row_number() OVER (PARTITION BY c.site ORDER BY c.first.a, c.first.b, c.target) AS n, c.first.u AS discovered_from, u.used
  FROM (SELECT r.site, l.target, min({{'a': r.ordinal, 'b': l.ordinal, 'u': l.url}}) AS first FROM r{d} r JOIN links l ON l.url = r.url WHERE r.outcome = 'analyzed' AND starts_with(l.target, r.site || '/') GROUP BY 1, 2) c
  JOIN (SELECT site, max(ordinal) + 1 AS used FROM r{d} GROUP BY site) u ON u.site = c.site WHERE (c.site, c.target) NOT IN ({queued})) WHERE n <= {most + 1})""")
     rec = " UNION ALL ".join(f"SELECT * FROM r{d}" for d in range(depth + 1))
