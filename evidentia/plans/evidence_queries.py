@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.html import parse_pages
 from evidentia.operators import coverage, evidence, page_analysis
-from evidentia.plans.page_queries import _TITLE
+from evidentia.plans.page_queries import _TITLE, ended
 
 
 def contact_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def element_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 raw records of the regular pages, those that SQL can read off the HTML with their values."""
-    pages = parse_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = parse_pages(ended(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     rows = evidence.raw_records(page_analysis.analyze(pages))
     value = lambda field: F.max(F.when(F.col("field") == field, F.col("observed_value")))
     heads = F.from_json(value("headingHierarchy"), "array<struct<level:int,text:string,selector:string>>")
