@@ -40,3 +40,9 @@ def _pages(spark):
 @pytest.mark.parametrize("name", ["head_findings", "page_titles", "page_records"])
 def test_references_without_a_semicolon(spark, agree, name):
     agree(name, pages=_pages(spark))
+
+
+def test_comparison_rules_are_rows_of_runs(spark, agree):
+    orders = spark.range(0, 90).selectExpr("id AS o_orderkey", "(id * 7) % 31 AS o_custkey")
+    rows = agree("comparison_rules", orders=orders)
+    assert len({r[0] for r in rows}) > 1 and len(rows) == len({(r[0], r[2]) for r in rows}) > 44
