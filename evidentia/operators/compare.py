@@ -91,9 +91,13 @@ def metric_columns(columns: list[str] | None = None) -> dict[str, Column]:
     }
 
 
-def long_metrics(sites: DataFrame) -> DataFrame:
-    """``run_id, input_order, usable, metric, number, label``: booleans are 0 and 1, text metrics are labels."""
-    columns = metric_columns(sites.columns)
+#: The metrics that a rule names: no other has conclusions.
+RULED = frozenset([r[1] for r in SCALAR] + [r[2] for r in BOOLEAN])
+
+
+def long_metrics(sites: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+    """``run_id, input_order, usable, metric, number, label`` of all metrics or ``only`` some: booleans are 0 and 1, text metrics are labels."""
+    columns = {n: c for n, c in metric_columns(sites.columns).items() if only is None or n in only}
     kinds = dict(zip(columns, (f.dataType.typeName() for f in sites.select(*columns.values()).schema), strict=True))
     made = [F.struct(F.lit(n).alias("metric"), (F.lit(None) if kinds[n] == "string" else c.cast("int" if kinds[n] == "boolean" else "double")).cast("double").alias("number"), (c if kinds[n] == "string" else F.lit(None)).cast("string").alias("label")) for n, c in columns.items()]
     return sites.select("run_id", "input_order", "usable", F.inline(F.array(*made)))
@@ -110,7 +114,8 @@ def benchmarks(metrics: DataFrame, lower: Column) -> DataFrame:
 
 def _rules(spark: SparkSession) -> DataFrame:
     rows = [(f"GAP_{n}", f"ADV_{n}", m, float(t), low, p, e) for n, m, t, low, p, e in SCALAR] + [(f"GAP_{g}", f"ADV_{a}", m, 1.0, False, p, "medium") for g, a, m, p in BOOLEAN]
-    return spark.createDataFrame(rows, "gap_rule string, adv_rule string, metric string, threshold double, lower boolean, priority string, effort string")
+    common = {m: (r, p) for r, m, p in SHARED}
+    return spark.createDataFrame([(*r, *common.get(r[2], (None, None))) for r in rows], "gap_rule string, adv_rule string, metric string, threshold double, lower boolean, priority string, effort string, shared_rule string, shared_priority string")
 
 
 def conclusions(metrics: DataFrame) -> DataFrame:
@@ -122,19 +127,17 @@ def conclusions(metrics: DataFrame) -> DataFrame:
     flags = [m for _, _, m, _ in BOOLEAN]
     numbers = metrics.withColumn("number", F.when(F.col("metric").isin(flags), (F.col("number") > 0).cast("double")).otherwise(F.col("number")))
     lower = F.col("metric").isin([m for _, m, _, low, _, _ in SCALAR if low])
-    marks = benchmarks(numbers, lower).where("target_usable and rivals > 0")
+    marks = benchmarks(numbers.where(F.col("metric").isin(*RULED)), lower).where("target_usable and rivals > 0")
     judged = marks.join(F.broadcast(_rules(spark)), "metric").withColumn("signed", F.when(F.col("lower"), F.col("target") - F.col("benchmark")).otherwise(F.col("benchmark") - F.col("target")))
     row = lambda kind, rule, priority, effort: F.struct(F.lit(kind).alias("kind"), rule.alias("rule_id"), priority.alias("priority"), effort.alias("effort"))
-    both = F.array_compact(
+    all_of = F.array_compact(
         F.array(
             F.when(F.col("signed") >= F.col("threshold"), row("gap", F.col("gap_rule"), F.col("priority"), F.col("effort"))),
             F.when(-F.col("signed") >= F.col("threshold"), row("advantage", F.col("adv_rule"), F.lit("low"), F.lit("low"))),
+            F.when(F.col("shared_rule").isNotNull() & (F.col("target") == 0) & (F.col("high") == 0), row("shared", F.col("shared_rule"), F.col("shared_priority"), F.lit("medium"))),
         )
     )
-    out = judged.select("run_id", "metric", "target", "benchmark", F.explode(both).alias("c")).select("run_id", "c.kind", "c.rule_id", "metric", "target", "benchmark", "c.priority", "c.effort")
-    shared = spark.createDataFrame(list(SHARED), "rule_id string, metric string, priority string")
-    common = marks.join(F.broadcast(shared), "metric").where("target = 0 and high = 0")
-    return out.unionByName(common.select("run_id", F.lit("shared").alias("kind"), "rule_id", "metric", "target", F.col("high").alias("benchmark"), "priority", F.lit("medium").alias("effort")))
+    return judged.select("run_id", "metric", "target", "benchmark", F.explode(all_of).alias("c")).select("run_id", "c.kind", "c.rule_id", "metric", "target", "benchmark", "c.priority", "c.effort")
 
 
 def status(sites: DataFrame) -> DataFrame:

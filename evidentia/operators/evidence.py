@@ -1,11 +1,14 @@
 """Evidence: the raw records of a page, what stands behind a metric, and the bundles of a comparison's conclusions.
 
 One wide row of a page yields all its pieces in one projection; pieces of a metric are exploded only for runs that have a
-conclusion on it. Bundles are one grouping of a long table by conclusion: at most six sites each.
+conclusion on it. Sites meet their run's conclusions by run, and bundles are one grouping by run and conclusion of at most
+six sites each: where sites lie together by run (``together``), nothing but their keys moves.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +72,19 @@ def with_signals(analyses: DataFrame, key: str = "page_id") -> DataFrame:
     return analyses.join(rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("signals")), key, "left")
 
 
+def together(rows: DataFrame, key: str, a_task: int = 40_000) -> DataFrame:
+    """``rows`` of a key in one task and in order, before wide columns are made of them: what groups or joins them by the key later shuffles and sorts no wide rows."""
+    return rows.repartition(max(1, math.ceil(rows.count() / a_task)), key).sortWithinPartitions(key)
+
+
 def metric_index(sites: DataFrame) -> DataFrame:
     """``run_id, input_order, usable, source_url, metric, observed_value, pieces``: each site's metrics and value lists with the
     evidence behind them, the metric itself first, then questions, answers or signals. ``signals`` is used where ``sites`` has it."""
+    return sites.select("run_id", "input_order", "usable", F.col("url").alias("source_url"), F.inline(_index(sites)))
+
+
+def _index(sites: DataFrame) -> Column:
+    """The metrics of a site with values and pieces, one array a row."""
     have, none = set(sites.columns), F.array().cast(f"array<{_PIECE}>")
     snippets = {
         TITLE: F.nullif("title", F.lit("")), META: F.nullif("meta_description", F.lit("")), CANONICAL: F.nullif("canonical_href", F.lit("")), "h1": _cut(F.array_join("h1_text", " | ")), "body": _cut(F.col("visible_text")),
@@ -101,7 +114,7 @@ def metric_index(sites: DataFrame) -> DataFrame:
         at = selector.get(metric)
         first = _piece(F.lit(metric), value, F.lit(at).cast("string"), snippets.get(at))
         made.append(F.struct(F.lit(metric).alias("metric"), value.alias("observed_value"), F.concat(F.array(first), more(metric)).alias("pieces")))
-    return sites.select("run_id", "input_order", "usable", F.col("url").alias("source_url"), F.inline(F.array(*made)))
+    return F.array(*made)
 
 
 def bundles(conclusions: DataFrame, sites: DataFrame) -> DataFrame:
@@ -111,8 +124,11 @@ def bundles(conclusions: DataFrame, sites: DataFrame) -> DataFrame:
     A competitor is a benchmark where it has the value that the conclusion compares with: the best number, the flag, or one of the
     ``missing`` values. ``conclusions`` are ``compare.conclusions`` and ``compare.competitor_only`` together (``compare.every_conclusion``).
     """
-    index = metric_index(sites).join(conclusions.select("run_id", "metric").distinct(), ["run_id", "metric"], "left_semi").where((F.col("input_order") == 0) | F.col("usable"))
-    rows = conclusions.select("run_id", "kind", "rule_id", "metric", "benchmark", "missing").join(index, ["run_id", "metric"])
+    wanted = conclusions.groupBy("run_id").agg(F.collect_list(F.struct("kind", "rule_id", "metric", "benchmark", "missing")).alias("wanted"))
+    asked = sites.where((F.col("input_order") == 0) | F.col("usable")).withColumn("visible_text", F.substring("visible_text", 1, SNIPPET)).join(wanted, "run_id")
+    index = asked.select("run_id", "input_order", F.col("url").alias("source_url"), "wanted", F.inline(F.filter(_index(sites), lambda x: F.exists("wanted", lambda w: w["metric"] == x["metric"]))))
+    rows = index.select("run_id", "input_order", "source_url", "metric", "observed_value", "pieces", F.explode(F.filter("wanted", lambda w: w["metric"] == F.col("metric"))).alias("w"))
+    rows = rows.select("*", "w.kind", "w.rule_id", "w.benchmark", "w.missing").drop("w")
     flags = [m for _, _, m, _ in compare.BOOLEAN]
     text = F.col("observed_value")
     number = F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))

@@ -10,10 +10,11 @@ from evidentia.operators import artifacts, compare, crawl, evidence, page_analys
 _TYPES = ("[]", '["Organization"]', '["LocalBusiness", "Thing"]', '["BreadcrumbList"]', '["DENTIST", "breadcrumblist"]')
 
 
-def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _analyses(spark: SparkSession, sf_dir: str, by_run: bool = False) -> DataFrame:
     pick = lambda values, by: f"element_at(array({', '.join(map(repr, values))}), cast({by} + 1 AS int))"
     copies = lambda value, n: F.expr(f"array_repeat({value}, cast({n} AS int))")
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("o_orderkey div 4").alias("run_id"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    o = evidence.together(o, "run_id") if by_run else o
     made = o.selectExpr(
         "k AS page_id", "concat('https://made.example/', k) AS url", "concat('https://made.example/', k) AS requested_url", f"{pick((200, 199, 301, 404, 299), 'k % 5')} AS status_code", "k % 3 AS redirect_count",
         "c % 4 <> 0 AS robots_txt_available", "c % 5 <> 0 AS sitemap_xml_available", "404 AS robots_txt_status_code", "500 AS sitemap_xml_status_code",
@@ -24,7 +25,7 @@ def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c % 2 = 0 AS is_home", "c % 2 AS entity_count", "c div 2 % 2 AS service_count", "c div 4 % 2 AS location_count", "c div 8 % 2 AS contact_count", "k div 2 % 5 AS internal_link_count", "c % 3 AS image_count",
         "least(c % 3, k % 3) AS images_missing_alt", "k % 3 AS empty_anchor_count", "k div 3 % 3 AS question_count", "array('q') AS detected_questions", "k div 2 % 2 AS direct_answer_count", f"{pick((0, 99, 100), 'k % 3')} AS word_count",
         "'' AS visible_text", "least(k % 3, c % 3) AS jsonld_error_count", f"from_json({pick(_TYPES, 'k div 7 % 5')}, 'array<string>') AS schema_types",
-        "filter(array('services', concat('topic ', c % 9)), x -> k % 2 = 0) AS section_terms", "c div 5 % 2 AS trust_count", "c % 4 AS external_link_count", "k", "c",
+        "filter(array('services', concat('topic ', c % 9)), x -> k % 2 = 0) AS section_terms", "c div 5 % 2 AS trust_count", "c % 4 AS external_link_count", "run_id", "k", "c",
     )
     terms = {f"{n}_terms": copies(f"'{n}'", f"{n}_count") for n in ("entity", "service", "location", "contact")}
     block, image = "named_struct('raw', 'x', 'valid', {})", "named_struct('src', 's', 'url', 'u', 'alt', {})"
@@ -61,9 +62,9 @@ def crawl_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(joined)
 
 
-def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of four sites by key; some can't be used."""
-    return _analyses(spark, sf_dir).selectExpr("*", "k div 4 AS run_id", "k % 4 AS input_order", "c % 7 <> 0 AS usable")
+def _sites(spark: SparkSession, sf_dir: str, by_run: bool = False) -> DataFrame:
+    """Runs of four sites by key; some can't be used. ``by_run`` brings the sites of a run together before anything is made of them."""
+    return _analyses(spark, sf_dir, by_run).selectExpr("*", "k % 4 AS input_order", "c % 7 <> 0 AS usable")
 
 
 def comparison_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +86,8 @@ def comparison_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gap_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bundles of each conclusion: who stands in them, what was seen there, and which are benchmarks."""
-    sites = _sites(spark, sf_dir)
-    found = compare.conclusions(compare.long_metrics(sites)).withColumn("missing", F.lit(None).cast("array<string>"))
+    sites = _sites(spark, sf_dir, by_run=True)
+    found = compare.conclusions(compare.long_metrics(sites, compare.RULED)).withColumn("missing", F.lit(None).cast("array<string>"))
     out = evidence.bundles(found, sites)
     seen = lambda f: F.array_join(F.transform("competitors", f), ",")
     return out.select(

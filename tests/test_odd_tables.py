@@ -46,3 +46,14 @@ def test_comparison_rules_are_rows_of_runs(spark, agree):
     orders = spark.range(0, 90).selectExpr("id AS o_orderkey", "(id * 7) % 31 AS o_custkey")
     rows = agree("comparison_rules", orders=orders)
     assert len({r[0] for r in rows}) > 1 and len(rows) == len({(r[0], r[2]) for r in rows}) > 44
+
+
+def _moved(spark, name, folder):
+    """How often the plan of a query over 100,000 orders shuffles rows for a grouping or join."""
+    spark.range(0, 100_000).selectExpr("id AS o_orderkey", "id % 31 AS o_custkey").write.parquet(f"{folder}/many/orders.parquet")
+    return registry.QUERIES[name](spark, f"{folder}/many")._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
+
+
+def test_bundles_move_nothing_but_keys(spark, agree, tmp_path):
+    agree("gap_evidence", orders=spark.range(0, 90).selectExpr("id AS o_orderkey", "(id * 7) % 31 AS o_custkey"))
+    assert _moved(spark, "gap_evidence", tmp_path) == 0
