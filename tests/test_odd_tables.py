@@ -57,3 +57,8 @@ def _moved(spark, name, folder):
 def test_bundles_move_nothing_but_keys(spark, agree, tmp_path):
     agree("gap_evidence", orders=spark.range(0, 90).selectExpr("id AS o_orderkey", "(id * 7) % 31 AS o_custkey"))
     assert _moved(spark, "gap_evidence", tmp_path) == 0
+
+
+def test_problems_of_bundles_move_only_their_counts(spark, agree, tmp_path):
+    agree("evidence_problems", orders=spark.range(0, 90).selectExpr("id AS o_orderkey", "(id * 7) % 31 AS o_custkey"))
+    assert _moved(spark, "evidence_problems", tmp_path) == 1
