@@ -32,8 +32,9 @@ def regressions(changes: DataFrame, resolved_before: DataFrame, keys: list[str])
 def field_changes(previous: DataFrame, current: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``key, field, change, old, new`` of every field whose canonical text differs; emptiness decides the kind."""
     text = lambda df, f: F.to_json(F.struct(F.col(f).alias("v"))) if df.schema[f].dataType.typeName() in ("array", "struct", "map") else F.col(f).cast("string")
-    long = lambda df, name: df.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), text(df, f).alias(name)) for f in fields])))
-    both = long(previous, "old").join(long(current, "new"), [key, "field"]).where(~F.col("old").eqNullSafe(F.col("new")))
+    wide = lambda df, name: df.select(key, F.struct(*[text(df, f).alias(f"f{i}") for i, f in enumerate(fields)]).alias(name))
+    pairs = wide(previous, "_old").join(wide(current, "_new"), key)
+    both = pairs.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_old.f{i}").alias("old"), F.col(f"_new.f{i}").alias("new")) for i, f in enumerate(fields)]))).where(~F.col("old").eqNullSafe(F.col("new")))
     empty = lambda x: x.isNull() | x.isin("", '{"v":[]}', "{}")
     return both.withColumn("change", F.when(empty(F.col("old")), "added").when(empty(F.col("new")), "removed").otherwise("changed"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.operators import constraints, lineage
+from evidentia.sources.scratch import settled
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def run_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored histories some of which were tampered with, held against those computed again: the rows that differ, nothing else is opened."""
     runs, sites = _run_sites(spark, sf_dir)
-    again = lineage.histories(sites, runs, _TRACKED)
+    again = settled(lineage.histories(sites, runs, _TRACKED))  # four readers
     tampered = (F.col("run_id") % 50 == 7) & (F.col("field") == "word_count")
     stored = again.withColumn("new", F.when(tampered, F.concat("new", F.lit("0"))).otherwise(F.col("new"))).where("not (run_id % 50 = 9 and field = 'title')")
     found = lineage.opened(stored, again)

@@ -62,3 +62,11 @@ def test_bundles_move_nothing_but_keys(spark, agree, tmp_path):
 def test_problems_of_bundles_move_only_their_counts(spark, agree, tmp_path):
     agree("evidence_problems", orders=spark.range(0, 90).selectExpr("id AS o_orderkey", "(id * 7) % 31 AS o_custkey"))
     assert _moved(spark, "evidence_problems", tmp_path) == 1
+
+
+def test_histories_are_derived_once_for_an_audit(spark, agree, tmp_path):
+    orders = spark.range(0, 120).selectExpr("id AS o_orderkey", "id % 3 AS o_custkey")
+    lines = spark.range(0, 360).selectExpr("id div 3 AS l_orderkey", "cast(id % 3 + 1 AS int) AS l_linenumber", "cast((id * 11) % 50 AS double) AS l_quantity", "element_at(array('R', 'N', 'A', 'N'), cast(id * 7 % 4 + 1 AS int)) AS l_returnflag", "0.1D AS l_discount")
+    assert agree("history_audit", orders=orders, lineitem=lines)
+    plan = registry.QUERIES["history_audit"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan
